@@ -4,24 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import mixing, packing, quality, sharding
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def remainder(n: int) -> Column:
+    """CRC-32 of the id as text, modulo n; a null id is held out of training."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def held_out(n: int, value: int) -> Column:
+    return F.coalesce(remainder(n) == value, F.lit(True))
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(read_table(spark, sf_dir, "documents"), temper=0.5, seed=3)
+    return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("replica").cast("long").alias("replica"), "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), ranks_path=ranks_path(), capacity=2048)
+
+
+def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), train_on=~held_out(5, 0), threshold=0.3)
+    return quality.quality_scores(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op3_mix_sources": op3_mix_sources,
+        "op4_pack_best_fit": op4_pack_best_fit,
+        "op7_shard_hilbert": op7_shard_hilbert,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_quality_pairs": op9_quality_pairs,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mix_sources": r"""
+            WITH RECURSIVE c AS (
+                SELECT source, count(*) AS n FROM documents GROUP BY source
+            ), r AS (
+                SELECT source, n, pow(n::DOUBLE, 0.5::DOUBLE) / (SELECT sum(pow(n::DOUBLE, 0.5::DOUBLE)) FROM c) * (SELECT sum(n)::DOUBLE FROM c) / n AS rate FROM c
+            ), p AS (
+                SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS below FROM r
+                UNION ALL
+                SELECT source, rate, k + 1, term * rate / (k + 1), below + term * rate / (k + 1) FROM p WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 24)
+            ), d AS (
+                SELECT doc_id, source, coalesce(text, '') AS t, ('0x' || substr(md5('3:' || doc_id::VARCHAR || ':0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+            ), k AS (
+                SELECT d.doc_id, d.source, p.rate, d.t, count(*) FILTER (WHERE p.below <= d.u) AS n_copies
+                FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY ALL
+            ), e AS (
+                SELECT *, unnest(range(n_copies)) AS replica FROM k WHERE n_copies > 0
+            )
+            SELECT doc_id, source, round(rate, 9) AS rate, n_copies, replica,
+                   ('0x' || substr(md5('3s:' || doc_id::VARCHAR || ':' || replica::VARCHAR), 1, 15))::BIGINT AS shuffle_key, md5(t) AS text_md5
+            FROM e
+        """,
         "op8_exact_dedup": r"""
             WITH d AS (
                 SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
