@@ -27,37 +27,50 @@ from pyspark.sql import functions as F
 
 from tessera.llm._text import WHITE, parts, per_text, span_hashes, words
 
-N_FEATURES = 16
+N_COUNTS = 9
+#: Pseudo-words and pseudo-bytes that pull a short text's ratios to those of good texts.
+_PSEUDO_WORDS, _PSEUDO_BYTES = 12.0, 60.0
 
 
-def features(array: pa.Array) -> np.ndarray:
-    """One row of N_FEATURES numbers per text."""
-    out = np.zeros((len(array), N_FEATURES))
+def counts(array: pa.Array) -> np.ndarray:
+    """Symbols, lines, repeats of the last and the last but one word, letters, capitals, digits, words and bytes of each text."""
+    out = np.zeros((len(array), N_COUNTS))
     for row, end, data, offsets in parts(array):
         starts, ends, first = words(data, offsets)
-        size, count = np.diff(offsets), np.diff(first)
+        size = np.diff(offsets)
         upper = per_text((data >= 65) & (data <= 90), offsets)
         digit = per_text((data >= 48) & (data <= 57), offsets)
         letter = per_text(((data >= 97) & (data <= 122)) | (data >= 128), offsets) + upper
         other = size - letter - digit - per_text(WHITE[data], offsets)
-        lines = per_text(data == 10, offsets)
         h = span_hashes(data, starts, ends)
         same1, same2 = np.zeros(len(h), bool), np.zeros(len(h), bool)
         same1[1:], same2[2:] = h[1:] == h[:-1], h[2:] == h[:-2]
-        edges = np.clip(first, 0, len(h))
-        n, w = size + 60, count + 12  # shrinks what a few words say towards 0
-        x = np.stack([other / w, upper / n, digit / n, per_text(same1, edges) / w, per_text(same2, edges) / w, lines / w, letter / w / 8], axis=1)
-        out[row:end, :7] = np.minimum(x, 1)
-        out[row:end, 7:14] = np.sqrt(out[row:end, :7])
-        out[row:end, 14] = np.minimum(np.abs(letter - 5 * count) / w / 5, 1)
-        out[row:end, 15] = np.minimum(other / n * 3, 1)
+        out[row:end] = np.stack([other, per_text(data == 10, offsets), per_text(same1, first), per_text(same2, first), letter, upper, digit, np.diff(first), size], axis=1)
     return out
 
 
+def ratios(c: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """The first five counts a word, the next two a byte, shrunk to ``prior`` by pseudo-counts."""
+    by = np.concatenate([np.repeat(c[:, 7:8], 5, axis=1), np.repeat(c[:, 8:9], 2, axis=1)], axis=1)
+    if prior is None:
+        return c[:, :7] / np.maximum(by, 1)
+    pseudo = np.repeat([_PSEUDO_WORDS, _PSEUDO_BYTES], [5, 2])
+    return (c[:, :7] + pseudo * prior) / (by + pseudo)
+
+
+def features(c: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Ratios up to 1 (letters in units of 8), their square roots, and how far word length is from the prior's."""
+    x = ratios(c, prior)
+    far = np.abs(x[:, 4:5] - prior[4]) / 5
+    x = np.minimum(x / np.array([1, 1, 1, 1, 8, 1, 1]), 1)
+    return np.concatenate([x, np.sqrt(x), np.minimum(far, 1)], axis=1)
+
+
 @dataclass(frozen=True)
 class Ranker:
-    """weights over standardised features; cut and slope map a rank score to (0, 1)."""
+    """Weights over standardised features; the cut maps to ``threshold`` on a logistic curve."""
 
+    prior: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -65,24 +78,24 @@ class Ranker:
     threshold: float
     constant: float | None = None
 
-    def rank(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weights
-
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, c: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(x), self.constant)
-        z = self.rank(x) - self.cut + np.log(self.threshold / (1 - self.threshold))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return np.full(len(c), self.constant)
+        z = (features(c, self.prior) - self.mean) / self.scale @ self.weights - self.cut
+        return 1 / (1 + np.exp(-np.clip(z + np.log(self.threshold / (1 - self.threshold)), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, threshold: float = 0.3, n_pairs: int = 200_000, l2: float = 1e-3, steps: int = 30, seed: int = 9) -> Ranker:
+def fit(c: np.ndarray, y: np.ndarray, *, threshold: float = 0.3, n_pairs: int = 200_000, l2: float = 1e-3, steps: int = 30, seed: int = 9) -> Ranker:
     """Bradley-Terry weights by Newton's method on the pairwise logistic loss."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Ranker(mean, scale, np.zeros(x.shape[1] if len(x) else N_FEATURES), 0.0, threshold, (len(good) + 0.5) / (len(y) + 1))
-    rng = np.random.default_rng(seed)
+        none = np.zeros(0)
+        return Ranker(none, none, none, none, 0.0, threshold, (len(good) + 0.5) / (len(y) + 1))
+    prior = np.median(ratios(c[good]), axis=0)
+    x = features(c, prior)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / scale
+    rng = np.random.default_rng(seed)
     d = z[good[rng.integers(0, len(good), n_pairs)]] - z[bad[rng.integers(0, len(bad), n_pairs)]]
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -97,7 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, threshold: float = 0.3, n_pairs: int =
     cuts = np.unique(np.quantile(ranks, np.linspace(0.005, 0.995, 199)))
     below_bad = np.searchsorted(np.sort(ranks[bad]), cuts, side="left") / len(bad)
     below_good = np.searchsorted(np.sort(ranks[good]), cuts, side="left") / len(good)
-    return Ranker(mean, scale, w, float(cuts[np.argmax(below_bad - below_good)]), threshold)
+    return Ranker(prior, mean, scale, w, float(cuts[np.argmax(below_bad - below_good)]), threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_on: Column | None = None, sample_rows: int = 20_000, **options) -> Ranker:
@@ -110,12 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def extract(batches):
         for b in batches:
-            x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], ["y", "x"])
+            c = counts(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), N_COUNTS).cast(pa.list_(pa.float64()))], ["y", "c"])
 
-    got = picked.select("text", F.col("y").cast("int").alias("y")).mapInArrow(extract, "y int, x array<double>").limit(2 * sample_rows).toArrow()
-    x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
-    return fit(x, got.column("y").to_numpy().astype(int), **options)
+    got = picked.select("text", F.col("y").cast("int").alias("y")).mapInArrow(extract, "y int, c array<double>").limit(2 * sample_rows).toArrow()
+    c = np.asarray(got.column("c").combine_chunks().flatten()).reshape(-1, N_COUNTS) if got.num_rows else np.zeros((0, N_COUNTS))
+    return fit(c, got.column("y").to_numpy().astype(int), **options)
 
 
 def score_column(model: Ranker, text: Column | str) -> Column:
@@ -123,7 +136,7 @@ def score_column(model: Ranker, text: Column | str) -> Column:
 
     @F.arrow_udf("double")
     def quality(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(text)))
+        return pa.array(model.score(counts(text)))
 
     return quality(text)
 
