@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, sharding
+from tessera.llm import mixing, packing, quality, sharding, simhash
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -52,6 +52,10 @@ def op9_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_mix_sources": op3_mix_sources,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op7_shard_hilbert": op7_shard_hilbert,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_pairs": op9_quality_pairs,
+        "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
     }
 
 
