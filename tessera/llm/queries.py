@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, sharding, simhash
+from tessera.llm import language, mixing, packing, quality, sharding, simhash
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -29,6 +29,12 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.train(docs.select("doc_id", "lang", "text"), train_on=~held_out(4, 2))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(read_table(spark, sf_dir, "documents"), temper=0.5, seed=3)
     return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("n_copies").cast("long").alias("n_copies"), F.col("replica").cast("long").alias("replica"), "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -58,6 +64,7 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_language_cross_parsing": op2_language_cross_parsing,
         "op3_mix_sources": op3_mix_sources,
         "op4_pack_best_fit": op4_pack_best_fit,
         "op7_shard_hilbert": op7_shard_hilbert,
