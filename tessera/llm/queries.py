@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixing, packing, quality, sharding, simhash
+from tessera.llm import context_tree, language, mixing, packing, quality, sharding, simhash
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -44,6 +44,12 @@ def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), ranks_path=ranks_path(), capacity=2048)
 
 
+def op5_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scores = context_tree.score_texts(docs, ~held_out(7, 2))
+    return scores.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op2_language_cross_parsing": op2_language_cross_parsing,
         "op3_mix_sources": op3_mix_sources,
         "op4_pack_best_fit": op4_pack_best_fit,
+        "op5_context_tree_lm": op5_context_tree_lm,
         "op7_shard_hilbert": op7_shard_hilbert,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_pairs": op9_quality_pairs,
