@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import context_tree, language, mixing, packing, quality, sharding, simhash
+from tessera.llm import context_tree, language, mixing, packing, quality, sharding, simhash, toxicity
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -50,6 +50,12 @@ def op5_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), train_on=~held_out(5, 0))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_mix_sources": op3_mix_sources,
         "op4_pack_best_fit": op4_pack_best_fit,
         "op5_context_tree_lm": op5_context_tree_lm,
+        "op6_toxicity_bigru": op6_toxicity_bigru,
         "op7_shard_hilbert": op7_shard_hilbert,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_pairs": op9_quality_pairs,
