@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import context_tree, language, mixing, packing, quality, sharding, simhash, toxicity
+from tessera.llm import collision_ann, context_tree, language, mixing, packing, quality, sharding, simhash, toxicity
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -29,6 +29,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language.train(docs.select("doc_id", "lang", "text"), train_on=~held_out(4, 2))
@@ -76,6 +80,7 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_collision_counting": op1_collision_counting,
         "op2_language_cross_parsing": op2_language_cross_parsing,
         "op3_mix_sources": op3_mix_sources,
         "op4_pack_best_fit": op4_pack_best_fit,
