@@ -38,7 +38,7 @@ class Scheme:
     width: float = 0.9
     growth: float = 1.3
     first_radius: float = 0.1
-    slack: float = 0.2
+    slack: float = 0.6
 
     def radii(self) -> list[float]:
         out = [self.first_radius]
