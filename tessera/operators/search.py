@@ -61,7 +61,11 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, *, k1: float =
     """Documents that hold every query token as a prefix, scored by BM25 (higher is better)."""
     terms = T.query_terms(query)
     tokens = docs.select(F.col(id_col).alias("id"), T.search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    tf = [F.size(F.filter("tokens", lambda x, t=t: F.startswith(x, F.lit(t)))).alias(f"f{i}") for i, t in enumerate(terms)]
+
+    def hits(term: str) -> Column:
+        return F.size(F.filter("tokens", lambda x: F.startswith(x, F.lit(term))))
+
+    tf = [hits(t).alias(f"f{i}") for i, t in enumerate(terms)]
     d = tokens.select("id", F.size("tokens").alias("len"), *tf)
     stats = d.agg(F.count(F.lit(1)), F.avg("len"), *(F.sum((F.col(f"f{i}") > 0).cast("long")) for i in range(len(terms)))).first()
     n, mean = stats[0], stats[1] or 1.0

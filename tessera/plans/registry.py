@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph_queries
+from tessera.plans import graph_queries, text_queries
 
-_MODULES = [graph_queries]
+_MODULES = [graph_queries, text_queries]
 
 
 def queries() -> dict:
