@@ -72,14 +72,14 @@ def levels(docs: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
     values = [ordinal(F.col(c), kinds[c]) for c in dimensions]
     steps = [i / 2**bits for i in range(1, 2**bits)]
     found = docs.agg(*(F.percentile_approx(v, steps, 10_000).alias(f"q{i}") for i, v in enumerate(values))).first()
-    out = []
-    for v, bounds in zip(values, found):
+
+    def level(value: Column, bounds: list[float] | None) -> Column:
         if not bounds:
-            out.append(F.lit(0))
-            continue
+            return F.lit(0)
         edges = F.array(*(F.lit(float(b)) for b in sorted(set(bounds))))
-        out.append(F.coalesce(F.size(F.filter(edges, lambda b, v=v: b < v)), F.lit(0)))
-    return out
+        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b < value)))
+
+    return [level(v, bounds) for v, bounds in zip(values, found)]
 
 
 def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 100_000) -> DataFrame:
