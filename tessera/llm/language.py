@@ -184,9 +184,13 @@ def build(samples: dict[str, list[str]], *, sample_chars: int = 60_000) -> Parse
     tables, starts, base = [], [], 0
     for run in runs.values():
         table = suffix_automaton(symbols[run].tolist(), n_symbols)
-        # The next phrase begins with the symbol that did not fit; an unknown one is a phrase by itself.
-        first = np.where(table[0] >= 0, table[0], 0)
+        # The next phrase begins with the symbol that did not fit. An unknown symbol is a phrase by
+        # itself: it leads to one more state, after which every symbol begins a phrase.
+        alone = len(table)
+        first = np.where(table[0] >= 0, table[0], alone)
+        table = np.concatenate([table, np.full((1, n_symbols), -1, np.int32)])
         rows = np.where(table >= 0, (table + base) * n_symbols, ((first + base) * n_symbols)[None, :] | np.int32(-(2**31)))
+        rows[0] = (first + base) * n_symbols
         tables.append(rows.astype(np.int32))
         starts.append(base * n_symbols)
         base += len(table)
