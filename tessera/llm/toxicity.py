@@ -61,7 +61,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     run[inner_start] = 32
     for k in range(GRAM - 1):
         run = run * np.uint64(257) + wide[k : k + len(low)]
-    runs = ((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (N_RUNS - 1)
+    runs = (((run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(N_RUNS - 1)).astype(np.int32)
     return (h & np.uint64(N_WORDS - 1)).astype(np.int32), runs, inner_start, np.maximum(inner_end - inner_start - GRAM + 2, 1), first
 
 
@@ -76,6 +76,11 @@ def char_means(runs: np.ndarray, starts: np.ndarray, size: np.ndarray, table: np
     return out
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... , sizes[i] of them, for each i."""
+    return np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and number of words of every window; none for a text without words."""
     count = np.diff(first)
@@ -188,8 +193,7 @@ class Network:
         g["ew"] = np.zeros_like(w["ew"])
         np.add.at(g["ew"], word, d_x[:, :D_WORD])
         g["ec"] = np.zeros_like(w["ec"])
-        at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        np.add.at(g["ec"], runs[at], np.repeat(d_x[:, D_WORD : D_WORD + D_CHAR] / sizes[:, None], sizes, axis=0))
+        np.add.at(g["ec"], runs[_spread(starts, sizes)], np.repeat(d_x[:, D_WORD : D_WORD + D_CHAR] / sizes[:, None], sizes, axis=0))
         np.add.at(g["ec"], runs[starts], d_x[:, D_WORD + D_CHAR :])
         return loss, g
 
@@ -227,15 +231,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(top - self.cut, -30, 30)))
 
 
-def _log_odds(buckets: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Log-odds of each bucket between toxic and clean texts, by texts that hold it."""
-    seen = np.unique(np.concatenate([t.astype(np.int64) * size + b for b, t in zip(buckets, texts)]))
-    toxic = y[seen // size] == 1
-    n1, n0 = (np.bincount(seen[k] % size, minlength=size) for k in (toxic, ~toxic))
-    p1, p0 = (n1 + 3 * y.mean()) / (y.sum() + 3), (n0 + 3 * (1 - y.mean())) / (len(y) - y.sum() + 3)
+def _log_odds(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket between toxic and clean texts, by the texts that hold it (counts: clean, toxic)."""
+    p0, p1 = (counts[0] + 3 * (1 - y.mean())) / (len(y) - y.sum() + 3), (counts[1] + 3 * y.mean()) / (y.sum() + 3)
     return np.clip(np.log(p1 / p0), -4, 4).astype(np.float32)
 
 
+def _texts_with(buckets: np.ndarray, texts: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Clean and toxic texts that hold each bucket."""
+    seen = np.unique(texts * size + buckets)
+    toxic = y[seen // size] == 1
+    return np.stack([np.bincount(seen[k] % size, minlength=size) for k in (~toxic, toxic)])
+
+
 def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = 5, batch: int | None = None, rate: float = 0.01, seed: int = 6) -> Network:
     net = Network.fresh(seed)
     if len(np.unique(y)) < 2:
@@ -249,11 +257,13 @@ def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = 5, batch: int | None =
     texts_cut, y_cut = (texts.filter(pa.array(apart)), y[apart]) if apart.any() else (texts, y)
     texts, y = texts.filter(pa.array(~apart)), y[~apart]
     held = list(parts(texts))
-    coded = [encode(data, offsets) for _, _, data, offsets in held]
-    owners = [row + np.repeat(np.arange(end - row), np.diff(c[4])) for (row, end, _, _), c in zip(held, coded)]
-    net.w["ew"][:, 0] = _log_odds([c[0] for c in coded], owners, y, N_WORDS) / 2
-    places = [np.repeat(c[2] - np.cumsum(c[3]) + c[3], c[3]) + np.arange(c[3].sum()) for c in coded]
-    net.w["ec"][:, 0] = _log_odds([c[1][p] for c, p in zip(coded, places)], [np.repeat(o, c[3]) for o, c in zip(owners, coded)], y, N_RUNS)
+    by_word, by_run = np.zeros((2, N_WORDS)), np.zeros((2, N_RUNS))
+    for row, end, data, offsets in held:
+        word, runs, starts, sizes, first = encode(data, offsets)
+        owner = row + np.repeat(np.arange(end - row), np.diff(first))
+        by_word += _texts_with(word, owner, y, N_WORDS)
+        by_run += _texts_with(runs[_spread(starts, sizes)], np.repeat(owner, sizes), y, N_RUNS)
+    net.w["ew"][:, 0], net.w["ec"][:, 0] = _log_odds(by_word, y) / 2, _log_odds(by_run, y)
     for epoch in range(epochs):
         picked = []  # part, text in it, first word, number of words
         for k, (row, end, data, offsets) in enumerate(held):
@@ -304,7 +314,7 @@ def _batches(picked: list, held: list, rng: np.random.Generator, batch: int) ->
         yield *(np.concatenate(v) for v in (word, runs, starts, sizes)), np.array(start), np.array(size), np.array(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_500, **options) -> Network:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_000, **options) -> Network:
     """Fit on labelled rows for which ``train_on`` (an expression over the id, here named doc_id) holds."""
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
     if train_on is not None:
