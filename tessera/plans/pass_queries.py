@@ -26,16 +26,16 @@ def _add(name, run, sql=None):
 def placeholder_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders that call brands by name: parts are definitions named after their brand, lines are placeholder calls."""
     part, line, orders = (read_table(spark, sf_dir, t) for t in ("part", "lineitem", "orders"))
-    definition = part.select(F.col("p_partkey").cast("long").alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("n"), (F.col("p_partkey") % 150).cast("string")).alias("name"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("qualified_name"), F.concat(F.lit("f/"), (F.col("p_partkey") % 40).cast("string"), F.lit(".py")).alias("source_uri"), F.lit(False).alias("is_test"))
+    definition = part.select(F.col("p_partkey").cast("long").alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("n"), (F.col("p_partkey") % 1500).cast("string")).alias("name"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("qualified_name"), F.concat(F.lit("f/"), (F.col("p_partkey") % 40).cast("string"), F.lit(".py")).alias("source_uri"), F.lit(False).alias("is_test"))
     caller = orders.select((F.col("o_orderkey") + 10**12).alias("id"), F.lit("method").alias("kind"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"), F.concat(F.lit("order::"), F.col("o_orderkey").cast("string")).alias("qualified_name"), F.concat(F.lit("f/"), (F.col("o_orderkey") % 40).cast("string"), F.lit(".py")).alias("source_uri"), (F.col("o_orderstatus") == "P").alias("is_test"))
-    holder = part.select((F.col("p_partkey") % 150 + 2 * 10**12).alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("n"), (F.col("p_partkey") % 150).cast("string")).alias("name"), F.concat(F.lit("call::n"), (F.col("p_partkey") % 150).cast("string")).alias("qualified_name"), F.lit(None).cast("string").alias("source_uri"), F.lit(False).alias("is_test")).distinct()
-    edges = line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") + 10**12).alias("src"), (F.col("l_partkey") % 150 + 2 * 10**12).alias("dst"), F.lit("calls").alias("kind"), F.lit("ambiguous").alias("conf_class"), F.lit(0.0).alias("confidence"))
+    holder = part.select((F.col("p_partkey") % 1500 + 2 * 10**12).alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("n"), (F.col("p_partkey") % 1500).cast("string")).alias("name"), F.concat(F.lit("call::n"), (F.col("p_partkey") % 1500).cast("string")).alias("qualified_name"), F.lit(None).cast("string").alias("source_uri"), F.lit(False).alias("is_test")).distinct()
+    edges = line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") + 10**12).alias("src"), (F.col("l_partkey") % 1500 + 2 * 10**12).alias("dst"), F.lit("calls").alias("kind"), F.lit("ambiguous").alias("conf_class"), F.lit(0.0).alias("confidence"))
     return Graph(definition.unionByName(caller).unionByName(holder), edges)
 
 
 _PLACE = """WITH cand AS (
     SELECT l_orderkey * 100 + l_linenumber AS edge_id, p_partkey AS target, (l_orderkey % 40) = (p_partkey % 40) AS same
-    FROM lineitem JOIN part ON l_partkey % 150 = p_partkey % 150
+    FROM lineitem JOIN part ON l_partkey % 1500 = p_partkey % 1500
 ), n AS (SELECT *, count(*) OVER (PARTITION BY edge_id) AS n1, sum(same::INT) OVER (PARTITION BY edge_id) AS n2 FROM cand)
 """
 _add("call_resolve_unique", lambda s, d: resolution.resolve_calls(placeholder_graph(s, d)).filter("tier <= 2").select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class"), _PLACE + "SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 ELSE 2 END::BIGINT AS tier, 'extracted' AS conf_class FROM n WHERE n1 = 1 OR (n2 = 1 AND same)")
