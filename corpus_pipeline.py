@@ -6,7 +6,9 @@ and read again as the next stage's ``docs``. All but the last return the columns
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, quality, simhash
 from tessera.llm.exact_dedup import exact_dedup
@@ -15,6 +17,8 @@ from tessera.runtime import materialise, read_table
 
 #: None: a stage learns a model, hashes shingles or tokenises, which SQL can't express.
 ORACLE_SQL = None
+#: Key of a row within a stage.
+ROW = "_row"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +27,31 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, model)
 
 
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, the same at every read; ids may be null or repeated.
+
+    A stage's Parquet files hold their rows' places already; other tables are written with a number first.
+    """
+    try:
+        return docs.select("*", F.concat("_metadata.file_path", F.lit("#"), F.col("_metadata.row_index").cast("string")).alias(ROW))
+    except AnalysisException:
+        return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id, stays."""
-    dropped = exact_dedup(docs).filter("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row stays: the longest original, then the smallest id, then the first row."""
+    keyed = _with_rows(docs)
+    found = materialise(exact_dedup(keyed, row_col=ROW).filter("group_size > 1").select(ROW, "text_sha256", "kept"), "copies")
+    first = found.filter("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
+    dropped = found.join(first, ROW, "left_anti").select(ROW)
+    return keyed.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 4 bits, the document with the smallest id stays."""
-    dropped = simhash.near_duplicates(docs, radius=4, shingle=4).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of fingerprints within 4 bits one row stays: the smallest id, then the first row."""
+    keyed = _with_rows(docs)
+    dropped = simhash.near_duplicates(keyed, radius=4, shingle=4, row_col=ROW).filter("NOT first").select(ROW)
+    return keyed.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

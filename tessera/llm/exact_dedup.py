@@ -33,9 +33,9 @@ from tessera.runtime import discard, materialise
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), F.regexp_replace(text, _WHITE, "").alias("norm"))
+    d = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), F.regexp_replace(text, _WHITE, "").alias("norm"))
     return d.withColumns({"key": F.xxhash64("norm"), "sha": F.sha2("norm", 256)})
 
 
@@ -87,22 +87,23 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return index
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, hot_share: float = 0.001) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, hot_share: float = 0.001, row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
 
     Of equal texts, the row with the most code points in the original text, then the
-    smallest id, stays.
+    smallest id, stays. ``row_col`` names a column that comes along in front.
     """
+    carried = [row_col] if row_col else []
     index = build_index(docs, id_col=id_col, text_col=text_col, capacity=capacity)
     total = index.agg(F.sum("group_size")).first()[0] or 0
     many = index.filter("group_size > 1").select("key", "sha", "keep_id", "max_cp", "group_size")
     bound = max(10_000, int(total * hot_share))
     hot = many.filter(F.col("group_size") > bound).select("key", "sha", *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "max_cp", "group_size")))
     cold = many.filter(F.col("group_size") <= bound).withColumnRenamed("key", "join_key")
-    d = _keyed(docs, id_col, text_col).drop("norm").join(F.broadcast(hot), ["key", "sha"], "left")
-    d = d.withColumn("join_key", F.when(F.col("hot_group_size").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "key")))
+    d = _keyed(docs, id_col, text_col, *carried).drop("norm").join(F.broadcast(hot), ["key", "sha"], "left")
+    d = d.withColumn("join_key", F.when(F.col("hot_group_size").isNull(), F.col("key")).otherwise(F.xxhash64(*carried, "doc_id", "key")))
     d = d.join(cold, ["join_key", "sha"], "left")
     size = F.coalesce("group_size", "hot_group_size", F.lit(1)).cast("long")
     keep = F.when(size == 1, F.col("doc_id")).otherwise(F.coalesce("keep_id", "hot_keep_id"))
-    d = d.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("sha").alias("text_sha256"), (F.col("doc_id").eqNullSafe(keep) & ((size == 1) | (F.col("cp") == F.coalesce("max_cp", "hot_max_cp")))).alias("kept"))
-    return d.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    d = d.select(*carried, "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("sha").alias("text_sha256"), (F.col("doc_id").eqNullSafe(keep) & ((size == 1) | (F.col("cp") == F.coalesce("max_cp", "hot_max_cp")))).alias("kept"))
+    return d.select(*carried, "doc_id", "keep_id", "group_size", "kept", "text_sha256")

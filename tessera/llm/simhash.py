@@ -123,12 +123,12 @@ def fingerprints(array: pa.Array, *, shingle: int = 4, seed: int = 42) -> np.nda
     return out
 
 
-def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, row_col: str | None = None) -> DataFrame:
     @F.arrow_udf("long")
     def simhash(text: pa.Array) -> pa.Array:
         return pa.array(fingerprints(text, shingle=shingle).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    return docs.select(*([row_col] if row_col else []), F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
 
 
 # --- parts and thresholds -------------------------------------------------------------
@@ -357,14 +357,23 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
-    prints = materialise(fingerprint_table(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+
+    ``row_col`` names a unique column; it comes along in front, and ``first`` tells the one row of each
+    component with the smallest id (null last), then the smallest ``row_col``.
+    """
+    prints = materialise(fingerprint_table(docs, id_col=id_col, text_col=text_col, shingle=shingle, row_col=row_col), "simhash")
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_col) if row_col else F.col("doc_id")
+    fps = materialise(prints.groupBy("fp").agg(F.min(who).alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = materialise(components(links(fps, radius)).withColumnRenamed("node", "fp"), "simhash-roots")
     member = roots.join(fps.select("fp", "first_id"), "fp")
     first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     joined = roots.join(first, "root").select("fp", "component_id")
     copies = fps.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
     found = prints.join(joined.unionByName(copies), "fp", "left")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", who)
+    ids = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")]
+    if row_col is None:
+        return found.select(*ids, component.alias("component_id"))
+    return found.select(row_col, *ids, component["doc_id"].alias("component_id"), (F.col(row_col) == component[row_col]).alias("first"))
