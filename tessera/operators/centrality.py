@@ -77,12 +77,12 @@ def connected_components(g: Graph) -> DataFrame:
     return g.nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def k_core(edges: DataFrame, k: int, *, max_rounds: int = 100) -> DataFrame:
-    """Nodes of the k-core of the undirected simple graph, by peeling."""
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """Nodes of the k-core of the undirected simple graph, peeled until nothing changes."""
     e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = materialise(e, "core")
     size = e.count()
-    for _ in range(max_rounds):
+    while True:
         keep = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") >= k).select("id")
         new = materialise(e.join(keep.withColumnRenamed("id", "a"), "a", "left_semi").join(keep.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "core")
         left = new.count()
@@ -112,7 +112,7 @@ def core_numbers(g: Graph, *, max_rounds: int = 200) -> DataFrame:
     return g.nodes.select("id").join(core, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"))
 
 
-def cyclic_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """id, component: strongly connected components above one node, or with a self-loop.
 
     Nodes without an edge in or out are peeled first; then colours (the largest node that reaches a node)
@@ -121,7 +121,7 @@ def cyclic_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     loops = edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")).distinct()
     left = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "scc")
     found = []
-    for _ in range(max_rounds):
+    while True:
         size = left.count()
         while size:  # peel
             heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()

@@ -186,14 +186,14 @@ _add(
 )
 _add(
     "k_core",
-    lambda g: centrality.k_core(g.edges.filter("kind IN ('imports', 'depends_on')"), 3, max_rounds=8),
+    lambda g: centrality.k_core(g.edges.filter("kind IN ('imports', 'depends_on')"), 3),
     ", e0 AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE kind IN ('imports', 'depends_on') AND src <> dst)"
     + "".join(f", k{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= 3), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM k{i}) AND b IN (SELECT id FROM k{i}))" for i in range(8))
     + " SELECT a AS id FROM e8 UNION SELECT b FROM e8",
 )
 _add("core_numbers", lambda g: centrality.core_numbers(Graph(g.nodes.filter("kind IN ('function', 'class')"), g.edges.filter("kind = 'imports'"))))
 _add("scc", lambda g: centrality.cyclic_components(_SHARED(g)))
-_add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')")), max_sources=16))
+_add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))))
 _add("articulation_points", lambda g: centrality.articulation_points(g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')")))
 
 # --- communities ---
@@ -213,17 +213,17 @@ _add("community_working_graph", lambda g: communities.working_graph(g.edges).sel
 _SMALL = lambda g: Graph(g.nodes.filter("kind IN ('class', 'function', 'module', 'package')"), g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))
 _add("louvain", lambda g: communities.louvain(_SMALL(g)))
 _add("leiden", lambda g: communities.leiden(_SMALL(g)))
-_add("label_propagation", lambda g: communities.label_propagation(_SMALL(g), rounds=4))
+_add("label_propagation", lambda g: communities.label_propagation(_SMALL(g)))
 _add("map_equation", lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))))
 
 # --- flows, changes ---
 _CRIT = ", en AS (SELECT n.id, n.name, n.is_test FROM nodes n WHERE kind IN ('function', 'method') AND (is_test OR regexp_matches(lower(name), '^(main|run|start|serve|handler|cli)$') OR n.id NOT IN (SELECT dst FROM edges WHERE kind = 'calls')))"
 _add("flow_entry_points", flows.entry_points, _CRIT + " SELECT id, name, is_test FROM en")
 _FLOW = _CRIT + ", re AS (SELECT * FROM edges WHERE kind = 'calls' AND conf_class <> 'ambiguous'), fi AS (SELECT dst AS id, count(*) AS fan_in FROM re GROUP BY dst), m1 AS (SELECT DISTINCT en.id AS entry, re.dst AS id, 1 AS depth FROM en JOIN re ON re.src = en.id), m AS (SELECT id AS entry, id, 0 AS depth FROM en UNION ALL SELECT * FROM m1), mm AS (SELECT entry, m.id, depth, coalesce(fan_in, 0) AS fan_in FROM m LEFT JOIN fi ON fi.id = m.id)"
-_add("flow_trace", lambda g: flows.trace(g, flows.entry_points(g), max_depth=2), _FLOW + " SELECT entry, id, depth, fan_in FROM mm")
+_add("flow_trace", lambda g: flows.trace(g, flows.entry_points(g)), _FLOW + " SELECT entry, id, depth, fan_in FROM mm")
 _add(
     "flow_criticality",
-    lambda g: flows.materialise_flows(g, max_depth=2)[0],
+    lambda g: flows.materialise_flows(g)[0],
     _FLOW + " SELECT entry, node_count, depth, round(greatest(0.0, least(1.0, least(0.1::DOUBLE * node_count, 0.6) + least(fan / 8, 0.25) + CASE WHEN regexp_matches(lower(name), 'main|handle|process|run') THEN 0.15 ELSE 0.0 END - CASE WHEN is_test THEN 0.2 ELSE 0.0 END)), 6) AS criticality FROM (SELECT entry, count(*) AS node_count, max(depth) AS depth, avg(fan_in) AS fan FROM mm GROUP BY entry HAVING count(*) >= 3) JOIN nodes n ON n.id = entry",
 )
 _HUNKS = lambda g: g.nodes.filter("kind = 'function' AND id % 10 = 0").select(F.col("source_uri").alias("file_path"), (F.col("line_end") - 1).alias("line_start"), (F.col("line_end") + 2).alias("line_end")).distinct()
