@@ -54,7 +54,7 @@ _PAIR = "SELECT p_partkey AS id, p_name AS a, lead(p_name) OVER (ORDER BY p_part
 
 
 def _pairs(s, d):
-    p = part(s, d).filter("p_partkey <= 400")
+    p = part(s, d)
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a")).join(p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("b")), "id")
 
 
