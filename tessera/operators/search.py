@@ -88,11 +88,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def vector_topk(vectors: DataFrame, query: list[float], *, id_col: str = "vec_id", vector_col: str = "embedding", least: float | None = None, limit: int = 20) -> DataFrame:
+def vector_topk(vectors: DataFrame, query: list[float], *, id_col: str = "vec_id", vector_col: str = "embedding", least: float | None = None, limit: int | None = 20) -> DataFrame:
+    """id, score, best first; with no ``limit``, every vector at or above ``least``."""
     q = F.array(*(F.lit(float(x)) for x in query))
     d = vectors.select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), q), 6).alias("score"))
     d = d if least is None else d.filter(F.col("score") >= least)
-    return d.orderBy(F.desc("score"), "id").limit(limit)
+    d = d.orderBy(F.desc("score"), "id")
+    return d if limit is None else d.limit(limit)
 
 
 def rrf(lists: list[tuple[DataFrame, float]], *, k: int = 61) -> DataFrame:

@@ -41,7 +41,7 @@ _add(
     s AS (SELECT p_partkey AS id, sum(CASE WHEN lower(p_name) = term THEN 1000.0 WHEN starts_with(lower(p_name), term) THEN 100.0 WHEN contains(lower(p_name), term) THEN 1.0 ELSE 0.0 END * w) AS score FROM part, t GROUP BY p_partkey)
     SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 50""",
 )
-_add("token_overlap_search", lambda s, d: search.token_overlap(docs(s, d).filter("n_chars < 400"), "doc_id", F.col("text"), "idiot stupid moron clown the of and", least=0.0, limit=50), r"WITH q AS (SELECT ['idiot', 'stupid', 'moron', 'clown'] AS q), t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS w FROM documents WHERE n_chars < 400) SELECT id, round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) AS score FROM t, q WHERE round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) > 0 ORDER BY score DESC, id LIMIT 50")
+_add("token_overlap_search", lambda s, d: search.token_overlap(docs(s, d), "doc_id", F.col("text"), "idiot stupid moron clown the of and", least=0.0, limit=50), r"WITH q AS (SELECT ['idiot', 'stupid', 'moron', 'clown'] AS q), t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS w FROM documents WHERE n_chars < 400) SELECT id, round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) AS score FROM t, q WHERE round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) > 0 ORDER BY score DESC, id LIMIT 50")
 _add(
     "bm25_search",
     lambda s, d: search.bm25(docs(s, d), "doc_id", "text", "stupid idiot", limit=30),
@@ -86,13 +86,13 @@ _add("noise_penalty", lambda s, d: _t("pages")(s, d).select("page_id", search.no
 _vec = [(-1.0 if i % 3 else 1.0) for i in range(64)]
 _VQ = "[" + ", ".join(f"{x}" for x in _vec) + "]::DOUBLE[]"
 _add("vector_topk", lambda s, d: search.vector_topk(_t("embeddings")(s, d), _vec, limit=20), f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_VQ}), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20")
-_add("vector_threshold", lambda s, d: search.vector_topk(_t("embeddings")(s, d), _vec, least=0.20, limit=1000), f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_VQ}), 6) AS score FROM embeddings WHERE round(list_cosine_similarity(embedding::DOUBLE[], {_VQ}), 6) >= 0.20 ORDER BY score DESC, id LIMIT 1000")
+_add("vector_threshold", lambda s, d: search.vector_topk(_t("embeddings")(s, d), _vec, least=0.20, limit=None), f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_VQ}), 6) AS score FROM embeddings WHERE round(list_cosine_similarity(embedding::DOUBLE[], {_VQ}), 6) >= 0.20 ORDER BY score DESC, id LIMIT 1000")
 _add("embedding_stats", lambda s, d: _t("embeddings")(s, d).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"), F.max(F.size("embedding")).cast("long").alias("dimensions")), "SELECT count(*) AS n, count(DISTINCT label) AS labels, max(len(embedding)) AS dimensions FROM embeddings")
 _add("html_headings", lambda s, d: html_source.heading_counts(_t("pages")(s, d)), r"SELECT page_id, level::INT AS level, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h([1-6])[\s>]', 1)) AS level FROM pages) GROUP BY ALL")
 _add("html_sections", lambda s, d: html_source.sections(_t("pages")(s, d)))
 _add("html_links", lambda s, d: html_source.links(_t("pages")(s, d)), """SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")
 _add("json_props", lambda s, d: _t("events")(s, d).select("event_id", F.size(F.json_object_keys("props")).cast("long").alias("n")), "SELECT event_id, len(json_keys(props))::BIGINT AS n FROM events")
-_add("markdown_sections", lambda s, d: changes.snippet(docs(s, d).filter("n_chars < 2000").select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("content").cast("long")).alias("chars")), "SELECT doc_id, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:200]) AS l FROM documents WHERE n_chars < 2000) GROUP BY doc_id")
+_add("markdown_sections", lambda s, d: changes.snippet(docs(s, d).select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("content").cast("long")).alias("chars")), "SELECT doc_id, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:200]) AS l FROM documents WHERE n_chars < 2000) GROUP BY doc_id")
 _add("event_graph", lambda s, d: event_graph(s, d).edges, "SELECT event_type AS src, nxt AS dst, 'data_flow' AS kind, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL")
 _add("minhash_pairs", lambda s, d: dedup.candidate_pairs(dedup.signatures(part(s, d), "p_partkey", "p_name")))
 _add("jaro_winkler_dedup", lambda s, d: dedup.deduplicate(supplier(s, d).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))))

@@ -52,3 +52,17 @@ def test_jaro_winkler_scores_every_pair_of_part(spark):
     score = {i: round(dedup.jaro_winkler_value(a, b), 6) for (i, a), (_, b) in zip(parts, parts[1:])}
     got = {r.id: r.score for r in text_queries.queries()["jaro_winkler"](spark, SF).collect()}
     assert max(got) > 400 and got == pytest.approx({i: x for i, x in score.items() if x > 0.8}, abs=2e-6)
+
+
+@pytest.mark.parametrize("name, cut", [("token_overlap_search", " WHERE n_chars < 400"), ("markdown_sections", " WHERE n_chars < 2000")])
+def test_long_documents_are_not_left_out(spark, name, cut):
+    got = sorted(map(tuple, text_queries.queries()[name](spark, SF).collect()))
+    whole, short = by_sql(name, cut, "", "documents"), by_sql(name, "\0", "", "documents", there=False)
+    assert whole != short
+    assert [r[0] for r in got] == [r[0] for r in whole] and [x for r in got for x in r[1:]] == pytest.approx([x for r in whole for x in r[1:]], abs=2e-6)
+
+
+def test_threshold_search_has_no_limit(spark, monkeypatch):
+    rows = spark.range(1500).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CASE WHEN i % 3 = 0 THEN 1.0D ELSE -1.0D END) AS embedding")
+    monkeypatch.setattr(text_queries, "read_table", lambda s, d, name: rows)
+    assert text_queries.queries()["vector_threshold"](spark, "").count() == 1500
