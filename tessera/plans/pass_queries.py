@@ -38,7 +38,7 @@ _PLACE = """WITH cand AS (
     FROM lineitem JOIN part ON l_partkey % 1500 = p_partkey % 1500
 ), n AS (SELECT *, count(*) OVER (PARTITION BY edge_id) AS n1, sum(same::INT) OVER (PARTITION BY edge_id) AS n2 FROM cand)
 """
-_add("call_resolve_unique", lambda s, d: resolution.resolve_calls(placeholder_graph(s, d)).filter("tier <= 2").select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class"), _PLACE + "SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 ELSE 2 END::BIGINT AS tier, 'extracted' AS conf_class FROM n WHERE n1 = 1 OR (n2 = 1 AND same)")
+_add("call_resolve_unique", lambda s, d: resolution.resolve_calls(placeholder_graph(s, d)).select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class"), _PLACE + "SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 ELSE 2 END::BIGINT AS tier, 'extracted' AS conf_class FROM n WHERE n1 = 1 OR (n2 = 1 AND same)")
 
 
 def _types(spark, d) -> DataFrame:

@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from tessera.operators import dedup
-from tessera.plans import graph_queries, text_queries
+from tessera import schemas
+from tessera.plans import graph_queries, pass_queries, text_queries
+from tessera.sources.adapters import Graph
 from test_graph import graph
 
 
@@ -66,3 +68,29 @@ def test_threshold_search_has_no_limit(spark, monkeypatch):
     rows = spark.range(1500).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CASE WHEN i % 3 = 0 THEN 1.0D ELSE -1.0D END) AS embedding")
     monkeypatch.setattr(text_queries, "read_table", lambda s, d, name: rows)
     assert text_queries.queries()["vector_threshold"](spark, "").count() == 1500
+
+
+def test_diamonds_of_every_call(spark, monkeypatch):
+    g, ids = graph(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])
+    assert [tuple(r) for r in run(monkeypatch, spark, "motif_diamond", g)] == [tuple(ids[x] for x in "abcd")]
+    assert [tuple(r) for r in run(monkeypatch, spark, "motif_diamond_counts", g)] == [(ids["a"], ids["d"], 1)]
+
+
+def test_surprise_pairs_count_calls_and_label_every_node(spark, monkeypatch):
+    g, ids = graph(spark, [("a", "b"), ("a", "c"), ("a", "d")], uris={"a": "x", "b": "x", "c": "y", "d": "y"})
+    assert [tuple(r) for r in run(monkeypatch, spark, "surprise_pairs", g)] == [(str(ids["a"]), str(ids["c"]), 2)]
+
+
+def test_motif_match_keeps_every_owner(spark, monkeypatch):
+    g, ids = graph(spark, [("own", "call", "defines"), ("call", "to", "calls")], kinds={"own": "class"})
+    monkeypatch.setattr(text_queries, "commerce_graph", lambda s, d: g)
+    got = [(r.owner, r.caller, r.callee) for r in text_queries.queries()["motif_match"](spark, "").collect()]
+    assert got == [(ids["own"], ids["call"], ids["to"])]
+
+
+def test_calls_resolved_by_scope_are_returned(spark, monkeypatch):
+    rows = [(1, "method", "f", "app::x::f", "a/f.py"), (2, "function", "n", "app::x::n", "b/g.py"), (3, "function", "n", "other::y::n", "c/h.py"), (4, "function", "n", "call::n", None)]
+    nodes = spark.createDataFrame([(*r, 1, 5, 4, False, None, None, None) for r in rows], schemas.NODES)
+    g = Graph(nodes, spark.createDataFrame([(9, 1, 4, "calls", "ambiguous", 0.0)], schemas.EDGES))
+    monkeypatch.setattr(pass_queries, "placeholder_graph", lambda s, d: g)
+    assert [tuple(r) for r in pass_queries.queries()["call_resolve_unique"](spark, "").collect()] == [(9, 2, 3, "inferred")]
