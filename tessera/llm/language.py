@@ -201,7 +201,9 @@ def build(samples: dict[str, list[str]], *, sample_chars: int = 60_000) -> Parse
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None, sample_rows: int = 64, sample_chars: int = 60_000, max_languages: int = 64) -> Parser:
     d = docs.filter(train_on) if train_on is not None else docs
     d = d.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
-    d = d.filter(F.length("text") <= sample_chars).withColumn("h", F.xxhash64("text"))
+    # Of a text that would fill the sample by itself only the beginning is learned.
+    short = F.when(F.length("text") > sample_chars, F.substring("text", 1, sample_chars // 8)).otherwise(F.col("text"))
+    d = d.withColumn("text", short).withColumn("h", F.xxhash64("text"))
     # At most max_languages * sample_rows rows reach the driver; each task passes on as few per language.
     common = [r[0] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     distinct = d.filter(F.col("lang").isin(common)).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from tessera.llm import language
 from tessera.runtime import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,3 +25,9 @@ def test_one_row_of_each_group_stays(spark, docs, stage, written):
     assert out.columns == docs.columns
     got = Counter((r.doc_id, r.text) for r in out.collect())
     assert got == Counter([(None, A), (5, B), (3, C), (3, D), (9, None)])
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rows = [(0, "the cat sat on the mat and saw the dog " * 20, "en"), (1, "zwölf große boxkämpfer jagen viktor quer über den deich " * 1200, "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.train(d).languages) == {"en", "de"}
