@@ -2,41 +2,51 @@
 
 Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. Plan:
 
-1. *Entries.* Map tasks hash-aggregate on the normalised bytes themselves, so
-   equal texts collapse before the shuffle (a group that holds a third of the
-   table leaves each task as one row) and two texts with one hash stay apart.
-2. *Directory.* A histogram of hash prefixes drives directory doubling: a bucket
-   above ``capacity`` is split on its next hash bit. The directory has a few
-   entries per ``capacity`` distinct texts.
-3. *Index.* Entries are written to shared files dealt by bucket, that is, each
-   owner task holds whole key ranges. Entries that share a 64-bit key form a
-   chain; the SHA-256 of the text tells the links of a chain apart.
-4. *Decisions.* Documents look their entry up. The few groups above
-   ``hot_share`` of all rows (their number is at most ``1 / hot_share``) are
-   broadcast; all others are joined by key.
+1. *Keys.* The 64-bit hash keys of all rows are counted; only keys and counts are shuffled.
+2. *Directory.* A histogram of key prefixes drives directory doubling: a bucket with more than
+   ``capacity`` keys is split on its next hash bit. The directory has at most ``2 ** MAX_DEPTH``
+   slots, whatever the table holds: where the table needs more buckets than that allows, buckets
+   grow in proportion, and an owner task sorts its buckets on disk.
+3. *Index.* Rows are dealt by the directory's bucket, so an owner task holds whole key ranges. It
+   compares texts byte by byte: equal texts become one entry with the list of its rows, and texts
+   that share a key form a chain. Entries are written to shared files, without the texts.
+4. *Hot keys.* A key with more than ``hot_rows`` rows has its rows spread over parts of about that many;
+   each part makes its own entry, and these entries, few for each text, meet in their bucket once
+   more, where bytes are compared again. So no list is longer than a part, and no task holds a whole hot group.
+5. *Decisions.* Each entry gives its rows the decision; nothing is looked up by hash alone.
 
 Everything is DataFrame expressions.
 
 Defined cases: null text counts as empty, and all texts without other characters
 form one group; a null ``doc_id`` sorts after every other id; extra columns are
 ignored; an empty table gives no rows; rows that repeat both id and text are one
-document written twice and carry the same decision, counted in ``group_size``.
+document written twice and carry the same decision, counted in ``group_size``; where
+``row_col`` names a unique column, ``first`` tells exactly one row of each group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import discard, materialise
 
 _WHITE = r"[\x20\x09-\x0D]+"
+#: Bits of the largest directory: 262,144 slots, about 4 MB as a broadcast.
+MAX_DEPTH = 18
+#: Rows of a hot-key table that a broadcast may hold, about 32 MB; a larger one is joined by a shuffle.
+_BROADCAST_ROWS = 1_000_000
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
+def _key(text_col: str) -> tuple[Column, Column, Column]:
+    """The original text, its normal form and the key of that."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), F.regexp_replace(text, _WHITE, "").alias("norm"))
-    return d.withColumns({"key": F.xxhash64("norm"), "sha": F.sha2("norm", 256)})
+    norm = F.regexp_replace(text, _WHITE, "")
+    return text, norm, F.xxhash64(norm)
+
+
+def _bounded(small: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(small) if rows <= _BROADCAST_ROWS else small
 
 
 def directory(histogram: list[tuple[int, int]], depth: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -63,47 +73,66 @@ def directory(histogram: list[tuple[int, int]], depth: int, capacity: int) -> li
     return out
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, tag: str = "dedup") -> DataFrame:
-    """Index table: bucket, key, chain, sha, keep_id, max_cp, group_size, keep_rows."""
-    d = _keyed(docs, id_col, text_col)
-    by_length = d.groupBy("key", "norm", "sha", "cp").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_id"), F.max(F.col("doc_id").isNull()).alias("no_id"))
-    entries = by_length.groupBy("key", "sha").agg(
-        F.sum("n").alias("group_size"),
-        F.max("cp").alias("max_cp"),
-        F.max_by(F.struct(F.when(~(F.col("no_id") & (F.col("first_id") == 2**63 - 1)), F.col("first_id")).alias("id")), F.struct("cp", -F.col("first_id"))).getField("id").alias("keep_id"),
-    )
-    entries = materialise(entries, f"{tag}-entries")
-    n = entries.count()
-    depth = max(0, (max(1, n) - 1).bit_length() - capacity.bit_length() + 5) if n > capacity else 0
-    prefix = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    histogram = [(r[0], r[1]) for r in entries.groupBy(prefix.alias("p")).count().collect()] if depth else [(0, n)]
-    ranges = directory(histogram, depth, capacity)
-    spark = docs.sparkSession
-    slots = spark.createDataFrame([(p, b) for lo, hi, b in ranges for p in range(lo, hi + 1)], "prefix long, bucket int")
-    placed = entries.withColumn("prefix", prefix).join(F.broadcast(slots), "prefix").drop("prefix")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")) - 1
-    index = materialise(placed.withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain"), f"{tag}-index")
-    discard(entries)
-    return index
-
-
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, hot_share: float = 0.001, row_col: str | None = None) -> DataFrame:
+def build_directory(keys: DataFrame, n_keys: int, capacity: int) -> tuple[DataFrame, int]:
+    """prefix, bucket: the bucket of each prefix of the directory's depth, and that depth."""
+    capacity = max(capacity, n_keys >> (MAX_DEPTH - 3))
+    depth = min(MAX_DEPTH, (-(-n_keys // capacity) - 1).bit_length() + 3) if n_keys > capacity else 0
+    prefix = prefix_of(F.col("key"), depth)
+    histogram = [(r[0], r[1]) for r in keys.groupBy(prefix.alias("p")).count().collect()]  # at most 2 ** MAX_DEPTH rows
+    slots = [(p, b) for lo, hi, b in directory(histogram, depth, capacity) for p in range(lo, hi + 1)]
+    return materialise(keys.sparkSession.createDataFrame(slots, "prefix long, bucket int").coalesce(1), "dedup-directory"), depth
+
+
+def prefix_of(key: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4_096, hot_rows: int = 10_000, row_col: str | None = None) -> tuple[DataFrame, int]:
+    """The index table, and the number of its hot keys.
+
+    Columns: bucket, part, key, chain, sha, n, best, members; ``text`` for the parts of hot keys only.
+    ``best`` is the least (-code points, no id, id, row) of the entry.
+    """
+    carried = [row_col] if row_col else []
+    text, norm, key = _key(text_col)
+    keys = materialise(docs.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "dedup-keys")
+    hot = keys.filter(F.col("n") > hot_rows).select("key", F.ceil(F.col("n") / hot_rows).alias("parts"))
+    n_keys, n_hot = keys.agg(F.count(F.lit(1)), F.count_if(F.col("n") > hot_rows)).first()
+    slots, depth = build_directory(keys, n_keys, capacity)
+    rows = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), norm.alias("text"), key.alias("key"), F.spark_partition_id().alias("task"))
+    rows = rows.withColumn("prefix", prefix_of(F.col("key"), depth)).join(F.broadcast(slots), "prefix")
+    part = F.lit(0).cast("long")
+    if n_hot:
+        rows = rows.join(_bounded(hot, n_hot), "key", "left")
+        part = F.when(F.col("parts").isNull(), part).otherwise(F.pmod(F.xxhash64("doc_id", "cp", "task"), F.col("parts")))
+    dealt = rows.select(*carried, "doc_id", "cp", "text", "key", "bucket", part.alias("part"), (F.col("parts").isNotNull() if n_hot else F.lit(False)).alias("hot")).repartition("bucket", "part")
+    member = F.struct((-F.col("cp")).alias("cp"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *carried)
+    entries = dealt.groupBy("bucket", "part", "key", "text").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("best"), F.collect_list(member).alias("members"), F.first("hot").alias("hot"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "part", "key").orderBy("text")) - 1
+    entries = entries.select("bucket", "part", "key", chain.alias("chain"), F.sha2("text", 256).alias("sha"), "n", "best", "members", F.when(F.col("hot"), F.col("text")).alias("text"))
+    index = materialise(entries, "dedup-index")
+    discard(keys)
+    return index, n_hot
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4_096, hot_rows: int = 10_000, row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
 
     Of equal texts, the row with the most code points in the original text, then the
-    smallest id, stays. ``row_col`` names a column that comes along in front.
+    smallest id, stays. ``row_col`` names a unique column that comes along in front, and adds
+    ``first``, true for one row of each group.
     """
-    carried = [row_col] if row_col else []
-    index = build_index(docs, id_col=id_col, text_col=text_col, capacity=capacity)
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    many = index.filter("group_size > 1").select("key", "sha", "keep_id", "max_cp", "group_size")
-    bound = max(10_000, int(total * hot_share))
-    hot = many.filter(F.col("group_size") > bound).select("key", "sha", *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "max_cp", "group_size")))
-    cold = many.filter(F.col("group_size") <= bound).withColumnRenamed("key", "join_key")
-    d = _keyed(docs, id_col, text_col, *carried).drop("norm").join(F.broadcast(hot), ["key", "sha"], "left")
-    d = d.withColumn("join_key", F.when(F.col("hot_group_size").isNull(), F.col("key")).otherwise(F.xxhash64(*carried, "doc_id", "key")))
-    d = d.join(cold, ["join_key", "sha"], "left")
-    size = F.coalesce("group_size", "hot_group_size", F.lit(1)).cast("long")
-    keep = F.when(size == 1, F.col("doc_id")).otherwise(F.coalesce("keep_id", "hot_keep_id"))
-    d = d.select(*carried, "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("sha").alias("text_sha256"), (F.col("doc_id").eqNullSafe(keep) & ((size == 1) | (F.col("cp") == F.coalesce("max_cp", "hot_max_cp")))).alias("kept"))
-    return d.select(*carried, "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index, n_hot = build_index(docs, id_col=id_col, text_col=text_col, capacity=capacity, hot_rows=hot_rows, row_col=row_col)
+    best, size = F.col("best"), F.col("n")
+    if n_hot:
+        # The entries of a hot text's parts meet in their bucket; links say which they were.
+        whole = index.filter("text IS NOT NULL").groupBy("bucket", "key", "text").agg(F.sum("n").alias("all_n"), F.min("best").alias("all_best"), F.collect_list(F.struct("part", "chain")).alias("links"))
+        whole = materialise(whole.select("key", F.explode("links").alias("l"), "all_n", "all_best").select("key", "l.part", "l.chain", "all_n", "all_best"), "dedup-hot")
+        index = index.join(_bounded(whole, whole.count()), ["key", "part", "chain"], "left")
+        best, size = F.coalesce("all_best", "best"), F.coalesce("all_n", "n")
+    found = index.select(best.alias("best"), size.alias("group_size"), "sha", F.explode("members").alias("m"))
+    same = (F.col("m.doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("m.cp") == F.col("best.cp"))
+    out = [F.col("m.doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("group_size"), same.alias("kept"), F.col("sha").alias("text_sha256")]
+    if row_col:
+        out = [F.col(f"m.{row_col}"), *out, (F.col("m") == F.col("best")).alias("first")]
+    return found.select(*out)
