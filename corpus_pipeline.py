@@ -41,9 +41,7 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: the longest original, then the smallest id, then the first row."""
     keyed = _with_rows(docs)
-    found = materialise(exact_dedup(keyed, row_col=ROW).filter("group_size > 1").select(ROW, "text_sha256", "kept"), "copies")
-    first = found.filter("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
-    dropped = found.join(first, ROW, "left_anti").select(ROW)
+    dropped = exact_dedup(keyed, row_col=ROW).filter("NOT first").select(ROW)
     return keyed.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
