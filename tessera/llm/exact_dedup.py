@@ -101,15 +101,16 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     slots, depth = build_directory(keys, n_keys, capacity)
     rows = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("cp"), norm.alias("text"), key.alias("key"), F.spark_partition_id().alias("task"))
     rows = rows.withColumn("prefix", prefix_of(F.col("key"), depth)).join(F.broadcast(slots), "prefix")
-    part = F.lit(0).cast("long")
+    owner = ["bucket"]  # what decides the task; a constant part would hide from the planner that tasks hold whole buckets
     if n_hot:
         rows = rows.join(_bounded(hot, n_hot), "key", "left")
-        part = F.when(F.col("parts").isNull(), part).otherwise(F.pmod(F.xxhash64("doc_id", "cp", "task"), F.col("parts")))
-    dealt = rows.select(*carried, "doc_id", "cp", "text", "key", "bucket", part.alias("part"), (F.col("parts").isNotNull() if n_hot else F.lit(False)).alias("hot")).repartition("bucket", "part")
+        rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id", "cp", "task"), F.col("parts"))))
+        owner = ["bucket", "part"]
+    dealt = rows.select(*carried, "doc_id", "cp", "text", "key", *owner, (F.col("parts").isNotNull() if n_hot else F.lit(False)).alias("hot")).repartition(*owner)
     member = F.struct((-F.col("cp")).alias("cp"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *carried)
-    entries = dealt.groupBy("bucket", "part", "key", "text").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("best"), F.collect_list(member).alias("members"), F.first("hot").alias("hot"))
-    chain = F.row_number().over(Window.partitionBy("bucket", "part", "key").orderBy("text")) - 1
-    entries = entries.select("bucket", "part", "key", chain.alias("chain"), F.sha2("text", 256).alias("sha"), "n", "best", "members", F.when(F.col("hot"), F.col("text")).alias("text"))
+    entries = dealt.groupBy(*owner, "key", "text").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("best"), F.collect_list(member).alias("members"), F.first("hot").alias("hot"))
+    chain = F.row_number().over(Window.partitionBy(*owner, "key").orderBy("text")) - 1
+    entries = entries.select("bucket", F.col("part") if n_hot else F.lit(0).cast("long").alias("part"), "key", chain.alias("chain"), F.sha2("text", 256).alias("sha"), "n", "best", "members", F.when(F.col("hot"), F.col("text")).alias("text"))
     index = materialise(entries, "dedup-index")
     discard(keys)
     return index, n_hot
