@@ -5,13 +5,16 @@
 2. Pieces are dealt to partitions of about ``rows_per_partition`` rows by hash, and packed there
    by best-fit decreasing. Dual-feasible functions give a lower bound on the partition's bins;
    where the bound is met the packing is optimal, and certified.
-3. Each partition hands in its emptiest bins, one and two more for each bin above the bound.
-   The documents in them are exchanged between partitions, packed again and kept if that takes
-   no more bins than before; this repeats until every pool is certified, one pool is left,
-   or ``rounds`` are over.
+3. While the bins of all partitions together are above the lower bound of all lengths, each partition hands
+   in its emptiest bins, one and two more for each bin above its own bound. The documents in them
+   are exchanged between partitions, packed again and kept if that takes no more bins than before.
+   This ends when the total is certified, one partition is left, or a whole round gained no bin.
+
+Each row tells the bound of its partition (``partition_bound``), the bins it took (``partition_bins``) and
+``certified``: whether the two are equal.
 
 Only lengths move between tasks, never texts or ids. No group grows with the data: the
-number of partitions does. Results are deterministic.
+number of partitions does. The bound of all lengths needs one row a length, ``capacity`` rows at most. Results are deterministic.
 
 Defined cases: null text counts as empty; an empty text is one piece of one id; a text whose
 ids fill sequences exactly has no shorter piece; rows that repeat an id are packed each; extra
@@ -85,11 +88,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, np.array(fill, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int, functions: int = 20) -> int:
-    """Bins that any packing needs: the best of two families of dual-feasible functions."""
+def lower_bound(lengths: np.ndarray, capacity: int, functions: int = 20, count: np.ndarray | None = None) -> int:
+    """Bins that any packing needs: the best of two families of dual-feasible functions; ``count`` of each length, else 1."""
     if not len(lengths):
         return 0
-    size, n = np.unique(lengths, return_counts=True)
+    size, n = np.unique(lengths, return_counts=True) if count is None else (lengths, count)
     best = -(-int(size @ n) // capacity)
     for k in range(1, functions + 1):
         scaled = (k + 1) * size
@@ -104,8 +107,8 @@ def lower_bound(lengths: np.ndarray, capacity: int, functions: int = 20) -> int:
 
 
 def _pack(rows: pd.DataFrame, capacity: int, group: int, level: int) -> pd.DataFrame:
-    """Pack one partition; ``handed`` marks the bins to exchange, ``gap`` the bins above the bound."""
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+    """Pack one partition; ``handed`` marks the bins that it would exchange."""
+    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "start"], ascending=[False, True, True, True, True], ignore_index=True)
     lengths = rows["length"].to_numpy()
     where, fill = best_fit_decreasing(lengths, capacity)
     bound = lower_bound(lengths, capacity)
@@ -115,7 +118,6 @@ def _pack(rows: pd.DataFrame, capacity: int, group: int, level: int) -> pd.DataF
         rows["sequence_id"] = rows["sequence_id"].astype("int64")
     else:
         rows["sequence_id"] = (np.int64(level) << 58) | (np.int64(group) << _BIN_BITS) | where
-    gap = len(fill) - bound
     order = np.argsort(where, kind="stable")
     total = np.cumsum(lengths[order]) - lengths[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(where[order], minlength=len(fill)))[:-1]])
@@ -123,9 +125,10 @@ def _pack(rows: pd.DataFrame, capacity: int, group: int, level: int) -> pd.DataF
     offset[order] = total - total[first][where[order]]
     rows["offset"] = offset
     handed = np.zeros(len(fill), bool)
-    emptiest = np.argsort(fill, kind="stable")[: 2 * gap + 1]
+    emptiest = np.argsort(fill, kind="stable")[: 2 * (len(fill) - bound) + 1]
     handed[emptiest] = fill[emptiest] < capacity
     rows["handed"] = handed[where]
+    rows["partition_bins"], rows["partition_bound"] = len(fill), bound
     return rows
 
 
@@ -136,32 +139,38 @@ def _packer(capacity: int, level: int):
     return run
 
 
-def pack(pieces: DataFrame, *, capacity: int, rows_per_partition: int = 32_768, rounds: int = 3) -> DataFrame:
-    """Pieces with sequence_id and offset (gapless from 0 in each sequence)."""
+def pack(pieces: DataFrame, *, capacity: int, rows_per_partition: int = 32_768) -> DataFrame:
+    """Pieces with sequence_id and offset (gapless from 0 in each sequence), and the certificate of their partition."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = f"{PIECES}, sequence_id long, offset long, handed boolean"
+    out = [*columns, "sequence_id", "offset", "partition_bins", "partition_bound"]
+    schema = f"{PIECES}, sequence_id long, offset long, handed boolean, partition_bins long, partition_bound long"
     done: list[DataFrame] = []
     full = pieces.filter(F.col("length") >= capacity)
-    pool, level = pieces.filter(F.col("length") < capacity).withColumn("sequence_id", F.lit(0).cast("long")), 0
+    short = pieces.filter(F.col("length") < capacity)
+    histogram = np.array([(r[0], r[1]) for r in short.groupBy("length").count().orderBy("length").collect()], np.int64).reshape(-1, 2)
+    wanted, n = lower_bound(histogram[:, 0], capacity, count=histogram[:, 1]), int(histogram[:, 1].sum())
+    pool, level, kept, before = short.withColumn("sequence_id", F.lit(0).cast("long")), 0, 0, None
     dealt = F.xxhash64(*columns)
-    n = pool.count()
     while True:
         groups = max(1, -(-n // rows_per_partition))
         packed = materialise(pool.withColumn("part", F.pmod(dealt, F.lit(groups))).groupBy("part").applyInPandas(_packer(capacity, level), schema), f"pack-{level}")
-        n = packed.filter("handed").count()
-        last = groups == 1 or level + 1 >= rounds or not n
+        bins = packed.groupBy("handed").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("offset") == 0, 1).otherwise(0)).alias("bins")).collect()
+        n, total = sum(r["n"] for r in bins if r["handed"]), sum(r["bins"] for r in bins)
+        gained = before is None or total < before
+        last = groups == 1 or not n or not gained or kept + total <= wanted or level == 30
         done.append(packed if last else packed.filter("NOT handed"))
         if last:
             break
-        pool, level = packed.filter("handed").drop("offset", "handed"), level + 1
+        kept, before = kept + sum(r["bins"] for r in bins if not r["handed"]), sum(r["bins"] for r in bins if r["handed"])
+        pool, level = packed.filter("handed").select(*columns, "sequence_id"), level + 1
         dealt = F.xxhash64("sequence_id", F.lit(level))
-    alone = full.select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    found = full.select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(F.lit(1).cast("long").alias(c) for c in out[-2:]))
     for d in done:
-        alone = alone.unionByName(d.select(*columns, "sequence_id", "offset"))
-    return alone
+        found = found.unionByName(d.select(*out))
+    return found.withColumn("certified", F.col("partition_bins") == F.col("partition_bound"))
 
 
 def pack_documents(docs: DataFrame, *, ranks_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the certificate: one row a piece."""
     pieces = materialise(token_pieces(docs, ranks_path=ranks_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
     return pack(pieces, capacity=capacity, **options)

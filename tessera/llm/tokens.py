@@ -3,8 +3,8 @@
 Text is cut into pre-tokens with array operations on code points (the tokenizer's split
 pattern only asks for the class of a character and of its neighbours); a pre-token's ids
 come from a bounded cache keyed by its hash, and only pre-tokens not in the cache are merged
-one by one. Ids equal those of ``tokenizers`` on ``byte_bpe_50k.json`` with its special
-token's string taken as ordinary text.
+one by one. Ids equal those of ``tokenizers`` on ``byte_bpe_50k.json``: the string of its special
+token is cut out first and is one id of its own, what stands between is text of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import pyarrow as pa
 
 from tessera.llm._text import parts, span_hashes
 
+# String and id of the vocabulary's special token.
+SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
+
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _classes: np.ndarray | None = None
 
@@ -130,10 +133,27 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _with_special(text: bytes, ranks_path: str) -> np.ndarray:
+    """Ids of one text that holds the special token."""
+    between = pa.array([x.decode("utf-8", "replace") for x in text.split(SPECIAL)])
+    out: list[np.ndarray] = []
+    for ids in encode_batch(between, ranks_path):
+        out += [ids, np.array([SPECIAL_ID], np.uint32)]
+    return np.concatenate(out[:-1])
+
+
 def encode_batch(array: pa.Array, ranks_path: str):
     """Yields the ids (uint32) of each text in turn."""
     encoder = _encoders.get(ranks_path) or _encoders.setdefault(ranks_path, Encoder(ranks_path))
     for _, _, data, offsets in parts(array):
+        special = set()
+        raw = data.tobytes()
+        at = raw.find(SPECIAL)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, side="right")) - 1
+            if at + len(SPECIAL) <= offsets[k + 1]:
+                special.add(k)
+            at = raw.find(SPECIAL, at + 1)
         try:
             starts, ends, first = pre_tokens(data, offsets)
         except UnicodeDecodeError:  # invalid bytes become U+FFFD
@@ -143,5 +163,5 @@ def encode_batch(array: pa.Array, ranks_path: str):
         ids, counts = encoder.encode(data, starts, ends)
         ids = ids.astype(np.uint32)
         bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[first]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield ids[a:b]
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            yield _with_special(raw[offsets[k] : offsets[k + 1]], ranks_path) if k in special else ids[a:b]
