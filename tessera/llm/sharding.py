@@ -11,9 +11,13 @@ id's hash); the offsets are a running sum over that small table, and only within
 sub-bucket, about ``rows_per_bucket`` rows at most, are rows numbered by id. A hot cell of the
 curve is split over its sub-buckets. Texts are not shuffled.
 
+Quantiles of numbers are approximate, those of strings exact over a count of each value: the counts
+are range-partitioned by value, each partition's sum goes to the driver (one row a partition), and only
+the values at which a quantile is crossed are collected, at most ``2 ** bits`` a dimension.
+
 Defined cases: null metadata is level 0; null text has no bytes (size 8, CRC-32 0); with
-fewer rows than shards the later shards may be empty; rows that repeat an id are numbered in
-any order; equal texts are not kept together, since the law is on counts; extra columns are
+fewer rows than shards the later shards may be empty; rows that repeat an id are numbered by
+CRC-32 and size of the text; equal texts are not kept together, since the law is on counts; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -59,27 +63,40 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number in the order of the column: numbers as they are, strings by their first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def string_bounds(docs: DataFrame, column: Column, steps: int) -> list[str]:
+    """Values at which ``1 / steps``, ``2 / steps`` ... of the rows are reached, in order."""
+    counts = docs.select(column.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+    sums = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(sums):
+        before.append((part, total))
+        total += sums[part]
+    if not total:
+        return []
+    given = docs.sparkSession.createDataFrame(before, "part int, below long")
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    reached = counts.withColumn("up_to", up_to).join(F.broadcast(given), "part").withColumn("up_to", F.col("up_to") + F.col("below"))
+    crossing = reached.filter(F.floor(F.col("up_to") * steps / total) > F.floor((F.col("up_to") - F.col("n")) * steps / total))
+    return sorted(r["value"] for r in crossing.filter(F.col("up_to") < total).select("value").collect())
 
 
 def levels(docs: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
-    """A level expression for each dimension, from approximate quantiles of all rows."""
+    """A level expression for each dimension, from quantiles of all rows."""
     kinds = dict(docs.dtypes)
-    values = [ordinal(F.col(c), kinds[c]) for c in dimensions]
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    found = docs.agg(*(F.percentile_approx(v, steps, 10_000).alias(f"q{i}") for i, v in enumerate(values))).first()
-
-    def level(value: Column, bounds: list[float] | None) -> Column:
-        if not bounds:
+    numbers = [c for c in dimensions if kinds[c] != "string"]
+    found = docs.agg(F.count(F.lit(1)), *(F.percentile_approx(F.col(c).cast("double"), steps, 10_000) for c in numbers)).first()
+    bounds = dict(zip(numbers, found[1:]))
+
+    def level(c: str) -> Column:
+        value = F.col(c) if kinds[c] == "string" else F.col(c).cast("double")
+        edges = string_bounds(docs, F.col(c), 2**bits) if kinds[c] == "string" else sorted({float(b) for b in bounds[c] or []})
+        if not edges:
             return F.lit(0)
-        edges = F.array(*(F.lit(float(b)) for b in sorted(set(bounds))))
-        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b < value)))
+        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda b: b < value)))
 
-    return [level(v, bounds) for v, bounds in zip(values, found)]
+    return [level(c) for c in dimensions]
 
 
 def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 100_000) -> DataFrame:
@@ -102,7 +119,7 @@ def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str
     cell_start = cell_sizes.select("hilbert", (F.sum("n").over(Window.orderBy("hilbert")) - F.col("n")).alias("cell_start"))
     inner = F.sum("n").over(Window.partitionBy("hilbert").orderBy("sub")) - F.col("n")
     starts = counts.withColumn("inner_start", inner).join(cell_start, "hilbert").select("hilbert", "sub", (F.col("cell_start") + F.col("inner_start")).alias("start"))
-    local = F.row_number().over(Window.partitionBy("hilbert", "sub").orderBy("doc_id")) - 1
+    local = F.row_number().over(Window.partitionBy("hilbert", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
     ranked = thin.withColumn("local", local).join(starts, ["hilbert", "sub"]).withColumn("position", F.col("start") + F.col("local"))
     shard = F.expr(f"(position * {n_shards}) div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {n_shards - 1}) div {n_shards}")
