@@ -172,8 +172,8 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds, one a part, that sum to ``total`` at the least summed cost, by dynamic programming."""
+def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]] | None:
+    """Thresholds, one a part, that sum to ``total`` at the least summed cost, by dynamic programming; None if none do."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for options in costs:
         new: dict[int, tuple[float, list[int]]] = {}
@@ -182,7 +182,7 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
                 if s + t not in new or c + extra < new[s + t][0]:
                     new[s + t] = (c + extra, [*picked, t])
         best = new
-    return best[total]
+    return best.get(total)
 
 
 def plan(fps: DataFrame, radius: int, *, key_cost: float = 200.0) -> tuple[list[list[int]], list[int]]:
@@ -208,8 +208,10 @@ def plan(fps: DataFrame, radius: int, *, key_cost: float = 200.0) -> tuple[list[
             costs.append(options)
             k += 1
         found = allocate(costs, radius - len(cut) + 1)
-        if best is None or found[0] < best[0]:
+        if found and (best is None or found[0] < best[0]):
             best = (found[0], cut, found[1])
+    if best is None:
+        raise ValueError(f"no cut of 64 bits finds all pairs within {radius} bits by at most 700 keys a part")
     return best[1], best[2]
 
 
@@ -309,7 +311,7 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 512) ->
 def links(fps: DataFrame, radius: int, *, block_rows: int = 20_000) -> DataFrame:
     """a, b: links between distinct fingerprints whose components are those of all links."""
     cut, thresholds = plan(fps, radius)
-    keys = materialise(probe_keys(fps, probe_masks(cut, thresholds)), "simhash-keys")
+    keys = written = materialise(probe_keys(fps, probe_masks(cut, thresholds)), "simhash-keys")
     heavy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
     heavy = materialise(heavy.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")), "simhash-heavy")
     if not heavy.isEmpty():
@@ -331,14 +333,19 @@ def links(fps: DataFrame, radius: int, *, block_rows: int = 20_000) -> DataFrame
         x, y = linked(k, f, radius)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    found = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct(), "simhash-links")
+    discard(written)
+    return found
 
 
 # --- components -----------------------------------------------------------------------
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """node, root (smallest node of its component) for every node of ``edges`` (a, b)."""
+def components(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+    """node, root (smallest node of its component) for every node of ``edges`` (a, b).
+
+    Rounds grow with the logarithm of the longest chain; an error is raised should ``max_rounds`` not do.
+    """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
     seen = None
     for _ in range(max_rounds):
@@ -354,10 +361,12 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, hot_rows: int = 10_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
     ``row_col`` names a unique column; it comes along in front, and ``first`` tells the one row of each
@@ -371,7 +380,16 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_co
     first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     joined = roots.join(first, "root").select("fp", "component_id")
     copies = fps.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    found = prints.join(joined.unionByName(copies), "fp", "left")
+    named = materialise(joined.unionByName(copies), "simhash-named")
+    # Rows of hot fingerprints (at most one fingerprint for every ``hot_rows`` rows) meet a broadcast, the others are joined by it.
+    hot = fps.filter(F.col("n") > hot_rows).select("fp").join(named, "fp").withColumnsRenamed({"fp": "hot_fp", "component_id": "hot_component"})
+    n_hot = hot.count()
+    if n_hot:
+        prints = prints.join(F.broadcast(hot) if n_hot <= 1_000_000 else hot, F.col("fp") == F.col("hot_fp"), "left")
+        prints = prints.withColumn("join_fp", F.when(F.col("hot_fp").isNull(), F.col("fp")).otherwise(F.xxhash64("doc_id", "fp")))
+    else:
+        prints = prints.withColumn("join_fp", F.col("fp")).withColumn("hot_component", F.lit(None).cast(named.schema["component_id"].dataType))
+    found = prints.join(named.withColumnRenamed("fp", "join_fp"), "join_fp", "left").withColumn("component_id", F.coalesce("hot_component", "component_id"))
     component = F.coalesce("component_id", who)
     ids = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")]
     if row_col is None:
