@@ -2,9 +2,9 @@
 
 For each language a suffix automaton of bounded labelled text is built. A text is parsed
 against it greedily: a phrase is the longest match with a substring of the language's
-text, and the next phrase starts where it ends. The number of phrases, divided by the
-text's length, estimates the cross entropy; the language with the fewest wins (ties: the
-first by name).
+text, and the next phrase starts where it ends. The number of phrases, times the logarithm of the
+length of the language's text (what one phrase costs to name), estimates the cross entropy; the
+language with the least wins (ties: the first by name).
 
 Text is reduced to lower-cased letters with one separator for everything between words, so
 that symbols, digits and capitals don't count. Automata are completed to tables: a missing
@@ -13,9 +13,11 @@ lookup per character and language, done for thousands of text pieces side by sid
 text is cut into pieces of ``PIECE`` characters, whose phrases add up; a cut adds one
 phrase at most.
 
-Learning takes, per language, the distinct texts of smallest hash up to ``sample_rows`` rows
-and ``sample_chars`` letters; at most ``max_languages`` languages, those with most rows.
-Scoring is one map over Arrow batches, without a shuffle.
+Every language with a labelled text is learned. Learning takes, per language, the distinct texts of
+smallest hash up to ``sample_rows`` rows and a number of letters: ``sample_chars``, or less where ``table_cells``
+(the size of all tables together) is shared by many languages. Of a text longer than an eighth of that, a slice at
+a place given by its hash is learned. Letters beyond the ``COMMON`` most frequent share classes by code point, so that tables
+stay narrow for any script. Scoring is one map over Arrow batches, without a shuffle.
 
 Defined cases: null text or no letter gives ``und`` with score 0; letters never seen in training
 end a phrase each; null and empty language names are not learned; with no learned language
@@ -33,8 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._text import parts
+from tessera.runtime import discard, materialise
 
 PIECE = 2048
+#: Letters with a symbol of their own, and classes that all others share.
+COMMON, SHARED = 384, 64
 _SEPARATOR = 1  # symbol 0 pads
 _fold: np.ndarray | None = None
 
@@ -118,6 +123,7 @@ class Parser:
     n_symbols: int
     steps: np.ndarray
     starts: np.ndarray
+    costs: np.ndarray
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) against each language."""
@@ -150,11 +156,11 @@ class Parser:
             codes, at = letters(data, offsets)
             if not len(codes) or not self.languages:
                 continue
-            found = self.phrases(codes, at)
+            bits = self.phrases(codes, at) * self.costs
             has = np.diff(at) > 0
-            win = found.argmin(1)
-            # Phrases cost about as many bits each; the share is capped so that it stays below 1.
-            gap = (found - found.min(1, keepdims=True)) * np.log(2.0)
+            win = bits.argmin(1)
+            # One phrase more halves the share; it is capped so that it stays below 1.
+            gap = (bits - bits.min(1, keepdims=True)) / self.costs.max() * np.log(2.0)
             share = 1 / np.exp(-np.minimum(gap, 40)).sum(1)
             best[row:end] = np.where(has, win, len(self.languages))
             score[row:end] = np.where(has, share, 0)
@@ -170,17 +176,20 @@ def build(samples: dict[str, list[str]], *, sample_chars: int = 60_000) -> Parse
         for text in texts:
             raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
             c, _ = letters(raw, np.array([0, len(raw)]))
-            if 0 < len(c) <= room:
-                held += [c, np.zeros(1, np.int32)]
-                room -= len(c) + 1
+            if room > 1 and len(c):
+                held += [c[: room - 1], np.zeros(1, np.int32)]
+                room -= len(held[-2]) + 1
         if held:
             runs[name] = np.concatenate(held)
-    used = np.unique(np.concatenate([r for r in runs.values()] or [np.zeros(1, np.int32)]))
-    used = used[used > 0]
-    n_symbols = len(used) + 3
+    used, often = np.unique(np.concatenate([r for r in runs.values()] or [np.zeros(1, np.int32)]), return_counts=True)
+    used, often = used[used > 0], often[used > 0]
+    own = used[np.sort(np.argsort(-often, kind="stable")[:COMMON])]
+    rest = np.setdiff1d(used, own)
+    n_symbols = len(own) + (SHARED if len(rest) else 0) + 3
     symbols = np.full((used[-1] if len(used) else 0) + 2, n_symbols - 1, np.uint16)
     symbols[0] = _SEPARATOR
-    symbols[used] = np.arange(2, len(used) + 2)
+    symbols[own] = np.arange(2, len(own) + 2)
+    symbols[rest] = 2 + len(own) + rest % SHARED
     tables, starts, base = [], [], 0
     for run in runs.values():
         table = suffix_automaton(symbols[run].tolist(), n_symbols)
@@ -195,25 +204,32 @@ def build(samples: dict[str, list[str]], *, sample_chars: int = 60_000) -> Parse
         starts.append(base * n_symbols)
         base += len(table)
     steps = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    return Parser(list(runs), symbols, n_symbols, steps, np.array(starts, np.int64))
+    costs = np.array([np.log2(len(r) + 1.0) for r in runs.values()])
+    return Parser(list(runs), symbols, n_symbols, steps, np.array(starts, np.int64), costs)
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None, sample_rows: int = 64, sample_chars: int = 60_000, max_languages: int = 64) -> Parser:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None, sample_rows: int = 64, sample_chars: int = 60_000, table_cells: int = 1 << 26) -> Parser:
     d = docs.filter(train_on) if train_on is not None else docs
-    d = d.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
-    # Of a text that would fill the sample by itself only the beginning is learned.
-    short = F.when(F.length("text") > sample_chars, F.substring("text", 1, sample_chars // 8)).otherwise(F.col("text"))
-    d = d.withColumn("text", short).withColumn("h", F.xxhash64("text"))
-    # At most max_languages * sample_rows rows reach the driver; each task passes on as few per language.
-    common = [r[0] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    distinct = d.filter(F.col("lang").isin(common)).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    d = d.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    distinct = materialise(d.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")), "lang-texts")
+    sizes = materialise(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "lang-sizes")
+    # An automaton has two states a letter at most, and a state a cell for each symbol.
+    chars = min(sample_chars, max(64, table_cells // (2 * (COMMON + SHARED) * max(1, sizes.count()))))
+    # Of hashes that are spread evenly, the lowest share holds four samples; what ranks first of it ranks first of all.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("texts"))
+    low = distinct.join(sizes, "lang").filter(F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = distinct.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).select("lang", "h")
-    rows = d.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    picked = low.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).select("lang", "h")
+    piece = max(8, chars // 8)
+    length = F.length("text")
+    cut = F.when(length <= chars, F.col("text")).otherwise(F.substring("text", (F.pmod(F.col("h"), length - piece) + 1).cast("int"), F.lit(piece)))
+    rows = d.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min(cut).alias("text")).collect()
+    discard(distinct)
+    discard(sizes)
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).append(r["text"])
-    return build(samples, sample_chars=sample_chars)
+    return build(samples, sample_chars=chars)
 
 
 def identify(docs: DataFrame, model: Parser, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
