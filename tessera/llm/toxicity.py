@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._frames import aside
 from tessera.llm._text import LOWER, parts, span_hashes, words
 
 WINDOW, STRIDE = 32, 24
@@ -314,7 +315,7 @@ def _batches(picked: list, held: list, rng: np.random.Generator, batch: int) ->
         yield *(np.concatenate(v) for v in (word, runs, starts, sizes)), np.array(start), np.array(size), np.array(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_000, **options) -> Network:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_500, **options) -> Network:
     """Fit on labelled rows for which ``train_on`` (an expression over the id, here named doc_id) holds."""
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
     if train_on is not None:
@@ -322,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     y = y.filter("y = 1").orderBy(*order).limit(sample_rows).unionByName(y.filter("y = 0").orderBy(*order).limit(sample_rows))
-    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id").limit(2 * sample_rows).toArrow().sort_by("doc_id")
+    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).toArrow().sort_by("doc_id")
     return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy().astype(int), **options)
 
 
@@ -336,6 +337,12 @@ def score_column(model: Network, text: Column | str, spark) -> Column:
     return toxicity(text)
 
 
+def _text_name(docs: DataFrame, text_col: str, added: list[str]) -> tuple[str, DataFrame]:
+    moved = aside(docs, added)
+    return moved.columns[docs.columns.index(text_col)], moved
+
+
 def toxicity_scores(docs: DataFrame, model: Network, *, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
-    """``docs`` with a score in [0, 1] and predicted 0 / 1 at 0.5."""
+    """``docs`` with a score in [0, 1] and predicted 0 / 1 at 0.5; columns of these names become ``<name>_in``."""
+    text_col, docs = _text_name(docs, text_col, [score_col, predicted_col])
     return docs.withColumn(score_col, score_column(model, text_col, docs.sparkSession)).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
