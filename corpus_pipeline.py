@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of documents.
+
+Defined cases, for every stage: a null text counts as empty; texts are taken whole, however long;
+columns besides doc_id, text and source are carried through whatever their names (but ``_row`` and ``_metadata``,
+which the deduplicating stages need); an empty table gives an empty table. Each stage's docstring has the rest.
 """
 
 from __future__ import annotations
@@ -22,7 +26,12 @@ ROW = "_row"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking model accepts; it learns from labelled rows outside the held-out fold."""
+    """Documents that the ranking model accepts; it learns from labelled rows outside the held-out fold.
+
+    The decision depends on the text alone, so rows of equal text stay or go together, rows that repeat an
+    id are judged each, and a null id is judged like any other (it has no label to learn from).
+    An empty or null text has a score like any other. Without labels all rows stay.
+    """
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), train_on=~held_out(5, 0), threshold=0.3)
     return quality.keep_good(docs, model)
 
@@ -39,26 +48,39 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays: the longest original, then the smallest id, then the first row."""
+    """Of equal texts one row stays: the longest original, then the smallest id (null last), then the first row.
+
+    Empty, null and white-space texts are one group. Rows are told apart by their place, so of rows that repeat
+    an id, or have none, one of each text stays.
+    """
     keyed = _with_rows(docs)
     dropped = exact_dedup(keyed, row_col=ROW).filter("NOT first").select(ROW)
     return keyed.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 4 bits one row stays: the smallest id, then the first row."""
+    """Of each component of fingerprints within 4 bits one row stays: the smallest id (null last), then the first row.
+
+    Texts without words have fingerprint zero and are linked like any other. Rows are told apart by their place.
+    """
     keyed = _with_rows(docs)
     dropped = simhash.near_duplicates(keyed, radius=4, shingle=4, row_col=ROW).filter("NOT first").select(ROW)
     return keyed.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its Poisson count says, sources tempered by a square root, in shuffled order."""
-    return mixing.replicate(docs, temper=0.5, seed=3).select(docs.columns)
+    """Each document as often as its Poisson count says, sources tempered by a square root, in shuffled order.
+
+    A null source is a source of its own; rows that repeat an id get the same count; rows without an id share one.
+    """
+    return mixing.replicate(docs, temper=0.5, seed=3, own_columns_only=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    """Pieces of all documents, packed into sequences of 2048 tokens.
+
+    An empty or null text is one piece of its end id; each replica of a document is packed by itself.
+    """
     return packing.pack_documents(docs, ranks_path=ranks_path(), capacity=2048)
 
 
