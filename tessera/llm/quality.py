@@ -110,7 +110,8 @@ class Ranker:
     def score(self, c: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(c), self.constant)
-        z = (features(c, self.prior) - self.mean) / self.scale @ self.weights - self.cut
+        # Row by row, so that a text's score doesn't depend on its place in a batch.
+        z = ((features(c, self.prior) - self.mean) / self.scale * self.weights).sum(1) - self.cut
         return 1 / (1 + np.exp(-np.clip(z + np.log(self.threshold / (1 - self.threshold)), -30, 30)))
 
 

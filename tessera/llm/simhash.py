@@ -200,7 +200,7 @@ def plan(fps: DataFrame, radius: int, *, key_cost: float = 200.0) -> tuple[list[
         costs = []
         for part in cut:
             options, near, width = {-1: 0.0}, 0, len(part)
-            for t in range(radius + 1):
+            for t in range(min(radius, width - 1) + 1):
                 near += _choose(width, t)
                 if _choose(width, t) > 700:
                     break

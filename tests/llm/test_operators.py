@@ -41,7 +41,7 @@ def by_id(df, key="doc_id"):
 
 
 def test_exact_dedup_matches_brute_force(docs, empty):
-    got = by_id(exact_dedup.exact_dedup(docs, capacity=3, hot_share=0.001))
+    got = by_id(exact_dedup.exact_dedup(docs, capacity=3, hot_rows=1))
     groups = {}
     for i, t, *_ in rows():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
@@ -53,10 +53,36 @@ def test_exact_dedup_matches_brute_force(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_hot_groups_take_the_broadcast_way(spark):
+@pytest.mark.parametrize("hot_rows", [10_000, 3_000, 7])
+def test_exact_dedup_hot_groups_meet_again(spark, hot_rows):
     d = spark.range(25_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
-    got = exact_dedup.exact_dedup(d).groupBy("group_size").count().collect()
-    assert {r.group_size: r["count"] for r in got} == {12_500: 12_500, 1: 12_500}
+    d = d.unionByName(spark.createDataFrame([(0, "sa me"), (1, "1")], d.schema))
+    got = exact_dedup.exact_dedup(d, hot_rows=hot_rows)
+    sizes = {r.group_size: r["count"] for r in got.groupBy("group_size").count().collect()}
+    assert sizes == {12_501: 12_501, 1: 12_499, 2: 2}
+    assert {r.keep_id for r in got.filter("group_size > 2").select("keep_id").distinct().collect()} == {0}
+    # Only the longer of the two rows with id 0 stays; the row written twice has the same decision twice.
+    assert got.filter("kept AND group_size > 2").count() == 1 and got.filter("kept AND group_size = 2").count() == 2
+
+
+def test_chains_keep_texts_of_one_key_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_key", lambda c: (F.coalesce(F.col(c), F.lit("")), F.regexp_replace(F.coalesce(F.col(c), F.lit("")), exact_dedup._WHITE, ""), F.shiftleft(F.length(c).cast("long"), 60)))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "bb", "aa", "cc", "dddd", "eeee"] * 40)], "doc_id long, text string")
+    for hot_rows in (1000, 5):
+        index, _ = exact_dedup.build_index(d, capacity=1, hot_rows=hot_rows)
+        assert index.agg(F.max("chain")).first()[0] >= 2
+        got = {(r.doc_id % 6, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(d, capacity=1, hot_rows=hot_rows).collect()}
+        assert got == {(0, 0, 80), (2, 0, 80), (1, 1, 40), (3, 3, 40), (4, 4, 40), (5, 5, 40)}
+
+
+def test_doubling_decides_the_owner_of_each_text(spark):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 400).cast("string")).alias("text"))
+    index, _ = exact_dedup.build_index(d, capacity=3)
+    per_bucket = [r["count"] for r in index.groupBy("bucket").count().collect()]
+    assert len(per_bucket) > 100 and max(per_bucket) <= 3 * 4
+    ranges = sorted((r.lo & (2**64 - 1), r.hi & (2**64 - 1)) for r in index.withColumn("u", F.col("key").cast("decimal(20,0)") + F.when(F.col("key") < 0, F.lit(2).cast("decimal(20,0)") ** 64).otherwise(0)).groupBy("bucket").agg(F.min("u").cast("decimal(20,0)").alias("a"), F.max("u").cast("decimal(20,0)").alias("b")).select(F.col("a").alias("lo"), F.col("b").alias("hi")).toPandas().astype({"lo": object, "hi": object}).map(int).itertuples())
+    assert all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))  # key ranges of buckets don't overlap
+    assert exact_dedup.exact_dedup(d, capacity=3).filter("group_size = 2").count() == 200
 
 
 def test_directory_splits_only_overfull_buckets():
@@ -167,7 +193,6 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = np.random.default_rng(5)
     alphabet = [*"abst'rvelmd  \n\t ,.!12é日本  'ʼ́٣😀ÀßЖ", "'s", "'re", "'ll", " '", "<|endoftext|>", "\r\n"]
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + [t or "" for _, t, *_ in rows()]
