@@ -97,12 +97,25 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), (F.length(text) / 4).cast("long"))
 
 
+# Intents and their keywords, in the order they are tried.
+INTENTS = {
+    "debug": ["error", "bug", "fail", "crash", "exception"],
+    "test": ["test", "coverage", "assert"],
+    "refactor": ["refactor", "rename", "cleanup", "extract"],
+    "review": ["review", "change", "diff", "impact"],
+    "architecture": ["architecture", "module", "design", "structure"],
+}
+
+
 def intent(query: Column) -> Column:
     """First rule whose keyword the query holds."""
-    # Intents and their keywords, in the order they are tried.
-    rules = {"debug": ["error", "bug", "fail", "crash", "exception"], "test": ["test", "coverage", "assert"], "refactor": ["refactor", "rename", "cleanup", "extract"], "review": ["review", "change", "diff", "impact"], "architecture": ["architecture", "module", "design", "structure"]}
     q = F.lower(query)
     out = F.lit("implementation")
-    for name, keys in reversed(rules.items()):
+    for name, keys in reversed(INTENTS.items()):
         out = F.when(q.rlike("|".join(keys)), name).otherwise(out)
     return out
+
+
+def intent_of(query: str) -> str:
+    low = query.lower()
+    return next((name for name, keys in INTENTS.items() if any(k in low for k in keys)), "implementation")

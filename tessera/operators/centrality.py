@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -19,12 +19,12 @@ def transitions(edges: DataFrame, *, inferred_floor: float = 0.0) -> DataFrame:
     return w.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
 
 
-def pagerank(g: Graph, *, damping: float = 0.85, iterations: int = 30, seeds: DataFrame | None = None, cut_every: int = 5) -> DataFrame:
+def pagerank(g: Graph, *, damping: float = 0.85, iterations: int = 30, seeds: DataFrame | None = None) -> DataFrame:
     """id, rank: weighted PageRank, dangling mass spread by the teleport. ``seeds`` (id, weight) personalise it.
 
-    The transition table is written once; lineage is cut by a written table every few rounds.
+    A round is one job: it writes the ranks (so no lineage grows) and observes the dangling mass that the next
+    round spreads. Contributions are summed by target before they meet the node table.
     """
-    spark = g.nodes.sparkSession
     t = materialise(transitions(g.edges), "pagerank-edges")
     n = g.nodes.count()
     if seeds is None:
@@ -33,29 +33,24 @@ def pagerank(g: Graph, *, damping: float = 0.85, iterations: int = 30, seeds: Da
         s = seeds.groupBy("id").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
         total = s.agg(F.sum("weight")).first()[0] or 1.0
         teleport = g.nodes.select("id").join(s, "id", "left").select("id", (F.coalesce("weight", F.lit(0.0)) / F.lit(total)).alias("t"))
-    has_out = t.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1))
-    base = materialise(teleport.join(has_out, "id", "left"), "pagerank-nodes")
-    rank = base.select("id", "t", "out", F.col("t").alias("rank"))
-    old = None
-    for i in range(1, iterations + 1):
-        dangling = rank.filter("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).withColumn("one", F.lit(1))
-        sent = t.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        new = base.join(sent, "id", "left").withColumn("one", F.lit(1)).join(F.broadcast(dangling), "one")
-        rank = new.select("id", "t", "out", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("rank"))
-        if i % cut_every == 0 or i == iterations:
-            rank = materialise(rank, f"pagerank-{i}")
-            if old is not None:
-                discard(old)
-            old = rank
-    del spark
+    outs = t.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True))
+    base = materialise(teleport.join(outs, "id", "left").select("id", "t", F.col("sends").isNull().alias("dangling")), "pagerank-nodes")
+    rank, mass = base.withColumn("rank", F.col("t")), base.filter("dangling").agg(F.sum("t")).first()[0] or 0.0
+    for _ in range(iterations):
+        got = t.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
+        new = base.join(got, "id", "left").select("id", "t", "dangling", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + mass * F.col("t"))).alias("rank"))
+        seen = Observation()
+        new = materialise(new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("mass")), "pagerank")
+        discard(rank)
+        rank, mass = new, seen.get["mass"] or 0.0
     return rank.select("id", "rank")
 
 
-def components(pairs: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """id, root: smallest node of each weakly connected component of (a, b), by large and small stars."""
+def components(pairs: DataFrame) -> DataFrame:
+    """id, root: smallest node of each weakly connected component of (a, b), by large and small stars until nothing changes."""
     now = materialise(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -94,12 +89,12 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
     return e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def core_numbers(g: Graph, *, max_rounds: int = 200) -> DataFrame:
+def core_numbers(g: Graph) -> DataFrame:
     """id, core: each node's number settles at the h-index of its neighbours' numbers."""
     e = g.edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cores-edges")
     core = materialise(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("core")), "cores")
-    for _ in range(max_rounds):
+    while True:
         # How many neighbours have at least c, for each c up to the own number: the largest c with count >= c.
         near = both.join(core.withColumnRenamed("id", "b"), "b").groupBy("a", "core").agg(F.count(F.lit(1)).alias("n"))
         h = near.groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_list(F.struct("core", "n")), asc=False).alias("x"))
@@ -162,19 +157,23 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     return loops if out is None else out.unionByName(loops.join(out.select("id"), "id", "left_anti"))
 
 
-def betweenness(g: Graph, *, max_sources: int = 64, max_hops: int = 12) -> DataFrame:
-    """id, score: path-count dependencies summed over breadth-first trees of the first node ids."""
-    pairs = materialise(g.edges.filter("src <> dst").select("src", "dst").distinct(), "between-edges")
+def betweenness(g: Graph, *, max_sources: int = 64) -> DataFrame:
+    """id, score: path-count dependencies summed over breadth-first trees of the first node ids, on the undirected view.
+
+    A level is checked against the two before it only: an undirected neighbour is no nearer than that.
+    """
+    forward = g.edges.filter("src <> dst").select("src", "dst")
+    pairs = materialise(forward.unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "between-edges")
     sources = g.nodes.orderBy("id").limit(max_sources).select(F.col("id").alias("s"))
     level = materialise(sources.select("s", F.col("s").alias("id"), F.lit(1.0).alias("sigma")), "between-0")
-    levels, seen = [level], level.select("s", "id")
-    for hop in range(1, max_hops + 1):
-        step = level.join(pairs, F.col("id") == F.col("src")).groupBy("s", "dst").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("dst", "id").join(seen, ["s", "id"], "left_anti")
-        level = materialise(step, f"between-{hop}")
+    levels = [level]
+    while True:
+        near = levels[-1].select("s", "id") if len(levels) == 1 else levels[-1].select("s", "id").unionByName(levels[-2].select("s", "id"))
+        step = level.join(pairs, F.col("id") == F.col("src")).groupBy("s", "dst").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("dst", "id").join(near, ["s", "id"], "left_anti")
+        level = materialise(step, f"between-{len(levels)}")
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("s", "id"))
     delta = materialise(levels[-1].select("s", "id", "sigma", F.lit(0.0).alias("delta")), "between-back")
     scores = [delta]
     for above in reversed(levels[:-1]):

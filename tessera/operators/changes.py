@@ -98,13 +98,13 @@ def active_at(df: DataFrame, ancestors: DataFrame, commit: str) -> DataFrame:
     return both.filter(begun & ~F.coalesce("to_gone", F.lit(False))).select(df.columns)
 
 
-def ancestor_closure(parents: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def ancestor_closure(parents: DataFrame) -> DataFrame:
     """commit, ancestor from (commit, parent), by doubling."""
     from tessera.runtime import materialise
 
     now = materialise(parents.select("commit", F.col("parent").alias("ancestor")).distinct(), "ancestors")
     size = now.count()
-    for _ in range(max_rounds):
+    while True:
         step = now.alias("x").join(now.alias("y"), F.col("x.ancestor") == F.col("y.commit")).select(F.col("x.commit").alias("commit"), F.col("y.ancestor").alias("ancestor"))
         now = materialise(now.unionByName(step).distinct(), "ancestors")
         n = now.count()
@@ -128,7 +128,8 @@ def file_diff(stored: DataFrame, current: DataFrame) -> DataFrame:
     return d.select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
-def snippet(texts: DataFrame, text_col: str, *, max_lines: int = 200) -> DataFrame:
-    """Numbered lines of each text."""
+def snippet(texts: DataFrame, text_col: str, *, max_lines: int | None = 200) -> DataFrame:
+    """Numbered lines of each text, the first ``max_lines`` or all."""
     keep = [c for c in texts.columns if c != text_col]
-    return texts.select(*keep, F.posexplode(F.slice(F.split(text_col, "\n"), 1, max_lines)).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    lines = F.split(text_col, "\n")
+    return texts.select(*keep, F.posexplode(lines if max_lines is None else F.slice(lines, 1, max_lines)).alias("line", "content")).withColumn("line", F.col("line") + 1)

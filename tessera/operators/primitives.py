@@ -40,10 +40,6 @@ def remove_nodes(g: Graph, ids: DataFrame) -> Graph:
     return Graph(g.nodes.join(gone, "id", "left_anti"), e.select(g.edges.columns))
 
 
-def remove_edges_by_id(g: Graph, ids: DataFrame) -> Graph:
-    return Graph(g.nodes, g.edges.join(ids.select("id"), "id", "left_anti").select(g.edges.columns))
-
-
 def remove_first_parallel(g: Graph, kind: str) -> Graph:
     """Drop the first of the parallel edges of a kind between two nodes."""
     nth = F.row_number().over(Window.partitionBy("src", "dst", "kind").orderBy("id"))

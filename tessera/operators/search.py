@@ -13,6 +13,11 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(T.search_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("token")).groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def update_postings(posted: DataFrame, new: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Postings without those of the ``replaced`` ids, and with ``new`` ones."""
+    return posted.join(replaced.select("id"), "id", "left_anti").select("token", "id", "tf").unionByName(new.select("token", "id", "tf"))
+
+
 def trigram_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(T.grams(F.lower(text_col)))).alias("gram"))
 

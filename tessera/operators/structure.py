@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.adapters import Graph
@@ -45,18 +45,27 @@ def feedback(edges: DataFrame) -> DataFrame:
     return p.filter("src <= dst").join(back, ["src", "dst"])
 
 
-def diamonds(edges: DataFrame) -> DataFrame:
-    """a -> b, a -> c, b -> d, c -> d with b < c and d <> a, on the simple digraph."""
+def _two_steps(edges: DataFrame) -> DataFrame:
+    """a, m, d: paths of two edges of the simple digraph over three different nodes."""
     p = edges.select("src", "dst").distinct()
-    two = p.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(p.select(F.col("src").alias("m"), F.col("dst").alias("d")), "m").filter("a <> d AND a <> m AND m <> d")
-    left, right = two.withColumnRenamed("m", "b"), two.withColumnRenamed("m", "c")
-    return left.join(right, ["a", "d"]).filter("b < c").select("a", "b", "c", "d")
+    return p.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(p.select(F.col("src").alias("m"), F.col("dst").alias("d")), "m").filter("a <> d AND a <> m AND m <> d")
+
+
+def diamonds(edges: DataFrame, *, limit: int = 50) -> DataFrame:
+    """The first ``limit`` of a -> b, a -> c, b -> d, c -> d with b < c and d <> a, by (a, d, b, c).
+
+    Only pairs (a, d) that can be among them are listed, and of each the first ``limit`` + 1 middle nodes.
+    """
+    first = diamond_counts(edges).select("a", "d").orderBy("a", "d").limit(limit)
+    place = F.row_number().over(Window.partitionBy("a", "d").orderBy("m"))
+    two = _two_steps(edges).join(F.broadcast(first), ["a", "d"]).withColumn("place", place).filter(F.col("place") <= limit + 1).drop("place")
+    pairs = two.withColumnRenamed("m", "b").join(two.withColumnRenamed("m", "c"), ["a", "d"]).filter("b < c")
+    return pairs.select("a", "b", "c", "d").orderBy("a", "d", "b", "c").limit(limit)
 
 
 def diamond_counts(edges: DataFrame) -> DataFrame:
     """Diamonds per (a, d) without listing them: k middle nodes make k (k - 1) / 2."""
-    p = edges.select("src", "dst").distinct()
-    two = p.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(p.select(F.col("src").alias("m"), F.col("dst").alias("d")), "m").filter("a <> d AND a <> m AND m <> d")
+    two = _two_steps(edges)
     return two.groupBy("a", "d").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a", "d", F.expr("k * (k - 1) div 2").alias("diamonds"))
 
 

@@ -65,8 +65,8 @@ _SHARED = lambda g: g.edges.filter("kind = 'imports'").select(F.col("dst").alias
 _SHARED_SQL = ", s AS (SELECT DISTINCT dst AS src, src % 50 + 3000000000000000 AS dst FROM edges WHERE kind = 'imports')"
 _add("motif_feedback", lambda g: structure.feedback(_SHARED(g)), _SHARED_SQL + " SELECT a.src, a.dst FROM s a JOIN s b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst")
 _DIA = lambda g: g.edges.filter("kind IN ('calls', 'imports')")
-_DIA_SQL = ", p AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls' AND src % 7 = 0 OR kind = 'imports'), two AS (SELECT x.src AS a, x.dst AS m, y.dst AS d FROM p x JOIN p y ON x.dst = y.src WHERE x.src <> y.dst AND x.src <> x.dst AND y.src <> y.dst)"
-_add("motif_diamond", lambda g: structure.diamonds(_DIA(g)), _DIA_SQL + " SELECT l.a, l.m AS b, r.m AS c, l.d FROM two l JOIN two r ON l.a = r.a AND l.d = r.d AND l.m < r.m")
+_DIA_SQL = ", p AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'imports')), two AS (SELECT x.src AS a, x.dst AS m, y.dst AS d FROM p x JOIN p y ON x.dst = y.src WHERE x.src <> y.dst AND x.src <> x.dst AND y.src <> y.dst)"
+_add("motif_diamond", lambda g: structure.diamonds(_DIA(g)), _DIA_SQL + ", f AS (SELECT a, d FROM two GROUP BY a, d HAVING count(*) > 1 ORDER BY a, d LIMIT 50), t AS (SELECT two.* FROM two JOIN f USING (a, d)) SELECT l.a, l.m AS b, r.m AS c, l.d FROM t l JOIN t r ON l.a = r.a AND l.d = r.d AND l.m < r.m ORDER BY l.a, l.d, b, c LIMIT 50")
 _add("motif_diamond_counts", lambda g: structure.diamond_counts(_DIA(g)), _DIA_SQL + " SELECT a, d, (count(*) * (count(*) - 1) // 2)::BIGINT AS diamonds FROM two GROUP BY a, d HAVING count(*) > 1")
 _add("large_functions", lambda g: structure.large_functions(g).withColumn("lines", F.col("lines").cast("long")), " SELECT id, qualified_name, (line_end - 1)::BIGINT AS lines FROM nodes WHERE kind IN ('function', 'method') AND line_end - 1 >= 30")
 _USED = "('calls', 'imports', 'tested_by', 'inherits', 'implements', 'reads_writes', 'data_flow', 'mentions', 'depends_on')"
@@ -188,12 +188,25 @@ _add(
     "k_core",
     lambda g: centrality.k_core(g.edges.filter("kind IN ('imports', 'depends_on')"), 3),
     ", e0 AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE kind IN ('imports', 'depends_on') AND src <> dst)"
-    + "".join(f", k{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= 3), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM k{i}) AND b IN (SELECT id FROM k{i}))" for i in range(8))
-    + " SELECT a AS id FROM e8 UNION SELECT b FROM e8",
+    + "".join(f", k{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= 3), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM k{i}) AND b IN (SELECT id FROM k{i}))" for i in range(24))
+    + " SELECT a AS id FROM e24 UNION SELECT b FROM e24",
 )
 _add("core_numbers", lambda g: centrality.core_numbers(Graph(g.nodes.filter("kind IN ('function', 'class')"), g.edges.filter("kind = 'imports'"))))
 _add("scc", lambda g: centrality.cyclic_components(_SHARED(g)))
-_add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))))
+def _between_sql(levels: int, where: str) -> str:
+    """Brandes by levels: forward path counts, then dependencies from the deepest level up."""
+    sql = f", p AS MATERIALIZED (SELECT src AS u, dst AS v FROM edges WHERE {where} AND src <> dst UNION SELECT dst, src FROM edges WHERE {where} AND src <> dst), l0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS sigma FROM nodes ORDER BY id LIMIT 64)"
+    for h in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT s, id FROM l{k}" for k in range(max(0, h - 2), h))
+        sql += f", l{h} AS MATERIALIZED (SELECT s, v AS id, sum(sigma) AS sigma FROM l{h - 1} JOIN p ON u = id WHERE (s, v) NOT IN ({seen}) GROUP BY s, v)"
+    sql += f", d{levels} AS MATERIALIZED (SELECT s, id, sigma, 0.0::DOUBLE AS delta FROM l{levels})"
+    for h in range(levels - 1, -1, -1):
+        sql += f", d{h} AS MATERIALIZED (SELECT a.s, a.id, a.sigma, coalesce(sum(a.sigma / b.sigma * (1 + b.delta)), 0.0::DOUBLE) AS delta FROM l{h} a LEFT JOIN (SELECT p.u, d.* FROM p JOIN d{h + 1} d ON p.v = d.id) b ON b.u = a.id AND b.s = a.s GROUP BY a.s, a.id, a.sigma)"
+    return sql + " SELECT id, round(sum(delta), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM d{h}" for h in range(levels + 1)) + ") WHERE id <> s GROUP BY id"
+
+
+_HIER = "kind IN ('imports', 'depends_on', 'member_of')"
+_add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter(_HIER))), _between_sql(10, _HIER))
 _add("articulation_points", lambda g: centrality.articulation_points(g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')")))
 
 # --- communities ---
@@ -207,7 +220,7 @@ _add("cross_coupling", lambda g: communities.coupling(g, communities.by_source(g
 _add("architecture_warnings", lambda g: communities.warnings(g, communities.by_source(g)), _COM + ", cp AS (SELECT least(a, b) AS x, greatest(a, b) AS y, count(*) AS n FROM lab WHERE a <> b GROUP BY ALL), sz AS (SELECT community, count(*) AS size FROM com GROUP BY community), co AS (SELECT sz.community, CASE WHEN size < 2 THEN 1.0 ELSE round(coalesce(pairs, 0) / (size::DOUBLE * (size - 1) / 2), 6) END AS cohesion FROM sz LEFT JOIN (SELECT a AS community, count(*) AS pairs FROM ulab WHERE a = b GROUP BY a) p ON p.community = sz.community) SELECT x || '-' || y AS subject, CASE WHEN n >= 20 THEN 'high_coupling' ELSE 'coupling' END AS warning FROM cp WHERE n >= 5 UNION ALL SELECT community::VARCHAR, 'low_cohesion' FROM co WHERE cohesion < 0.1")
 _add("community_summaries", lambda g: communities.summaries(g, communities.by_source(g)), _COM + ", k AS (SELECT community, kind, count(*) AS n, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, kind) AS r FROM com JOIN nodes USING (id) GROUP BY community, kind) SELECT community, sum(n)::BIGINT AS size, string_agg(kind, ',' ORDER BY r) FILTER (WHERE r <= 3) AS top_kinds FROM k GROUP BY community")
 _add("community_split", lambda g: communities.split_half(communities.by_source(g), max_size=10), _COM + ", p AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS place, count(*) OVER (PARTITION BY community) AS size FROM com) SELECT id, CASE WHEN size > 10 AND place > size // 2 THEN community + (SELECT max(community) FROM com) + 1 ELSE community END AS community FROM p")
-_add("surprise_pairs", lambda g: structure.surprise_pairs(g, communities.by_source(g)), _COM + ", c AS (SELECT * FROM com WHERE id % 3 = 0), p AS (SELECT coalesce(a.community::VARCHAR, 'unknown') AS a, coalesce(b.community::VARCHAR, 'unknown') AS b FROM edges e LEFT JOIN c a ON a.id = src LEFT JOIN c b ON b.id = dst WHERE kind <> 'calls') SELECT least(a, b) AS left_community, greatest(a, b) AS right_community, count(*) AS n FROM p WHERE a <> b GROUP BY ALL")
+_add("surprise_pairs", lambda g: structure.surprise_pairs(g, communities.by_source(g)), _COM + ", c AS (SELECT * FROM com), p AS (SELECT coalesce(a.community::VARCHAR, 'unknown') AS a, coalesce(b.community::VARCHAR, 'unknown') AS b FROM edges e LEFT JOIN c a ON a.id = src LEFT JOIN c b ON b.id = dst) SELECT least(a, b) AS left_community, greatest(a, b) AS right_community, count(*) AS n FROM p WHERE a <> b GROUP BY ALL")
 _add("surprise_edges", lambda g: structure.surprise_edges(g, communities.by_source(g)), _COM + _DEG + " SELECT l.id, l.src, l.dst, round(0.25::DOUBLE * CASE conf_class WHEN 'ambiguous' THEN 1.0 WHEN 'inferred' THEN 0.5 ELSE 0.0 END + 0.20::DOUBLE * (x.kind <> y.kind)::INT + 0.15::DOUBLE * (x.source_uri IS DISTINCT FROM y.source_uri)::INT + 0.20::DOUBLE + 0.20::DOUBLE * (least(dx.degree, dy.degree) <= 2 AND greatest(dx.degree, dy.degree) >= 5)::INT, 4) AS score FROM lab l JOIN nodes x ON x.id = l.src JOIN nodes y ON y.id = l.dst JOIN deg dx ON dx.id = l.src JOIN deg dy ON dy.id = l.dst WHERE a <> b")
 _add("community_working_graph", lambda g: communities.working_graph(g.edges).select("src", "dst", R("w").alias("w")), " SELECT src, dst, round(sum(CASE WHEN conf_class = 'ambiguous' THEN 0.15 ELSE CASE kind WHEN 'calls' THEN 0.55 WHEN 'defines' THEN 0.7 WHEN 'imports' THEN 0.45 WHEN 'depends_on' THEN 0.45 WHEN 'member_of' THEN 0.1 ELSE 0.55 END END::DOUBLE), 6) AS w FROM edges GROUP BY src, dst")
 _SMALL = lambda g: Graph(g.nodes.filter("kind IN ('class', 'function', 'module', 'package')"), g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from tessera.operators import dedup
+from tessera.operators import centrality, dedup, overview
 from tessera import schemas
-from tessera.plans import graph_queries, pass_queries, text_queries
+from tessera.plans import graph_queries, pass_queries, report_queries, retrieval_queries, text_queries
 from tessera.sources.adapters import Graph
 from test_graph import graph
 
@@ -28,40 +28,42 @@ def test_flows_reach_the_end_of_a_chain(spark, monkeypatch):
 
 
 SF = "/root/testdata/sf0.01"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def by_sql(name, cut, whole, *tables, queries=text_queries, there=True):
-    """Rows of the registered SQL with its cut taken out."""
-    sql = queries.oracle_sql()[name]
-    assert (cut in sql) == there
+def both(spark, name, sf_dir, modules=(graph_queries, text_queries, pass_queries, report_queries, retrieval_queries)):
+    """Rows of a registered query and of its SQL, columns by name."""
+    module = next(m for m in modules if name in m.queries())
+    found = module.queries()[name](spark, sf_dir)
     db = duckdb.connect()
-    for t in tables:
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return sorted(db.execute(sql.replace(cut, whole)).fetchall())
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    c = db.execute(module.oracle_sql()[name])
+    columns, want = [x[0] for x in c.description], c.fetchall()
+    assert sorted(columns) == sorted(found.columns)
+    flat = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    return flat(tuple(r) for r in found.select(columns).collect()), flat(want)
 
 
-@pytest.mark.parametrize("name", ["fuzzy_ratio", "fuzzy_partial_ratio", "fuzzy_token_sort", "fuzzy_token_set"])
-def test_every_consecutive_pair_of_part_is_scored(spark, name):
-    got = sorted(map(tuple, text_queries.queries()[name](spark, SF).collect()))
-    want = by_sql(name, " WHERE p_partkey <= 400", "", "part")
-    assert max(i for i, _ in got) > 400 and [i for i, _ in got] == [i for i, _ in want]
-    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-6)
+@pytest.mark.parametrize("name", ["fuzzy_ratio", "fuzzy_partial_ratio", "fuzzy_token_sort", "fuzzy_token_set", "jaro_winkler", "text_lines", "vector_threshold"])
+def test_text_queries_equal_their_sql_on_whole_tables(spark, name):
+    got, want = both(spark, name, SF)
+    assert got == want and got
 
 
-def test_jaro_winkler_scores_every_pair_of_part(spark):
-    # Not against SQL: DuckDB adds the prefix above 0.7 only and halves odd transpositions down, unlike the reference.
-    parts = duckdb.sql(f"SELECT p_partkey, p_name FROM '{SF}/part.parquet' ORDER BY p_partkey").fetchall()
-    score = {i: round(dedup.jaro_winkler_value(a, b), 6) for (i, a), (_, b) in zip(parts, parts[1:])}
-    got = {r.id: r.score for r in text_queries.queries()["jaro_winkler"](spark, SF).collect()}
-    assert max(got) > 400 and got == pytest.approx({i: x for i, x in score.items() if x > 0.8}, abs=2e-6)
+@pytest.mark.parametrize("name", [n for m in (report_queries, retrieval_queries) for n in m.oracle_sql()])
+def test_reports_and_searches_equal_their_sql(spark, name):
+    got, want = both(spark, name, "/root/testdata/sf0.001")
+    assert got == want and got
 
 
-@pytest.mark.parametrize("name, cut", [("token_overlap_search", " WHERE n_chars < 400"), ("markdown_sections", " WHERE n_chars < 2000")])
-def test_long_documents_are_not_left_out(spark, name, cut):
-    got = sorted(map(tuple, text_queries.queries()[name](spark, SF).collect()))
-    whole, short = by_sql(name, cut, "", "documents"), by_sql(name, "\0", "", "documents", there=False)
-    assert whole != short
-    assert [r[0] for r in got] == [r[0] for r in whole] and [x for r in got for x in r[1:]] == pytest.approx([x for r in whole for x in r[1:]], abs=2e-6)
+def test_jaro_winkler_sql_follows_the_reference():
+    parts = duckdb.sql(f"SELECT p_partkey, p_name FROM '{SF}/part.parquet' ORDER BY p_partkey").fetchall()
+    score = {i: round(dedup.jaro_winkler_value(a, b), 6) for (i, a), (_, b) in zip(parts, parts[1:])}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    got = dict(db.execute(text_queries.oracle_sql()["jaro_winkler"]).fetchall())
+    assert got == pytest.approx({i: x for i, x in score.items() if x > 0.8}, abs=2e-6)
 
 
 def test_threshold_search_has_no_limit(spark, monkeypatch):
@@ -70,6 +72,28 @@ def test_threshold_search_has_no_limit(spark, monkeypatch):
     assert text_queries.queries()["vector_threshold"](spark, "").count() == 1500
 
 
+def test_betweenness_is_undirected_and_has_no_hop_cap(spark):
+    g, ids = graph(spark, [("b", "a"), ("b", "c")])
+    assert {r.id: r.score for r in centrality.betweenness(g).collect()}[ids["b"]] == 2.0
+    chain, ids = graph(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(16)])
+    got = {r.id: r.score for r in centrality.betweenness(chain).collect()}
+    assert got[ids["n08"]] == 2 * 8 * 8 and got[ids["n01"]] == 2 * 15
+
+
+def test_bridge_scores_by_hand(spark):
+    g, ids = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")])
+    com = spark.createDataFrame([(ids[x], 1 if x in "abc" else 2) for x in "abcd"], "id long, community long")
+    got = {r.id: (r.touched, r.degree, r.articulation, r.score) for r in overview.bridge_scores(g, com).collect()}
+    assert got[ids["c"]] == (2, 3, True, round(6 + 3 + 12 + 4**0.5, 4)) and got[ids["d"]] == (1, 1, False, 4.0)
+
+
+def test_first_fit_passes_over_what_does_not_fit(spark):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([900, 800, 600, 50, 100, 100])], "place int, tokens long")
+    assert [r.place for r in overview.first_fit(rows, budget=1600, order=["place"]).orderBy("place").collect()] == [0, 2, 3]
+    big = spark.createDataFrame([(0, 5000), (1, 10)], "place int, tokens long")
+    assert [r.place for r in overview.first_fit(big, budget=1600, order=["place"]).collect()] == [0]
+
+
 def test_diamonds_of_every_call(spark, monkeypatch):
     g, ids = graph(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])
     assert [tuple(r) for r in run(monkeypatch, spark, "motif_diamond", g)] == [tuple(ids[x] for x in "abcd")]
