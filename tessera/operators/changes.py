@@ -9,7 +9,15 @@ from tessera.operators.structure import degrees
 from tessera.sources.adapters import Graph
 
 # Parts of names that mark security-sensitive code.
-SECURITY = ["auth", "password", "token", "secret", "crypt", "credential", "permission", "admin", "login", "session", "sanitize", "privilege"]
+SECURITY = [
+    "auth", "password", "token", "secret", "encrypt", "decrypt",
+    "hash", "sign", "verify", "permission", "access", "credential",
+    "login", "logout", "session", "csrf", "xss", "sanitize",
+    "validate", "injection", "privilege", "sudo", "root", "admin",
+    "key", "certificate", "https", "tls", "ssl", "payment",
+    "billing", "invoice", "transaction", "debit", "credit",
+    "grant",
+]
 
 
 def parse_diff(texts: DataFrame, text_col: str = "diff", *, per_file: bool = False) -> DataFrame:
@@ -55,7 +63,7 @@ def risk_scores(g: Graph, flows: DataFrame | None = None) -> DataFrame:
     flow = F.least(F.coalesce("criticality", F.lit(0.0)), F.lit(0.25))
     crossing = F.least(zero("crossing") * 0.05, F.lit(0.15))
     tests = F.lit(0.30) - 0.25 * F.least(zero("tests") / 5.0, F.lit(1.0))
-    security = F.when(F.lower("name").rlike("|".join(SECURITY)), 0.20).otherwise(0.0)
+    security = F.when(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", " ").rlike("|".join(SECURITY)), 0.20).otherwise(0.0)
     into = F.least(zero("in_degree") / 20.0, F.lit(0.10))
     score = F.round(flow + crossing + tests + security + into, 4)
     level = F.when(score >= 0.85, "critical").when(score >= 0.70, "high").when(score >= 0.40, "medium").otherwise("low")

@@ -7,8 +7,32 @@ from pyspark.sql import functions as F
 
 from tessera.sources.adapters import Graph
 
-# Call names that stand for builtins and are never resolved.
-SUPPRESSED = ["print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "open", "isinstance", "super", "type", "enumerate", "zip", "map", "filter", "sorted", "min", "max", "sum", "abs", "any", "all", "getattr", "setattr", "hasattr", "repr", "append", "join", "split", "strip", "format", "get", "items", "keys", "values", "pop", "extend", "update", "log", "push", "unwrap", "clone", "into"]
+# Call names that are never resolved: builtins, methods of every object, pattern and number functions,
+# usual parameters, string methods. Names of other libraries that a caller wants left out are a parameter.
+SUPPRESSED = [
+    "abs", "all", "any", "bool", "bytes", "callable", "dict", "dir",
+    "enumerate", "float", "getattr", "hasattr", "hash", "id",
+    "int", "isinstance", "iter", "list", "max", "min",
+    "next", "open", "print", "range", "repr", "reversed", "round",
+    "set", "sorted", "str", "sum", "super", "tuple", "type", "vars",
+    "zip",
+    "__iter__", "__len__", "__getitem__",
+    "__setitem__", "__delitem__", "__contains__", "__eq__", "__ne__",
+    "__lt__", "__le__", "__gt__", "__ge__", "__hash__", "__bool__",
+    "__repr__", "__str__", "__format__", "__enter__", "__exit__",
+    "__call__", "__new__", "__init__", "__del__", "__getattr__",
+    "__setattr__", "__delattr__", "__dir__", "__reduce__", "__reduce_ex__",
+    "__getattribute__", "__sizeof__", "__class__", "__doc__", "__module__",
+    "__annotations__", "__dict__", "__weakref__", "__slots__",
+    "match", "search", "fullmatch", "findall", "finditer", "sub",
+    "subn", "compile", "escape", "quote", "pattern",
+    "log2", "log10", "log", "sqrt", "ceil", "floor", "trunc",
+    "pow", "modf", "frexp", "ldexp",
+    "isnan", "isinf", "isfinite",
+    "cls", "self", "kwargs", "key", "default", "factory",
+    "splitlines", "translate", "ljust", "rjust", "zfill", "expandtabs",
+    "casefold", "maketrans",
+]
 # Languages whose symbols may call each other, by file suffix.
 FAMILIES = {"py": "python", "pyi": "python", "rs": "rust", "ts": "web", "tsx": "web", "js": "web", "jsx": "web", "mjs": "web", "cjs": "web", "java": "jvm", "kt": "jvm", "go": "go", "c": "native", "h": "native", "cc": "native", "cpp": "native", "hpp": "native"}
 
@@ -32,26 +56,35 @@ def _candidates(g: Graph, kinds: list[str], prefix: str, edge_kinds: list[str])
     return e.join(place, "dst").join(target, "name").join(caller, "src")
 
 
-def resolve_calls(g: Graph, imports: DataFrame | None = None) -> DataFrame:
+def suppressed(name: Column, more: list[str] | None = None) -> Column:
+    """Whether calls of this name are left alone: an empty name, or one of the lists in any case."""
+    low = F.lower(F.trim(name))
+    return (low == "") | low.isin(*SUPPRESSED, *(n.lower() for n in more or []))
+
+
+def resolve_calls(g: Graph, imports: DataFrame | None = None, receivers: DataFrame | None = None, *, suppress: list[str] | None = None) -> DataFrame:
     """edge_id, target, tier, conf_class: the first tier with exactly one candidate wins.
 
-    Tiers: 1 unique name, 2 same file, 3 most equal scope segments, 5 imported module (``imports``: src_uri,
-    name, target_uri), 6 same directory, 7 most callers (two at least, and twice the next). Tiers 1 and 2
+    Tiers: 1 unique name, 2 same file, 3 most equal scope segments, 4 owner is the receiver's type (``receivers``:
+    edge_id, type), 5 imported module (``imports``: src_uri, name, target_uri), 6 same directory, 7 most callers (two at least, and twice the next). Tiers 1 and 2
     are extracted, the rest inferred. Counts per edge come from one window; nothing is collected.
     """
-    c = _candidates(g, ["function", "method", "class"], "call::", ["calls"]).filter(~F.col("name").isin(SUPPRESSED))
+    c = _candidates(g, ["function", "method", "class"], "call::", ["calls"]).filter(~suppressed(F.col("name"), suppress))
     used = g.edges.filter("kind = 'calls'").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("uses"))
     c = c.join(used, "target", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     if imports is not None:
         c = c.join(imports.select("src_uri", "name", "target_uri").distinct().withColumn("imported", F.lit(1)), ["src_uri", "name", "target_uri"], "left")
     else:
         c = c.withColumn("imported", F.lit(None).cast("int"))
+    c = c.join(receivers.select("edge_id", "type").distinct(), "edge_id", "left") if receivers is not None else c.withColumn("type", F.lit(None).cast("string"))
+    segments = F.split("target_qname", "::")
+    owned = (F.size(segments) > 1) & (F.element_at(segments, F.greatest(F.size(segments) - 1, F.lit(1))) == F.col("type"))
     w = Window.partitionBy("edge_id")
     scope = equal_places(F.col("src_qname"), F.col("target_qname"))
     c = c.withColumn("scope", scope).withColumn("best_scope", F.max("scope").over(w)).withColumn("best_uses", F.max("uses").over(w))
     in_file = F.col("src_uri").eqNullSafe(F.col("target_uri")) & F.col("src_uri").isNotNull()
     same_dir = (directory(F.col("src_uri")) == directory(F.col("target_uri")))
-    tests = {1: F.lit(True), 2: in_file, 3: (F.col("scope") == F.col("best_scope")) & (F.col("scope") > 0), 5: F.col("imported").isNotNull(), 6: same_dir, 7: (F.col("uses") == F.col("best_uses")) & (F.col("uses") >= 2)}
+    tests = {1: F.lit(True), 2: in_file, 3: (F.col("scope") == F.col("best_scope")) & (F.col("scope") > 0), 4: owned, 5: F.col("imported").isNotNull(), 6: same_dir, 7: (F.col("uses") == F.col("best_uses")) & (F.col("uses") >= 2)}
     for t, hit in tests.items():
         c = c.withColumn(f"hit{t}", F.coalesce(hit, F.lit(False))).withColumn(f"n{t}", F.sum(F.col(f"hit{t}").cast("int")).over(w))
     rivals = F.sum((F.col("uses") * 2 > F.col("best_uses")).cast("int")).over(w)

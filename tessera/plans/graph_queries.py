@@ -247,7 +247,7 @@ _add(
     "risk_scores",
     changes.risk_scores,
     _DEG + f""", ca AS (SELECT e.dst AS id, sum((s.source_uri IS DISTINCT FROM t.source_uri)::INT) AS crossing, count(DISTINCT CASE WHEN s.is_test THEN e.src END) AS tests FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst WHERE e.kind = 'calls' GROUP BY e.dst),
-    sc AS (SELECT n.id, qualified_name, round(least(coalesce(crossing, 0) * 0.05::DOUBLE, 0.15) + 0.30::DOUBLE - 0.25::DOUBLE * least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(lower(name), '{"|".join(changes.SECURITY)}') THEN 0.20 ELSE 0.0 END + least(coalesce(in_degree, 0) / 20.0::DOUBLE, 0.10), 4) AS score FROM nodes n LEFT JOIN ca ON ca.id = n.id LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('function', 'method', 'class') AND NOT is_test)
+    sc AS (SELECT n.id, qualified_name, round(least(coalesce(crossing, 0) * 0.05::DOUBLE, 0.15) + 0.30::DOUBLE - 0.25::DOUBLE * least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '{"|".join(changes.SECURITY)}') THEN 0.20 ELSE 0.0 END + least(coalesce(in_degree, 0) / 20.0::DOUBLE, 0.10), 4) AS score FROM nodes n LEFT JOIN ca ON ca.id = n.id LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('function', 'method', 'class') AND NOT is_test)
     SELECT id, qualified_name, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.40 THEN 'medium' ELSE 'low' END AS level FROM sc""",
 )
 _add("test_coverage", changes.test_coverage, " SELECT id, kind, id IN (SELECT e.dst FROM edges e JOIN nodes t ON t.id = e.src WHERE t.is_test AND e.kind = 'calls') AS tested FROM nodes WHERE kind IN ('function', 'method', 'class') AND NOT is_test")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,39 @@ PATTERNS = {
     "cpp": [("class", r"^\s*(?:class|struct)\s+(\w+)[^;]*$"), ("function", r"^(?:[\w:<>*&]+\s+)+(\w+)\s*\([^;]*\)\s*\{")],
 }
 IMPORTS = {"javascript": r"""(?:from|require\()\s*['"]([^'"]+)['"]""", "typescript": r"""from\s*['"]([^'"]+)['"]""", "rust": r"^\s*use\s+([\w:]+)", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "go": r"""^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"$""", "cpp": r"""^\s*#include\s*[<"]([^>"]+)[>"]"""}
+# What opens a list of parents, by dialect: (edge kind, pattern with the child in group 1 and the parents in group 2).
+PARENTS = {
+    "javascript": [("inherits", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)\s+extends\s+([\w.]+)")],
+    "typescript": [
+        ("inherits", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)"),
+        ("implements", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)[^{]*?\simplements\s+([^{]+)"),
+        ("inherits", r"^\s*(?:export\s+)?interface\s+(\w+)(?:<[^>]*>)?\s+extends\s+([^{]+)"),
+    ],
+    "rust": [("inherits", r"^\s*(?:pub\s+)?trait\s+(\w+)\s*:\s*([^{]+)")],
+    "java": [
+        ("inherits", r"^\s*(?:public\s+|final\s+|abstract\s+)*class\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)"),
+        ("implements", r"^\s*(?:public\s+|final\s+|abstract\s+)*class\s+(\w+)[^{]*?\simplements\s+([^{]+)"),
+        ("inherits", r"^\s*(?:public\s+)?interface\s+(\w+)(?:<[^>]*>)?\s+extends\s+([^{]+)"),
+    ],
+    "go": [],
+    "cpp": [("inherits", r"^\s*(?:class|struct)\s+(\w+)\s*(?:final\s*)?:\s*([^{;]+)")],
+}
+# A trait implemented for a type, the other way round than the patterns above.
+RUST_IMPL = re.compile(r"^\s*impl(?:<[^>]*>)?\s+(?:\w+::)*(\w+)(?:<[^>]*>)?\s+for\s+(?:\w+::)*(\w+)")
 _CALL = re.compile(r"\b([A-Za-z][\w]*)\s*\(")
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "function", "fn", "func", "sizeof", "match", "new", "class", "def", "match", "loop", "else", "await", "match"}
 
 
+@dataclass(frozen=True)
+class Language:
+    """A language of the user's own: file suffixes, (kind, pattern) of definitions and a pattern of imports, names in group 1."""
+
+    name: str
+    suffixes: tuple[str, ...]
+    definitions: tuple[tuple[str, str], ...]
+    imports: str | None = None
+
+
 def is_test_path(path: str) -> bool:
     return bool(re.search(r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.\w+$|\.(test|spec)\.\w+$|(^|/)__tests__/|Test\.java$", path))
 
@@ -145,12 +175,28 @@ def extract_python(path: str, text: str) -> list[tuple]:
     return rows
 
 
-def extract_lines(path: str, text: str, dialect: str) -> list[tuple]:
-    """Definitions, imports and calls by line patterns; a definition runs to the line before the next one."""
+def parents(line: str, dialect: str) -> list[tuple[str, str, str]]:
+    """(edge kind, child, parent) that a line declares; qualifiers, access words and type arguments go."""
+    out = []
+    for kind, p in PARENTS.get(dialect, []):
+        if m := re.match(p, line):
+            for raw in re.split(r"[,+&]", re.sub(r"<[^>]*>", "", m[2])):
+                words = re.findall(r"[A-Za-z_]\w*", re.split(r"\swhere\s|\simplements\s", raw)[0])
+                if words:
+                    out.append((kind, m[1], words[-1]))
+    if dialect == "rust" and (m := RUST_IMPL.match(line)):
+        out.append(("implements", m[2], m[1]))
+    return out
+
+
+def extract_lines(path: str, text: str, dialect: str, languages: dict[str, Language] | None = None) -> list[tuple]:
+    """Definitions, parents, imports and calls by line patterns; a definition runs to the line before the next one."""
     test = is_test_path(path)
     lines = text.split("\n")
     rows: list[tuple] = [("node", "file", path.rsplit("/", 1)[-1], f"file::{path}", None, None, None, path, 1, len(lines), test)]
-    found = [(n, kind, m[1]) for n, line in enumerate(lines, 1) for kind, p in PATTERNS[dialect] if (m := re.match(p, line))]
+    custom = (languages or {}).get(dialect)
+    patterns = custom.definitions if custom else PATTERNS[dialect]
+    found = [(n, kind, m[1]) for n, line in enumerate(lines, 1) for kind, p in patterns if (m := re.match(p, line))]
     ends = [n - 1 for n, *_ in found[1:]] + [len(lines)]
     owner_at, holder = [f"file::{path}"] * (len(lines) + 2), None
     for (n, kind, name), end in zip(found, ends):
@@ -164,7 +210,11 @@ def extract_lines(path: str, text: str, dialect: str) -> list[tuple]:
         owner_at[n : end + 1] = [qname] * (end + 1 - n)
     starts = {n for n, *_ in found}
     for n, line in enumerate(lines, 1):
-        for m in re.finditer(IMPORTS[dialect], line):
+        for kind, child, parent in parents(line, dialect):
+            rows.append(("node", "class", parent, f"type::{parent}", None, None, None, None, None, None, False))
+            rows.append(("edge", kind, None, None, f"{path}::{child}", f"type::{parent}", "ambiguous", path, n, None, None))
+        imports = custom.imports if custom else IMPORTS.get(dialect)
+        for m in re.finditer(imports, line) if imports else ():
             rows.append(("node", "module", m[1], f"module::{m[1]}", None, None, None, None, None, None, False))
             rows.append(("edge", "imports", None, None, f"file::{path}", f"module::{m[1]}", "extracted", path, n, None, None))
         for m in _CALL.finditer(line if n not in starts else line.split("{", 1)[-1] if "{" in line else ""):
@@ -194,8 +244,13 @@ def extract_markdown(path: str, text: str) -> list[tuple]:
     return rows
 
 
-def extract(path: str, text: str) -> list[tuple]:
-    dialect = DIALECTS.get(path.rsplit(".", 1)[-1].lower() if "." in path else "")
+def extract(path: str, text: str, languages: tuple[Language, ...] = ()) -> list[tuple]:
+    """Rows of one file; ``languages`` come before the built-in dialects."""
+    suffix = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+    own = next((x for x in languages if suffix in x.suffixes), None)
+    if own:
+        return extract_lines(path, text, own.name, {own.name: own})
+    dialect = DIALECTS.get(suffix)
     if dialect == "python":
         return extract_python(path, text)
     if dialect == "markdown":
@@ -213,13 +268,13 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash")).filter(suffix.isin(*DIALECTS) & ~path.rlike(skip))
 
 
-def extract_rows(files: DataFrame) -> DataFrame:
+def extract_rows(files: DataFrame, languages: tuple[Language, ...] = ()) -> DataFrame:
     """Node and edge rows of (path, content), parsed in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
-            rows = [r for p, t in zip(b["path"], b["content"]) for r in extract(p, t or "")]
+            rows = [r for p, t in zip(b["path"], b["content"]) for r in extract(p, t or "", languages)]
             out = pd.DataFrame(rows, columns=names)
             for c in ("line_start", "line_end"):
                 out[c] = out[c].astype("Int32")
@@ -229,11 +284,11 @@ def extract_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
-def code_graph(files: DataFrame):
+def code_graph(files: DataFrame, languages: tuple[Language, ...] = ()):
     """Nodes and edges of a source tree; ids are hashes of the qualified names, so files need no common order."""
     from tessera.sources.adapters import Graph
 
-    rows = extract_rows(files)
+    rows = extract_rows(files, languages)
     n = rows.filter("row = 'node'").groupBy("qualified_name").agg(*(F.min(c).alias(c) for c in ("kind", "name", "source_uri", "line_start", "line_end")), F.max("is_test").alias("is_test"))
     nodes = n.select(F.xxhash64("qualified_name").alias("id"), "kind", "name", "qualified_name", "source_uri", "line_start", "line_end", (F.col("line_end") - F.col("line_start") + 1).alias("line_count"), F.coalesce("is_test", F.lit(False)).alias("is_test"))
     e = rows.filter("row = 'edge'")

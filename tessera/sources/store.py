@@ -17,15 +17,13 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version long").parquet(f"{self.root}/current")
-        except Exception:  # noqa: BLE001 - nothing saved yet
-            return None
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def version(self) -> int:
-        v = self._versions()
-        return (v.agg(F.max("version")).first()[0] or 0) if v is not None else 0
+        """The last saved version, 0 if nothing is saved; a folder that can't be read is an error."""
+        return self.spark.read.schema("version long").parquet(f"{self.root}/current").agg(F.max("version")).first()[0] or 0 if self._exists("current") else 0
 
     def save(self, g: Graph, files: DataFrame | None = None) -> int:
         v = self.version() + 1
@@ -44,12 +42,17 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/v={self.version()}/file_state")
 
     def update(self, changed: Graph, touched: DataFrame, files: DataFrame) -> int:
-        """Replace what belongs to the touched paths (path) with ``changed`` and save the result."""
+        """Replace what belongs to the touched paths (path) with ``changed`` and save the result.
+
+        Edges out of a replaced node go; those into it stay if the new rows hold that node again.
+        """
         old = self.load()
         gone = old.nodes.join(touched.select(F.col("path").alias("source_uri")), "source_uri", "left_semi").select("id")
         nodes = old.nodes.join(gone, "id", "left_anti").select(old.nodes.columns)
         edges = old.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").select(old.edges.columns)
         new = changed.nodes.join(nodes.select("qualified_name"), "qualified_name", "left_anti").select(old.nodes.columns)
+        lost = gone.join(changed.nodes.select("id"), "id", "left_anti")
+        edges = edges.join(lost.withColumnRenamed("id", "dst"), "dst", "left_anti").select(old.edges.columns)
         return self.save(Graph(nodes.unionByName(new), edges.unionByName(changed.edges.select(old.edges.columns)).dropDuplicates(["id"])), files)
 
     def snapshot(self, label: str) -> None:
@@ -57,6 +60,19 @@ class Store:
         g.nodes.withColumn("label", F.lit(label)).write.mode("append").partitionBy("label").parquet(f"{self.root}/snapshots/nodes")
         g.edges.withColumn("label", F.lit(label)).write.mode("append").partitionBy("label").parquet(f"{self.root}/snapshots/edges")
 
+    def snapshots(self) -> DataFrame:
+        """label, nodes: the stored snapshots."""
+        if not self._exists("snapshots/nodes"):
+            return self.spark.createDataFrame([], "label string, nodes long")
+        return self.spark.read.parquet(f"{self.root}/snapshots/nodes").groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("nodes"))
+
+    def save_embeddings(self, model: str, vectors: DataFrame) -> None:
+        """Vectors (qualified_name, vector) of one model; a later save of a model replaces the earlier one."""
+        vectors.select("qualified_name", F.col("vector").cast("array<double>").alias("vector")).write.mode("overwrite").parquet(f"{self.root}/embeddings/model={model}")
+
+    def load_embeddings(self, model: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/embeddings/model={model}")
+
     def load_snapshot(self, label: str) -> Graph:
         at = lambda t: self.spark.read.parquet(f"{self.root}/snapshots/{t}").filter(F.col("label") == label).drop("label")
         return Graph(at("nodes"), at("edges"))

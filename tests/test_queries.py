@@ -5,7 +5,7 @@ import pytest
 
 from tessera.operators import centrality, dedup, overview
 from tessera import schemas
-from tessera.plans import graph_queries, pass_queries, report_queries, retrieval_queries, text_queries
+from tessera.plans import graph_queries, pass_queries, report_queries, retrieval_queries, source_queries, text_queries
 from tessera.sources.adapters import Graph
 from test_graph import graph
 
@@ -31,7 +31,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def both(spark, name, sf_dir, modules=(graph_queries, text_queries, pass_queries, report_queries, retrieval_queries)):
+def both(spark, name, sf_dir, modules=(graph_queries, text_queries, pass_queries, report_queries, retrieval_queries, source_queries)):
     """Rows of a registered query and of its SQL, columns by name."""
     module = next(m for m in modules if name in m.queries())
     found = module.queries()[name](spark, sf_dir)
@@ -51,7 +51,7 @@ def test_text_queries_equal_their_sql_on_whole_tables(spark, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", [n for m in (report_queries, retrieval_queries) for n in m.oracle_sql()])
+@pytest.mark.parametrize("name", [n for m in (report_queries, retrieval_queries, source_queries) for n in m.oracle_sql()])
 def test_reports_and_searches_equal_their_sql(spark, name):
     got, want = both(spark, name, "/root/testdata/sf0.001")
     assert got == want and got
