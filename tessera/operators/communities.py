@@ -148,8 +148,137 @@ def _louvain(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution
     return whole
 
 
-def louvain(g: Graph, *, resolution: float = 1.0) -> DataFrame:
-    """id, community: sequential greedy modularity, one group per connected component.
+def _symmetric(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours and weights of each node, without self-loops, and each node's degree with them."""
+    a, b, x = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+    degree = np.bincount(a, x, n)
+    keep = a != b
+    a, b, x = a[keep], b[keep], x[keep]
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(n + 1)), b[order], x[order], degree
+
+
+def _contract(src: np.ndarray, dst: np.ndarray, w: np.ndarray, dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, inverse = np.unique(dense[src] * k + dense[dst], return_inverse=True)
+    return key // k, key % k, np.bincount(inverse, w)
+
+
+def _move(begin: np.ndarray, near: np.ndarray, x: np.ndarray, degree: np.ndarray, label: np.ndarray, resolution: float, inside: np.ndarray | None = None, passes: int = 50) -> np.ndarray:
+    """Greedy modularity moves. With ``inside`` a node joins only nodes of its own part, and only while it is alone."""
+    label, total = label.copy(), float(degree.sum())
+    weight = np.bincount(label, degree, len(label))
+    size = np.bincount(label, minlength=len(label))
+    for _ in range(passes):
+        moved = 0
+        for v in range(len(label)):
+            lo, hi = begin[v], begin[v + 1]
+            at, ties = near[lo:hi], x[lo:hi]
+            if inside is not None:
+                if size[label[v]] > 1:
+                    continue
+                same = inside[at] == inside[v]
+                at, ties = at[same], ties[same]
+            if not len(at):
+                continue
+            names, inverse = np.unique(label[at], return_inverse=True)
+            tie = np.bincount(inverse, ties)
+            old = label[v]
+            weight[old] -= degree[v]
+            gain = tie - resolution * degree[v] * weight[names] / total
+            own = np.flatnonzero(names == old)
+            stay = gain[own[0]] if len(own) else -resolution * degree[v] * weight[old] / total
+            k = int(np.argmax(gain))
+            if gain[k] > stay + 1e-12:
+                label[v] = names[k]
+                size[old] -= 1
+                size[names[k]] += 1
+                moved += 1
+            weight[label[v]] += degree[v]
+        if not moved or inside is not None:
+            break
+    return label
+
+
+def _leiden(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float, levels: int = 20) -> np.ndarray:
+    """Local moves, refinement within each community, contraction by the refined parts, until nothing contracts."""
+    whole, label = np.arange(n), np.arange(n)
+    for _ in range(levels):
+        begin, near, x, degree = _symmetric(src, dst, w, n)
+        if degree.sum() <= 0:
+            break
+        label = _move(begin, near, x, degree, label, resolution)
+        refined = _move(begin, near, x, degree, np.arange(n), resolution, inside=label)
+        kept, dense = np.unique(refined, return_inverse=True)
+        if len(kept) == n:
+            break
+        outer = np.unique(label[kept], return_inverse=True)[1]  # a refined part keeps its community
+        src, dst, w = _contract(src, dst, w, dense, len(kept))
+        whole, n = dense[whole], len(kept)
+        # Labels are node numbers of the contracted graph: the first part of each community.
+        first = np.full(outer.max() + 1, n)
+        np.minimum.at(first, outer, np.arange(n))
+        label = first[outer]
+    return label[whole] if len(label) == n else whole
+
+
+def code_length(exit_: np.ndarray, flow: np.ndarray, inner: float) -> float:
+    """The map equation from each module's exit rate and flow, and the node entropy sum."""
+    plogp = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0.0)
+    return float(plogp(np.array([exit_.sum()]))[0] - 2 * plogp(exit_).sum() + plogp(exit_ + flow).sum() - inner)
+
+
+def _infomap(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, passes: int = 20, levels: int = 10) -> np.ndarray:
+    """Greedy search of the map equation: nodes in order join the neighbour module that shortens the code most, then contract."""
+    begin, near, x, degree = _symmetric(src, dst, w, n)
+    total = float(degree.sum())
+    if total <= 0:
+        return np.arange(n)
+    term = lambda v: v * np.log2(v) if v > 0 else 0.0
+    whole = np.arange(n)
+    for _ in range(levels):
+        begin, near, x, degree = _symmetric(src, dst, w, n)
+        flow, out = degree / total, np.array([x[begin[v] : begin[v + 1]].sum() for v in range(n)]) / total
+        label, m_flow, m_exit = np.arange(n), flow.copy(), out.copy()
+        q = float(out.sum())
+        for _ in range(passes):
+            moved = 0
+            for v in range(n):
+                lo, hi = begin[v], begin[v + 1]
+                if lo == hi:
+                    continue
+                names, inverse = np.unique(label[near[lo:hi]], return_inverse=True)
+                tie = dict(zip(names.tolist(), (np.bincount(inverse, x[lo:hi]) / total).tolist()))
+                old = int(label[v])
+                e_old, f_old = m_exit[old] - out[v] + 2 * tie.get(old, 0.0), m_flow[old] - flow[v]
+                best, pick = -1e-10, old
+                for c in names.tolist():
+                    if c == old:
+                        continue
+                    e_new, f_new = m_exit[c] + out[v] - 2 * tie[c], m_flow[c] + flow[v]
+                    q_new = q - m_exit[old] - m_exit[c] + e_old + e_new
+                    delta = term(q_new) - term(q)
+                    delta -= 2 * (term(e_old) + term(e_new) - term(m_exit[old]) - term(m_exit[c]))
+                    delta += term(e_old + f_old) + term(e_new + f_new) - term(m_exit[old] + m_flow[old]) - term(m_exit[c] + m_flow[c])
+                    if delta < best:
+                        best, pick, state = delta, c, (e_new, f_new, q_new)
+                if pick != old:
+                    m_exit[old], m_flow[old] = e_old, f_old
+                    m_exit[pick], m_flow[pick], q = state
+                    label[v] = pick
+                    moved += 1
+            if not moved:
+                break
+        kept, dense = np.unique(label, return_inverse=True)
+        whole = dense[whole]
+        if len(kept) == n:
+            break
+        src, dst, w = _contract(src, dst, w, dense, len(kept))
+        n = len(kept)
+    return whole
+
+
+def _by_component(g: Graph, search) -> DataFrame:
+    """id, community: ``search(src, dst, w, n)`` on each connected component, communities named by their smallest node.
 
     The order of moves decides the result, so a component is one task. Communities never cross
     components, so components run side by side. For a giant component use :func:`label_propagation`.
@@ -160,7 +289,7 @@ def louvain(g: Graph, *, resolution: float = 1.0) -> DataFrame:
 
     def detect(rows: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([rows["src"], rows["dst"]]), return_inverse=True)
-        label = _louvain(flat[: len(rows)], flat[len(rows) :], rows["w"].to_numpy(float), len(ids), resolution)
+        label = np.unique(search(flat[: len(rows)], flat[len(rows) :], rows["w"].to_numpy(float), len(ids)), return_inverse=True)[1]
         first = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, label, ids)
         return pd.DataFrame({"id": ids, "community": first[label]})
@@ -169,6 +298,11 @@ def louvain(g: Graph, *, resolution: float = 1.0) -> DataFrame:
     return g.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def louvain(g: Graph, *, resolution: float = 1.0) -> DataFrame:
+    """id, community: sequential greedy modularity, one group per connected component."""
+    return _by_component(g, lambda src, dst, w, n: _louvain(src, dst, w, n, resolution))
+
+
 def enforce_connected(g: Graph, communities: DataFrame) -> DataFrame:
     """Split each community into its connected parts, named by their smallest node."""
     inner = _labelled(g.edges.select("src", "dst"), communities).filter("a = b")
@@ -177,8 +311,13 @@ def enforce_connected(g: Graph, communities: DataFrame) -> DataFrame:
 
 
 def leiden(g: Graph, *, resolution: float = 1.0) -> DataFrame:
-    """Louvain, then every community refined to its connected parts."""
-    return enforce_connected(g, louvain(g, resolution=resolution))
+    """id, community: modularity with a refinement phase before each contraction; communities are connected."""
+    return enforce_connected(g, _by_component(g, lambda src, dst, w, n: _leiden(src, dst, w, n, resolution)))
+
+
+def infomap(g: Graph) -> DataFrame:
+    """id, community: greedy search of the map equation, one group per connected component."""
+    return _by_component(g, _infomap)
 
 
 def map_equation(g: Graph, communities: DataFrame) -> DataFrame:

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.traversal import bfs
 from tessera.sources.adapters import Graph
 
 
+# Starts of names, route verbs, and parts of decorators that mark what a framework calls.
+ENTRY_PREFIXES = ["route_", "api_", "handle_", "on_", "serve_", "middleware_"]
+ROUTE_VERBS = ["get", "post", "put", "delete", "patch"]
+ENTRY_DECORATORS = ["@route", "@api", "@endpoint", "@handler", "@command", "@task", "@job", "@cron", "@app.route", "@blueprint", "@celery", "@shared_task", "@pytest", "@fixture", "@click", "@app.websocket", "@middleware", "@resolver"]
+
+
+def is_framework_entry(name: Column, qualified_name: Column, decorators: Column | None = None) -> Column:
+    """Whether a framework calls a symbol: by the start of its name, as a verb of a router, or by a decorator."""
+    out = name.rlike("^(" + "|".join(ENTRY_PREFIXES) + ")") | (name.isin(ROUTE_VERBS) & F.contains(qualified_name, F.lit("route")))
+    if decorators is not None:
+        out = out | F.exists(decorators, lambda d: d.rlike("|".join(x.replace(".", r"\.") for x in ENTRY_DECORATORS)))
+    return out
+
+
 def entry_points(g: Graph) -> DataFrame:
     """Callables that are tests, have an entry name, or that nothing calls."""
     called = g.edges.filter("kind = 'calls'").select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(True))

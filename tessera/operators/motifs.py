@@ -92,6 +92,35 @@ def untested_callee() -> Motif:
     return Motif().node("caller", ["method", "function"]).node("callee", ["function"]).node("owner", ["class"]).edge("owner", "caller", "defines").edge("caller", "callee", "calls")
 
 
+def security_audit(word: str = "sql") -> Motif:
+    """A function with ``word`` in its name that calls another."""
+    return Motif().node("caller", ["function"], NamePattern("contains", word)).node("callee", ["function"]).edge("caller", "callee", "calls")
+
+
+def diamond_inheritance() -> Motif:
+    """A class with two parents that share a parent; the parents are ordered by the caller if needed."""
+    m = Motif()
+    for v in ("child", "left", "right", "top"):
+        m.node(v, ["class"])
+    return m.edge("left", "top", "inherits").edge("right", "top", "inherits").edge("child", "left", "inherits").edge("child", "right", "inherits")
+
+
+def doc_function_triangle() -> Motif:
+    """A document that describes a function and mentions a concept that mentions the function."""
+    return Motif().node("document", ["document"]).node("function", ["function"]).node("concept", ["concept"]).edge("document", "concept", "mentions").edge("concept", "function", "mentions").edge("document", "function", "describes")
+
+
+BUILT_IN = {"security_audit": security_audit, "diamond_inheritance": diamond_inheritance, "doc_function_triangle": doc_function_triangle}
+
+
+def load_catalogue(spark, text: str) -> DataFrame:
+    """A pattern catalogue (pattern, name_regex, kinds, edge_kind, min_nodes) from TOML ``[[pattern]]`` tables."""
+    import tomllib
+
+    rows = [(p["id"], p.get("name_regex", ".*"), list(p.get("kinds", [])), p.get("edge_kind", "calls"), int(p.get("min_nodes", 1))) for p in tomllib.loads(text).get("pattern", [])]
+    return spark.createDataFrame(rows, "pattern string, name_regex string, kinds array<string>, edge_kind string, min_nodes int")
+
+
 def framework_patterns(g: Graph, catalogue: DataFrame) -> DataFrame:
     """id, n, edges, confidence of each catalogue row (id, name_regex, kinds, edge_kind, min_nodes) that the graph holds.
 

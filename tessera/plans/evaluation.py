@@ -36,3 +36,31 @@ def learned_costs(edges: DataFrame, commits: DataFrame, *, prior: float = 20.0,
 def nearest_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, p50, p95 by nearest rank."""
     return df.groupBy(F.col(key).alias("key")).agg(*(F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))))
+
+
+def flow_completeness(entries: DataFrame, known: DataFrame, flows: DataFrame) -> DataFrame:
+    """One row: how many known entry names (name) some detected entry (qualified_name) holds, recall, and depths of the flows."""
+    k, e = known.select(F.lower("name").alias("k")).distinct(), entries.select(F.lower("qualified_name").alias("q"))
+    found = k.join(e.select(F.explode(F.array_union(F.split("q", "::"), F.array("q"))).alias("k")).distinct(), "k", "left_semi")
+    sizes = k.agg(F.count(F.lit(1)).alias("known")).crossJoin(found.agg(F.count(F.lit(1)).alias("found")))
+    depth = flows.agg(F.count(F.lit(1)).alias("flows"), F.coalesce(F.floor(F.avg("depth")), F.lit(0)).cast("long").alias("avg_depth"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"))
+    return sizes.crossJoin(depth).select("known", "found", "flows", F.when(F.col("known") == 0, 1.0).otherwise(F.round(F.col("found") / F.col("known"), 3)).alias("recall"), "avg_depth", "max_depth")
+
+
+def multi_hop(hits: DataFrame, anchors: DataFrame, neighbours: DataFrame, expected: DataFrame) -> DataFrame:
+    """task, anchor_rank, recall, score: the anchor's rank among the hits, and how many expected neighbours it has.
+
+    ``hits`` (task, id, rank), ``anchors`` (task, id), ``neighbours`` (id, other), ``expected`` (task, other).
+    """
+    rank = anchors.join(hits, ["task", "id"], "left").groupBy("task").agg(F.min("rank").alias("anchor_rank"), F.min_by("id", F.struct("rank", "id")).alias("id"))
+    near = expected.join(rank.select("task", "id"), "task", "left").join(neighbours.select("id", "other", F.lit(1).alias("hit")).distinct(), ["id", "other"], "left")
+    got = near.groupBy("task").agg(F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
+    d = rank.join(got, "task", "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
+    return d.select("task", F.coalesce("anchor_rank", F.lit(0)).alias("anchor_rank"), "recall", F.when(F.col("anchor_rank").isNull(), 0.0).otherwise(F.col("recall")).alias("score"))
+
+
+def token_efficiency(answers: DataFrame, naive_tokens: int) -> DataFrame:
+    """question, hit_count, graph_tokens, ratio: tokens of the hits (question, qualified_name, source_uri) against reading everything."""
+    size = lambda c: F.greatest(F.lit(1), F.floor(F.length(F.coalesce(c, F.lit(""))) / 4))
+    d = answers.groupBy("question").agg(F.count(F.lit(1)).alias("hit_count"), F.sum(size(F.col("qualified_name")) + size(F.col("source_uri"))).alias("graph_tokens"))
+    return d.withColumn("ratio", F.round(F.lit(naive_tokens) / F.col("graph_tokens"), 1))

@@ -226,6 +226,7 @@ _add("community_working_graph", lambda g: communities.working_graph(g.edges).sel
 _SMALL = lambda g: Graph(g.nodes.filter("kind IN ('class', 'function', 'module', 'package')"), g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))
 _add("louvain", lambda g: communities.louvain(_SMALL(g)))
 _add("leiden", lambda g: communities.leiden(_SMALL(g)))
+_add("infomap", lambda g: communities.infomap(_SMALL(g)))
 _add("label_propagation", lambda g: communities.label_propagation(_SMALL(g)))
 _add("map_equation", lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))))
 

@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from tessera.operators import centrality, dedup, overview
+from tessera.operators import centrality, communities, dedup, motifs, overview, resolution
 from tessera import schemas
-from tessera.plans import graph_queries, pass_queries, report_queries, retrieval_queries, source_queries, text_queries
+from tessera.plans import check_queries, graph_queries, pass_queries, report_queries, retrieval_queries, source_queries, text_queries
 from tessera.sources.adapters import Graph
 from test_graph import graph
 
@@ -31,7 +31,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def both(spark, name, sf_dir, modules=(graph_queries, text_queries, pass_queries, report_queries, retrieval_queries, source_queries)):
+def both(spark, name, sf_dir, modules=(graph_queries, text_queries, pass_queries, report_queries, retrieval_queries, source_queries, check_queries)):
     """Rows of a registered query and of its SQL, columns by name."""
     module = next(m for m in modules if name in m.queries())
     found = module.queries()[name](spark, sf_dir)
@@ -51,7 +51,7 @@ def test_text_queries_equal_their_sql_on_whole_tables(spark, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", [n for m in (report_queries, retrieval_queries, source_queries) for n in m.oracle_sql()])
+@pytest.mark.parametrize("name", [n for m in (report_queries, retrieval_queries, source_queries, check_queries) for n in m.oracle_sql()])
 def test_reports_and_searches_equal_their_sql(spark, name):
     got, want = both(spark, name, "/root/testdata/sf0.001")
     assert got == want and got
@@ -118,3 +118,40 @@ def test_calls_resolved_by_scope_are_returned(spark, monkeypatch):
     g = Graph(nodes, spark.createDataFrame([(9, 1, 4, "calls", "ambiguous", 0.0)], schemas.EDGES))
     monkeypatch.setattr(pass_queries, "placeholder_graph", lambda s, d: g)
     assert [tuple(r) for r in pass_queries.queries()["call_resolve_unique"](spark, "").collect()] == [(9, 2, 3, "inferred")]
+
+
+@pytest.mark.parametrize("detect", [communities.louvain, communities.leiden, communities.infomap])
+def test_two_cliques_are_two_communities(spark, detect):
+    cliques = [(f"{k}{a}", f"{k}{b}") for k in "xy" for a in range(5) for b in range(a)]
+    g, ids = graph(spark, [*cliques, ("x0", "y0")])
+    got = {r.id: r.community for r in detect(g).collect()}
+    assert len({got[ids[f"x{i}"]] for i in range(5)}) == 1 and len({got[ids[f"y{i}"]] for i in range(5)}) == 1 and got[ids["x1"]] != got[ids["y1"]]
+
+
+def test_infomap_shortens_the_code(spark):
+    ring = [(f"{k}{a}", f"{k}{b}") for k in "abcdef" for a in range(4) for b in range(a)] + [(f"{a}0", f"{b}1") for a, b in zip("abcdef", "bcdefa")]
+    g, _ = graph(spark, ring)
+    bits = lambda c: communities.map_equation(g, c).first()["bits"]
+    alone = g.nodes.selectExpr("id", "id AS community")
+    assert bits(communities.infomap(g)) < min(bits(alone), bits(g.nodes.selectExpr("id", "1L AS community")))
+
+
+def test_receivers_resolve_in_tier_four(spark):
+    rows = [(1, "method", "f", "app::x::f", "a/f.py"), (2, "method", "n", "lib::Graph::n", "b/g.py"), (3, "method", "n", "lib::Node::n", "c/h.py"), (4, "function", "n", "call::n", None), (5, "function", "hash", "call::hash", None), (6, "function", "Hash", "z::hash", "z/z.py")]
+    nodes = spark.createDataFrame([(*r, 1, 5, 4, False, None, None, None) for r in rows], schemas.NODES)
+    g = Graph(nodes, spark.createDataFrame([(9, 1, 4, "calls", "ambiguous", 0.0), (10, 1, 5, "calls", "ambiguous", 0.0)], schemas.EDGES))
+    receivers = spark.createDataFrame([(9, "Node")], "edge_id long, type string")
+    assert [tuple(r) for r in resolution.resolve_calls(g, receivers=receivers).collect()] == [(9, 3, 4, "inferred")]
+    assert resolution.resolve_calls(g, receivers=receivers, suppress=["N"]).count() == 0
+
+
+def test_a_catalogue_is_read_from_toml(spark):
+    text = """
+    [[pattern]]
+    id = "orders"
+    name_regex = "^order"
+    kinds = ["method"]
+    edge_kind = "calls"
+    min_nodes = 2
+    """
+    assert [tuple(r) for r in motifs.load_catalogue(spark, text).collect()] == [("orders", "^order", ["method"], "calls", 2)]
