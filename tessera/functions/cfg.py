@@ -86,10 +86,10 @@ def def_use(blocks: list[dict]) -> dict[str, dict]:
     return out
 
 
-def post_dominators(blocks: list[dict], *, rounds: int = 100) -> dict[int, set[int]]:
+def post_dominators(blocks: list[dict]) -> dict[int, set[int]]:
     every = {b["id"] for b in blocks}
     dom = {b["id"]: set(every) if b["next"] else {b["id"]} for b in blocks}
-    for _ in range(rounds):
+    while True:
         before = {k: set(v) for k, v in dom.items()}
         for b in reversed(blocks):
             if b["next"]:
@@ -112,6 +112,8 @@ def critical_path(blocks: list[dict], *, budget: int = 20_000) -> list[int]:
     return best
 
 
-def summary(text: str) -> dict[str, int]:
+def summary(text: str, *, depth: bool = True) -> dict[str, int]:
+    """Counts of a function's control flow; ``depth`` is the length of its longest path."""
     b = build(text)
-    return {"blocks": len(b), "branches": sum(x["kind"] == "branch" for x in b), "loops": sum(x["kind"] == "loop" for x in b), "returns": sum(x["kind"] == "return" for x in b), "unreachable": len(b) - len(reachable(b)), "depth": len(critical_path(b))}
+    out = {"blocks": len(b), "branches": sum(x["kind"] == "branch" for x in b), "loops": sum(x["kind"] == "loop" for x in b), "returns": sum(x["kind"] == "return" for x in b), "unreachable": len(b) - len(reachable(b))}
+    return out | {"depth": len(critical_path(b))} if depth else out

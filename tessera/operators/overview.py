@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import centrality
 from tessera.operators.structure import degrees
+from tessera.runtime import discard, materialise
 from tessera.sources.adapters import Graph
 
 
@@ -56,8 +57,6 @@ def simple_cycles(edges: DataFrame, *, max_length: int = 4, limit: int = 100) ->
 
 def reach(g: Graph, starts: DataFrame, max_hops: int, *, incoming: bool) -> DataFrame:
     """id, depth: least number of edges from any start."""
-    from tessera.runtime import materialise
-
     here, there = ("dst", "src") if incoming else ("src", "dst")
     pairs = g.edges.select(F.col(here).alias("here"), F.col(there).alias("there")).distinct()
     seen = materialise(starts.select("id", F.lit(0).alias("depth")).distinct(), "reach")
@@ -100,24 +99,28 @@ def flows_affected(members: DataFrame, changed: DataFrame, *, limit: int | None
     return out if limit is None else out.limit(limit)
 
 
-def first_fit(files: DataFrame, *, budget: int, order: list[str], tokens: str = "tokens") -> DataFrame:
+def first_fit(files: DataFrame, *, budget: int, order: list[str], tokens: str = "tokens", batch: int = 1_000) -> DataFrame:
     """The rows that a reader with ``budget`` tokens takes in order, passing over what does not fit; the first is always taken.
 
-    Rows larger than the budget can only be first, so candidates are the first row and the rows within the
-    budget; they are few enough to be folded in one array, ``budget`` rows at most.
+    Each pass reads the next ``batch`` rows that still fit; the first of them is taken, so passes end with the budget.
     """
-    keyed = files.select(F.struct(*order, tokens, *(c for c in files.columns if c not in (*order, tokens))).alias("row"))
-    first = keyed.orderBy("row").limit(1)
-    small = keyed.join(F.broadcast(first.select(F.col("row").alias("head"))), F.col("row") > F.col("head")).filter(F.col(f"row.{tokens}") <= budget).select("row").orderBy("row").limit(budget)
-    held = first.unionByName(small).agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("rows", 1, 0).alias("taken"))
-
-    def step(s: Column, r: Column) -> Column:
-        n = r[tokens].cast("long")
-        fits = (s["used"] < budget) & ((s["used"] + n <= budget) | (F.size(s["taken"]) == 0))
-        return F.when(fits, F.struct((s["used"] + n).alias("used"), F.concat(s["taken"], F.array(r)).alias("taken"))).otherwise(s)
-
-    return held.select(F.explode(F.aggregate("rows", start, step)["taken"]).alias("r")).select("r.*").select(files.columns)
+    row = F.struct(*order, tokens, *(c for c in files.columns if c not in (*order, tokens)))
+    keyed = materialise(files.select(row.alias("row")), "first-fit")
+    taken, used, last = [], 0, None
+    while used < budget:
+        open_ = keyed if last is None else keyed.filter((F.col("row") > last) & (F.col(f"row.{tokens}") <= budget - used))
+        found = [r["row"] for r in open_.orderBy("row").limit(batch if last is not None else 1).collect()]
+        for r in found:
+            if used + r[tokens] <= budget or not taken:
+                taken.append(r)
+                used += r[tokens]
+        if not found:
+            break
+        # The last row looked at, as a literal of the same type.
+        kinds = keyed.schema["row"].dataType
+        last = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(found[-1], kinds)))
+    discard(keyed)
+    return files.sparkSession.createDataFrame(taken, keyed.schema["row"].dataType).select(files.columns)
 
 
 def review_context(texts: DataFrame, changed: DataFrame, impacted: DataFrame, *, budget: int = 1600, max_lines: int = 200) -> DataFrame:

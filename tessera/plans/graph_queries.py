@@ -178,7 +178,7 @@ _add(
     lambda g: centrality.pagerank(g, iterations=10, seeds=g.nodes.filter("kind = 'class' AND id % 5 = 0").select("id", F.lit(1.0).alias("weight"))).select("id", R("rank", 7).alias("rank")),
     _pagerank_sql(10, "SELECT id, CASE WHEN kind = 'class' AND id % 5 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM nodes WHERE kind = 'class' AND id % 5 = 0) ELSE 0.0::DOUBLE END AS t FROM nodes", " SELECT id, round(rank, 7) AS rank FROM {}"),
 )
-_add("god_nodes", centrality.god_nodes)
+_add("god_nodes", centrality.god_nodes, _pagerank_sql(30, _ALL, " SELECT r.id, qualified_name, kind, round(rank, 6) AS rank FROM {} r JOIN nodes n ON n.id = r.id WHERE NOT regexp_matches(name, '^(.|[0-9]+)$') ORDER BY round(rank, 6) DESC, r.id LIMIT 20"))
 _add(
     "connected_components",
     lambda g: centrality.connected_components(Graph(g.nodes, g.edges.filter("kind = 'defines'"))),
@@ -191,8 +191,23 @@ _add(
     + "".join(f", k{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= 3), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM k{i}) AND b IN (SELECT id FROM k{i}))" for i in range(24))
     + " SELECT a AS id FROM e24 UNION SELECT b FROM e24",
 )
-_add("core_numbers", lambda g: centrality.core_numbers(Graph(g.nodes.filter("kind IN ('function', 'class')"), g.edges.filter("kind = 'imports'"))))
-_add("scc", lambda g: centrality.cyclic_components(_SHARED(g)))
+
+
+def _cores_sql(rounds: int, where: str) -> str:
+    """Each node's number falls to the h-index of its neighbours' numbers, ``rounds`` times; more change nothing once it is stable."""
+    sql = f", e AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges WHERE {where} AND src <> dst UNION SELECT dst, src FROM edges WHERE {where} AND src <> dst), c0 AS MATERIALIZED (SELECT a AS id, count(*) AS core FROM e GROUP BY a)"
+    for i in range(rounds):
+        sql += f", c{i + 1} AS MATERIALIZED (SELECT id, least(c{i}.core, h) AS core FROM c{i} JOIN (SELECT a, max(least(place, core)) AS h FROM (SELECT a, core, row_number() OVER (PARTITION BY a ORDER BY core DESC) AS place FROM e JOIN c{i} ON id = b) GROUP BY a) ON a = id)"
+    return sql
+
+
+_add("core_numbers", lambda g: centrality.core_numbers(Graph(g.nodes.filter("kind IN ('function', 'class')"), g.edges.filter("kind = 'imports'"))), _cores_sql(25, "kind = 'imports'") + " SELECT n.id, coalesce(core, 0) AS core FROM nodes n LEFT JOIN c25 ON c25.id = n.id WHERE kind IN ('function', 'class')")
+_add(
+    "scc",
+    lambda g: centrality.cyclic_components(_SHARED(g)).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).select("n", "first"),
+    _SHARED_SQL + ", reach AS (SELECT src AS a, dst AS b FROM s UNION SELECT r.a, s.dst FROM reach r JOIN s ON s.src = r.b), mutual AS (SELECT x.a, min(x.b) AS first FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT count(*) AS n, first FROM mutual GROUP BY first",
+    recursive=True,
+)
 def _between_sql(levels: int, where: str) -> str:
     """Brandes by levels: forward path counts, then dependencies from the deepest level up."""
     sql = f", p AS MATERIALIZED (SELECT src AS u, dst AS v FROM edges WHERE {where} AND src <> dst UNION SELECT dst, src FROM edges WHERE {where} AND src <> dst), l0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS sigma FROM nodes ORDER BY id LIMIT 64)"
@@ -228,7 +243,17 @@ _add("louvain", lambda g: communities.louvain(_SMALL(g)))
 _add("leiden", lambda g: communities.leiden(_SMALL(g)))
 _add("infomap", lambda g: communities.infomap(_SMALL(g)))
 _add("label_propagation", lambda g: communities.label_propagation(_SMALL(g)))
-_add("map_equation", lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))))
+_add(
+    "map_equation",
+    lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))),
+    """, sn AS (SELECT * FROM nodes WHERE kind IN ('class', 'function', 'module', 'package')), sc AS (SELECT id, min(id) OVER (PARTITION BY source_uri) AS c FROM sn WHERE source_uri IS NOT NULL),
+    w AS (SELECT src, dst, sum(CASE WHEN conf_class = 'ambiguous' THEN 0.15 ELSE CASE kind WHEN 'imports' THEN 0.45 WHEN 'depends_on' THEN 0.45 ELSE 0.1 END END::DOUBLE) AS w FROM edges WHERE kind IN ('imports', 'depends_on', 'member_of') GROUP BY src, dst),
+    l AS (SELECT w.*, x.c AS a, y.c AS b FROM w JOIN sc x ON x.id = src JOIN sc y ON y.id = dst), m AS (SELECT 2 * sum(w) AS m FROM l),
+    n AS (SELECT id, c, sum(w) / m AS p, sum(o) / m AS q FROM (SELECT src AS id, a AS c, w, CASE WHEN a <> b THEN w ELSE 0 END AS o FROM l UNION ALL SELECT dst, b, w, CASE WHEN a <> b THEN w ELSE 0 END FROM l), m GROUP BY id, c, m),
+    k AS (SELECT c, sum(p) AS p, sum(q) AS q, sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) AS i FROM n GROUP BY c),
+    t AS (SELECT sum(q) AS q, sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) AS ql, sum(CASE WHEN p + q > 0 THEN (p + q) * log2(p + q) ELSE 0 END) AS pq, sum(i) AS i FROM k)
+    SELECT round(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END - 2 * ql + pq - i, 6) AS bits FROM t""",
+)
 
 # --- flows, changes ---
 _CRIT = ", en AS (SELECT n.id, n.name, n.is_test FROM nodes n WHERE kind IN ('function', 'method') AND (is_test OR regexp_matches(lower(name), '^(main|run|start|serve|handler|cli)$') OR n.id NOT IN (SELECT dst FROM edges WHERE kind = 'calls')))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +101,12 @@ _add("data_flow_edges", lambda s, d: code.extract_rows(_sources(s, d)).filter("k
 
 
 def _cfg(spark, d) -> DataFrame:
-    @F.udf("struct<blocks:int,branches:int,loops:int,returns:int,unreachable:int,depth:int>")
-    def run(text: str):
-        return cfg.summary(text)
+    names = ["blocks", "branches", "loops", "returns", "unreachable"]
+
+    @F.arrow_udf("struct<" + ",".join(f"{c}:int" for c in names) + ">")
+    def run(text: pa.Array) -> pa.Array:
+        rows = [cfg.summary(t, depth=False) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[c] for r in rows], pa.int32()) for c in names], names)
 
     return _sources(spark, d).select("path", run("content").alias("s")).select("path", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("blocks", "branches", "loops", "returns", "unreachable")))
 
@@ -112,7 +116,13 @@ _add("cfg_summary", _cfg, "SELECT 'gen/p' || p_partkey || '.py' AS path, 7::BIGI
 # --- sinks ---
 _add("graphml_export", lambda s, d: store.graphml_rows(Graph(commerce_graph(s, d).nodes.filter("kind IN ('module', 'package')"), commerce_graph(s, d).edges.filter("kind = 'member_of'"))), f"""WITH {COMMERCE_SQL} SELECT 0 AS part, 0::BIGINT AS id, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' AS line UNION ALL SELECT 3, 0, '</graph></graphml>' UNION ALL SELECT 1, id, '<node id="n' || id || '"><data key="kind">' || kind || '</data><data key="qname">' || qualified_name || '</data></node>' FROM nodes WHERE kind IN ('module', 'package') UNION ALL SELECT 2, id, '<edge source="n' || src || '" target="n' || dst || '"><data key="kind">' || kind || '</data></edge>' FROM edges WHERE kind = 'member_of'""")
 _add("cypher_export", lambda s, d: store.cypher_rows(Graph(commerce_graph(s, d).nodes.filter("kind = 'module'"), commerce_graph(s, d).edges.filter("kind = 'member_of'"))), f"""WITH {COMMERCE_SQL} SELECT 1 AS part, id, 'MERGE (n:Module {{id: ' || id || '}}) SET n.qname = ''' || qualified_name || ''';' AS line FROM nodes WHERE kind = 'module' UNION ALL SELECT 2, id, 'MATCH (a {{id: ' || src || '}}), (b {{id: ' || dst || '}}) MERGE (a)-[:MEMBER_OF]->(b);' FROM edges WHERE kind = 'member_of'""".replace("{{", "{").replace("}}", "}"))
-_add("wiki_export", lambda s, d: store.wiki_pages(commerce_graph(s, d), by_source(commerce_graph(s, d))).select("community", F.length("page").cast("long").alias("chars")), None)
+_add(
+    "wiki_export",
+    lambda s, d: store.wiki_pages(commerce_graph(s, d), by_source(commerce_graph(s, d))).select("community", F.md5("page").alias("page_md5")),
+    f"""WITH {COMMERCE_SQL}, com AS (SELECT id, min(id) OVER (PARTITION BY source_uri) AS community FROM nodes WHERE source_uri IS NOT NULL),
+    m AS (SELECT community, n.id, '- `' || qualified_name || '` (' || kind || ')' AS l, row_number() OVER (PARTITION BY community ORDER BY n.id) AS r FROM com JOIN nodes n ON n.id = com.id)
+    SELECT community, md5('# Community ' || community || chr(10) || chr(10) || count(*) || ' members' || chr(10) || chr(10) || string_agg(l, chr(10) ORDER BY r) FILTER (WHERE r <= 20)) AS page_md5 FROM m GROUP BY community""",
+)
 
 # --- evaluation ---
 

@@ -200,6 +200,11 @@ def _review(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q["review_context"] = _review
+_SQL["review_context"] = """WITH RECURSIVE f AS (SELECT row_number() OVER (ORDER BY (source IS DISTINCT FROM 'web')::INT, doc_id::VARCHAR) AS k, doc_id::VARCHAR AS path, greatest(1, length(array_to_string(string_split(text, chr(10))[1:20], chr(10))) // 4) AS tokens FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS path, 0::BIGINT AS tokens, 0::BIGINT AS used, 0 AS taken, false AS hit
+        UNION ALL SELECT f.k, f.path, f.tokens, used + CASE WHEN ok THEN f.tokens ELSE 0 END, taken + ok::INT, ok FROM (SELECT f.*, r.used, r.taken, (r.used < 1600 AND (r.used + f.tokens <= 1600 OR r.taken = 0)) AS ok FROM r JOIN f ON f.k = r.k + 1) f)
+    SELECT path, tokens FROM r WHERE hit"""
+
 
 
 def queries() -> dict[str, Query]:
