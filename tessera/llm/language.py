@@ -214,7 +214,8 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", tr
     distinct = materialise(d.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")), "lang-texts")
     sizes = materialise(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "lang-sizes")
     # An automaton has two states a letter at most, and a state a cell for each symbol.
-    chars = min(sample_chars, max(64, table_cells // (2 * (COMMON + SHARED) * max(1, sizes.count()))))
+    n_languages = sizes.count()
+    chars = min(sample_chars, max(64, table_cells // (2 * (COMMON + SHARED) * max(1, n_languages))))
     # Of hashes that are spread evenly, the lowest share holds four samples; what ranks first of it ranks first of all.
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("texts"))
     low = distinct.join(sizes, "lang").filter(F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64))
@@ -223,6 +224,8 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", tr
     piece = max(8, chars // 8)
     length = F.length("text")
     cut = F.when(length <= chars, F.col("text")).otherwise(F.substring("text", (F.pmod(F.col("h"), length - piece) + 1).cast("int"), F.lit(piece)))
+    if n_languages * sample_rows <= 1_000_000:  # of more rows the plain join takes care
+        picked = F.broadcast(picked)
     rows = d.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min(cut).alias("text")).collect()
     discard(distinct)
     discard(sizes)
