@@ -324,6 +324,45 @@ def test_a_smaller_table_keeps_the_commoner_contexts(spark):
     assert total(1 << 22) > total(1 << 13) > total(1 << 8)
 
 
+def test_no_context_is_merged_for_the_size_of_the_table(spark):
+    """128 symbols wide, the 60,000 kept contexts were more than a table of 48 MB held, and all of them were seen twice only."""
+    rng = np.random.default_rng(21)
+    letters = [chr(x) for x in (*range(33, 65), *range(91, 127), *range(0x100, 0x140))]
+    text = "".join(rng.choice(letters, 14_000))
+    asked = [text[5_000:5_040], text[-30:] + "abc", text[100:120][::-1]]
+    d = spark.createDataFrame([(0, text), (1, text), *((10 + i, t) for i, t in enumerate(asked))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in context_tree.score_texts(d, F.col("doc_id") < 2).collect()}
+    seen, n = np.unique(np.concatenate([context_tree.grams(*x[2:]) for x in context_tree.parts(pa.array([text, text]))]), return_counts=True)
+    used = np.unique(seen & np.uint64(255)).astype(int)
+    width = 1 << len(used).bit_length()
+    contexts, tables = [], []
+    for depth in range(context_tree.DEPTH + 1):
+        found, place = np.unique(seen >> np.uint64(8 * (context_tree.DEPTH + 1 - depth)) if depth else np.zeros(len(seen), np.uint64), return_inverse=True)
+        table = np.zeros((len(found), width))
+        np.add.at(table, (place, np.searchsorted(used, (seen & np.uint64(255)).astype(int))), n)
+        keep = table.sum(1) >= 2
+        contexts.append(found[keep])
+        tables.append(table[keep])
+    assert sum(map(len, contexts)) * width * 8 > 48 << 20
+    whole = context_tree.assemble(contexts, tables, used)
+    for i, t in enumerate([text, text]):
+        assert got[i] == pytest.approx(whole.score(*next(context_tree.parts(pa.array([t])))[2:])[0], rel=1e-4)
+    for i, t in enumerate(asked):
+        assert got[10 + i] == pytest.approx(whole.score(*next(context_tree.parts(pa.array([t])))[2:])[0], abs=2e-2)
+
+
+def test_scores_do_not_hang_on_blocks_and_partitions(spark):
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("abcdeABé"), 4)) for _ in range(60)]
+    d = spark.createDataFrame([(i, None if i == 7 else " ".join(rng.choice(words, int(rng.integers(0, 50))))) for i in range(200)], "doc_id long, text string")
+    run = lambda x, **k: {r.doc_id: (r.score, r.base_score, r.n_known) for r in context_tree.score_texts(x, F.col("doc_id") % 3 > 0, **k).collect()}
+    one = run(d.coalesce(1))
+    many = run(d.repartition(7), block_bytes=300)
+    assert one.keys() == many.keys()
+    for i in one:
+        assert one[i] == pytest.approx(many[i], rel=1e-5, abs=1e-5)
+
+
 # --- language ---
 
 
