@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import collision_ann, context_tree, language, mixing, packing, quality, sharding, simhash, toxicity
+from tessera.llm.conversations import repaired_digests
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.runtime import read_table
 
@@ -78,6 +79,10 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_collision_counting": op1_collision_counting,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality_pairs": op9_quality_pairs,
         "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
@@ -127,4 +133,63 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
         """,
+        "op11_conversation_repair": r"""
+            WITH RECURSIVE t AS (
+                SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS tab
+            ), k AS (
+                SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+            ), c AS (
+                SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT),
+                           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS code FROM k, t
+            ), d AS (
+                SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                       CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c WHERE code <> 0
+                UNION ALL SELECT conv_id, turn, role, text FROM c WHERE code = 3
+            ), n AS (
+                SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                       regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, substr(role, 1, 1) AS r FROM d
+            ), f AS (
+                SELECT *, last = '' AS blank, last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+                       lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n
+            ), g AS (
+                SELECT *, NOT blank AND NOT dup AND last NOT IN ('.', '!', '?') AS trunc FROM f
+            ), stats AS (
+                SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                       count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated,
+                       count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+            ), w AS (
+                -- A way: cost in nine digits, the edits, then the repaired lines, each behind a newline. Its first ten and the edits order ways.
+                SELECT conv_id, 0::BIGINT AS i, {c: 0, a: '', t: ''} AS e, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS a
+                FROM (SELECT DISTINCT conv_id FROM d)
+                UNION ALL
+                SELECT z.conv_id, z.i,
+                       CASE WHEN e IS NOT NULL THEN {c: e.c + 3, a: e.a || 'D', t: e.t} END,
+                       list_min(list_filter([CASE WHEN s IS NOT NULL THEN {c: s.c + 3, a: s.a || 'D', t: s.t} END, CASE WHEN ok AND r = 's' AND e IS NOT NULL THEN {c: e.c + x, a: e.a || 'K', t: e.t || own} END], lambda y: y IS NOT NULL)),
+                       list_min(list_filter([CASE WHEN u IS NOT NULL THEN {c: u.c + 3, a: u.a || 'D', t: u.t} END,
+                           CASE WHEN ok AND e IS NOT NULL THEN {c: e.c + x + uc, a: e.a || ue, t: e.t || ul} END,
+                           CASE WHEN ok AND s IS NOT NULL THEN {c: s.c + x + uc, a: s.a || ue, t: s.t || ul} END,
+                           CASE WHEN ok AND a IS NOT NULL THEN {c: a.c + x + uc, a: a.a || ue, t: a.t || ul} END,
+                           CASE WHEN ok AND u IS NOT NULL THEN {c: u.c + x + uc + 2, a: u.a || 'I' || ue, t: u.t || chr(10) || 'assistant:' || ul} END], lambda y: y IS NOT NULL)),
+                       list_min(list_filter([CASE WHEN a IS NOT NULL THEN {c: a.c + 3, a: a.a || 'D', t: a.t} END,
+                           CASE WHEN ok AND u IS NOT NULL THEN {c: u.c + x + ac, a: u.a || ae, t: u.t || al} END,
+                           CASE WHEN ok AND e IS NOT NULL THEN {c: e.c + x + ac + 2, a: e.a || 'I' || ae, t: e.t || chr(10) || 'user:' || al} END,
+                           CASE WHEN ok AND s IS NOT NULL THEN {c: s.c + x + ac + 2, a: s.a || 'I' || ae, t: s.t || chr(10) || 'user:' || al} END,
+                           CASE WHEN ok AND a IS NOT NULL THEN {c: a.c + x + ac + 2, a: a.a || 'I' || ae, t: a.t || chr(10) || 'user:' || al} END], lambda y: y IS NOT NULL))
+                FROM (
+                    SELECT w.*, g.i AS gi, g.r, NOT (blank OR dup) AS ok, CASE WHEN trunc THEN 1 ELSE 0 END AS x, chr(10) || role || ':' || text AS own,
+                           CASE WHEN r = 'u' THEN 0 ELSE 2 END AS uc, CASE WHEN r = 'u' THEN 'K' ELSE 'R' END AS ue, CASE WHEN r = 'u' THEN chr(10) || role || ':' || text ELSE chr(10) || 'user:' || text END AS ul,
+                           CASE WHEN r = 'a' THEN 0 ELSE 2 END AS ac, CASE WHEN r = 'a' THEN 'K' ELSE 'R' END AS ae, CASE WHEN r = 'a' THEN chr(10) || role || ':' || text ELSE chr(10) || 'assistant:' || text END AS al
+                    FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = w.i + 1
+                ) AS y(conv_id, i0, e, s, u, a, i, r, ok, x, own, uc, ue, ul, ac, ae, al), LATERAL (SELECT y.conv_id, y.i) AS z
+            ), best AS (
+                SELECT w.conv_id, list_min(list_filter([e, a, CASE WHEN u IS NOT NULL THEN {c: u.c + 2, a: u.a || 'I', t: u.t || chr(10) || 'assistant:'} END,
+                           CASE WHEN s IS NOT NULL THEN {c: s.c + 4, a: s.a || 'II', t: s.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END], lambda y: y IS NOT NULL)) AS b
+                FROM w JOIN (SELECT DISTINCT conv_id, n FROM g) AS l ON w.conv_id IS NOT DISTINCT FROM l.conv_id AND w.i = l.n
+            )
+            SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                   coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+            FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+            LEFT JOIN stats ON o.conv_id IS NOT DISTINCT FROM stats.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+        """,
     }
