@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import collision_ann, context_tree, language, mixing, packing, quality, sharding, simhash, toxicity
 from tessera.llm.conversations import repaired_digests
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.runs import run_digests
 from tessera.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_digests(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_collision_counting": op1_collision_counting,
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_pairs": op9_quality_pairs,
         "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
         "op11_conversation_repair": op11_conversation_repair,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
