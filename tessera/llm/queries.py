@@ -11,6 +11,7 @@ from tessera.llm import collision_ann, context_tree, language, mixing, packing,
 from tessera.llm.conversations import repaired_digests
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.runs import run_digests
+from tessera.llm.suffix_index import removed_digests
 from tessera.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_digests(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read_table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_pairs": op9_quality_pairs,
         "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_suffix_family": op12_suffix_family,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
