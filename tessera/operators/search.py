@@ -1,4 +1,4 @@
-"""Search: trigram candidates, IDF, tiered scores, BM25, vectors, fusion, token budgets."""
+"""Search: trigram candidates, IDF, tiered scores, vectors, fusion, token budgets. BM25 is in ``sources.text_index``."""
 
 from __future__ import annotations
 
@@ -62,30 +62,6 @@ def token_overlap(docs: DataFrame, id_col: str, text: Column, query: str, *, lea
     return docs.select(F.col(id_col).alias("id"), F.round(T.jaccard(F.array_distinct(T.search_tokens(text)), q), 6).alias("score")).filter(F.col("score") > least).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, *, k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
-    """Documents that hold every query token as a prefix, scored by BM25 (higher is better)."""
-    terms = T.query_terms(query)
-    tokens = docs.select(F.col(id_col).alias("id"), T.search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-
-    def hits(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: F.startswith(x, F.lit(term))))
-
-    tf = [hits(t).alias(f"f{i}") for i, t in enumerate(terms)]
-    d = tokens.select("id", F.size("tokens").alias("len"), *tf)
-    stats = d.agg(F.count(F.lit(1)), F.avg("len"), *(F.sum((F.col(f"f{i}") > 0).cast("long")) for i in range(len(terms)))).first()
-    n, mean = stats[0], stats[1] or 1.0
-    import math
-
-    score, every = F.lit(0.0), F.lit(True)
-    for i in range(len(terms)):
-        df = stats[2 + i] or 0
-        w = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        f = F.col(f"f{i}")
-        score = score + w * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / mean))
-        every = every & (f > 0)
-    return d.filter(every).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """0 for vectors of different lengths or zero norm."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)

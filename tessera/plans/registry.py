@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import check_queries, graph_queries, pass_queries, report_queries, retrieval_queries, source_queries, text_queries
+from tessera.plans import check_queries, graph_queries, index_queries, pass_queries, report_queries, retrieval_queries, source_queries, text_queries
 
-_MODULES = [graph_queries, text_queries, pass_queries, report_queries, retrieval_queries, source_queries, check_queries]
+_MODULES = [graph_queries, text_queries, pass_queries, report_queries, retrieval_queries, source_queries, check_queries, index_queries]
 
 
 def queries() -> dict:

@@ -42,14 +42,6 @@ _add(
     SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 50""",
 )
 _add("token_overlap_search", lambda s, d: search.token_overlap(docs(s, d), "doc_id", F.col("text"), "idiot stupid moron clown the of and", least=0.0, limit=50), r"WITH q AS (SELECT ['idiot', 'stupid', 'moron', 'clown'] AS q), t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS w FROM documents) SELECT id, round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) AS score FROM t, q WHERE round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::DOUBLE, 6) > 0 ORDER BY score DESC, id LIMIT 50")
-_add(
-    "bm25_search",
-    lambda s, d: search.bm25(docs(s, d), "doc_id", "text", "stupid idiot", limit=30),
-    r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}]+)', 1) AS w FROM documents),
-    f AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'stupid'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'idiot'))) AS b FROM t),
-    s AS (SELECT count(*) AS c, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f)
-    SELECT id, round(ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM f, s WHERE a > 0 AND b > 0 ORDER BY score DESC, id LIMIT 30""",
-)
 _PAIR = "SELECT p_partkey AS id, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part"
 
 
