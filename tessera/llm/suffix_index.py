@@ -39,7 +39,11 @@ from tessera.runtime import discard, materialise
 LENGTH, GRAM = 400, 64
 #: Contexts with the same first bytes that one task compares.
 HOT = 4096
-_SLICE = 1 << 22
+_SLICE = 1 << 19
+#: Bytes of text that one set of arrays is made for; they take some 100 bytes a byte.
+_PART = 1 << 18
+#: Keys of more than one row in so many meet a broadcast; there are no more of them than this.
+_HEAVY = 1000
 _PLACE = np.uint64((1 << 24) - 1)
 _REMOVED = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
@@ -89,7 +93,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, data, offsets in parts(batch.column("text")):
+            for row, _, data, offsets in parts(batch.column("text"), _PART):
                 for low, piece, cuts in _sliced(data, offsets):
                     text, place, first, last, gram = chosen_suffixes(piece, cuts)
                     view = memoryview(np.ascontiguousarray(piece))
@@ -133,6 +137,10 @@ class IndexFamily:
     def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.unionByName(b).groupBy("gram", "context").agg(F.sum("n").alias("n"))
 
+    def all_levels(self) -> DataFrame:
+        """gram, context, n of every suffix taken in, in one row a level."""
+        return self._all(list(self.levels.values()))
+
     def long_matches(self) -> DataFrame:
         """gram, context of each suffix whose whole context occurs again."""
         return self._all([s.filter("n > 1").select("gram", "context") for s in self.scans]).distinct()
@@ -247,6 +255,13 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
     return rows.join(again, "string", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("end"))
 
 
+def _told(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right``, which is unique by ``keys``; rows of the ``heavy`` keys stay where they are."""
+    heavy = F.broadcast(heavy)
+    hot = left.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys, "left")
+    return left.join(heavy, keys, "left_anti").join(right, keys, "left").unionByName(hot)
+
+
 def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> DataFrame:
     """key, spans: for each text of ``texts`` (key binary, text) with repeated strings the stretches that they cover, which may overlap."""
     found = materialise(suffixes(texts), "suffixes")
@@ -255,7 +270,12 @@ def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> Dat
         family.add(found.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == b).select("gram", "context"))
     matches = family.long_matches().withColumn("long", F.lit(True))
     shared = family.shared_beginnings().withColumn("shared", F.lit(True))
-    marked = materialise(found.join(shared, "gram", "left").join(matches, ["gram", "context"], "left").filter("long OR shared"), "suffix-marks")
+    least = found.count() // _HEAVY
+    arrays = family.all_levels()
+    heavy_grams = materialise(arrays.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("gram"), "suffix-heavy")
+    heavy = materialise(arrays.groupBy("gram", "context").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("gram", "context"), "suffix-heavy")
+    told = _told(_told(found, shared, ["gram"], heavy_grams), matches, ["gram", "context"], heavy)
+    marked = materialise(told.filter("long OR shared"), "suffix-marks")
 
     kinds = marked.filter("shared").groupBy("gram", "context").agg(F.min(F.struct("key", "place", "near", "far")).alias("s"), F.bool_or(F.coalesce("long", F.lit(False))).alias("long"))
     open_grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("long")).alias("open")).filter("open AND n > 1")
@@ -268,7 +288,7 @@ def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> Dat
         spans = spans.unionByName(_hot_spans(_contexts(texts, wanted.filter("hot"))))
     whole = marked.filter("long").select("key", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + LENGTH).alias("end")).distinct()
     spans = materialise(spans.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found")), "suffix-spans")
-    for table in (found, *family.levels.values(), marked, wanted):
+    for table in (found, *family.levels.values(), heavy_grams, heavy, marked, wanted):
         discard(table)
     return spans
 
