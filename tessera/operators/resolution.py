@@ -46,14 +46,23 @@ def directory(uri: Column) -> Column:
     return F.regexp_replace(uri, r"/?[^/]*$", "")
 
 
-def _candidates(g: Graph, kinds: list[str], prefix: str, edge_kinds: list[str]) -> DataFrame:
-    """One row per (placeholder edge, definition of that name)."""
+def placeholder_calls(g: Graph, prefix: str, edge_kinds: list[str]) -> DataFrame:
+    """edge_id, src, name, src_qname, src_uri of the edges into placeholders."""
     e = g.edges.filter(F.col("kind").isin(edge_kinds)).select(F.col("id").alias("edge_id"), "src", "dst")
     place = g.nodes.filter(F.col("qualified_name").startswith(prefix)).select(F.col("id").alias("dst"), F.substring("qualified_name", len(prefix) + 1, 4096).alias("name"))
-    real = g.nodes.filter(F.col("kind").isin(kinds) & ~F.col("qualified_name").rlike(r"^(call|type|stub|module)::"))
-    target = real.select(F.col("id").alias("target"), "name", F.col("qualified_name").alias("target_qname"), F.col("source_uri").alias("target_uri"))
     caller = g.nodes.select(F.col("id").alias("src"), F.col("qualified_name").alias("src_qname"), F.col("source_uri").alias("src_uri"))
-    return e.join(place, "dst").join(target, "name").join(caller, "src")
+    return e.join(place, "dst").join(caller, "src").select("edge_id", "src", "name", "src_qname", "src_uri")
+
+
+def definitions(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """target, name, target_qname, target_uri of what a placeholder may stand for."""
+    real = nodes.filter(F.col("kind").isin(kinds) & ~F.col("qualified_name").rlike(r"^(call|type|stub|module)::"))
+    return real.select(F.col("id").alias("target"), "name", F.col("qualified_name").alias("target_qname"), F.col("source_uri").alias("target_uri"))
+
+
+def _only(defs: DataFrame, keys: list[str], found: str) -> DataFrame:
+    """The only definition of each key; keys with several are left out."""
+    return defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias(found)).filter("n = 1").drop("n")
 
 
 def suppressed(name: Column, more: list[str] | None = None) -> Column:
@@ -62,42 +71,80 @@ def suppressed(name: Column, more: list[str] | None = None) -> Column:
     return (low == "") | low.isin(*SUPPRESSED, *(n.lower() for n in more or []))
 
 
+CALLABLE = ["function", "method", "class"]
+
+
+def _places(rows: DataFrame, path: str) -> DataFrame:
+    return rows.select("*", F.posexplode(F.split(path, "::")).alias("place", "segment"))
+
+
+def _nearest(calls: DataFrame, defs: DataFrame) -> DataFrame:
+    """name, src_qname, scoped: the definition that shares most path segments with the caller, if there is one such.
+
+    Definitions meet callers by (name, place, segment). A segment that all definitions of a name share tells none of them
+    apart, so it makes no pair; what is left are pairs with a segment in common that some other definition has not.
+    """
+    asked = _places(calls.select("name", "src_qname").distinct(), "src_qname")
+    size = defs.groupBy("name").agg(F.count(F.lit(1)).alias("all"))
+    at = _places(defs.select("name", "target", "target_qname"), "target_qname")
+    common = at.groupBy("name", "place", "segment").agg(F.count(F.lit(1)).alias("n")).join(size, "name").filter("n < all").select("name", "place", "segment")
+    telling = at.select("name", "target", "place", "segment").join(common, ["name", "place", "segment"])
+    scope = asked.join(telling, ["name", "place", "segment"]).groupBy("name", "src_qname", "target").agg(F.count(F.lit(1)).alias("scope"))
+    best = scope.groupBy("name", "src_qname", "scope").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("scoped"))
+    top = best.groupBy("name", "src_qname").agg(F.max(F.struct("scope", "n", "scoped")).alias("b"))
+    return top.filter("b.n = 1").select("name", "src_qname", "b.scoped")
+
+
+def resolve_named(calls: DataFrame, defs: DataFrame, uses: DataFrame, imports: DataFrame | None = None, receivers: DataFrame | None = None) -> DataFrame:
+    """edge_id, name, target, tier, conf_class of the placeholder calls that the tiers of :func:`resolve_calls` decide.
+
+    Each tier is a table of the definitions' own: the only one of a (name), (name, file), (name, directory), (name, owner), the two most
+    used of a name. Calls meet each table by its key, so no row is made for a call and a definition, but where scope has to tell.
+    """
+    segments = F.split("target_qname", "::")
+    owned = defs.withColumn("owner", F.when(F.size(segments) > 1, F.element_at(segments, F.greatest(F.size(segments) - 1, F.lit(1)))))
+    c = calls.select("edge_id", "name", "src_qname", "src_uri")
+    c = c.join(_only(defs, ["name"], "t1"), "name", "left")
+    c = c.join(_only(defs.filter("target_uri IS NOT NULL").select("target", "name", F.col("target_uri").alias("src_uri")), ["name", "src_uri"], "t2"), ["name", "src_uri"], "left")
+    undecided = c.filter("t1 IS NULL AND t2 IS NULL")
+    c = c.join(_nearest(undecided, defs).withColumnRenamed("scoped", "t3"), ["name", "src_qname"], "left")
+    if receivers is None:
+        c = c.withColumn("t4", F.lit(None).cast("long"))
+    else:
+        typed = c.select("edge_id", "name").join(receivers.select("edge_id", F.col("type").alias("owner")).distinct(), "edge_id")
+        fits = typed.join(owned.select("name", "owner", "target"), ["name", "owner"])
+        c = c.join(_only(fits, ["edge_id"], "t4"), "edge_id", "left")
+    if imports is None:
+        c = c.withColumn("t5", F.lit(None).cast("long"))
+    else:
+        brought = imports.select("src_uri", "name", "target_uri").distinct().join(defs.select("name", "target_uri", "target"), ["name", "target_uri"])
+        c = c.join(_only(brought, ["src_uri", "name"], "t5"), ["src_uri", "name"], "left")
+    near = defs.withColumn("dir", directory(F.col("target_uri"))).filter("dir IS NOT NULL")
+    c = c.withColumn("dir", directory(F.col("src_uri"))).join(_only(near, ["name", "dir"], "t6"), ["name", "dir"], "left")
+    counted = defs.join(uses.select("target", "uses"), "target").filter("uses > 0")
+    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("uses"), "target"))).filter("nth <= 2")
+    top = ranked.groupBy("name").agg(F.max(F.when(F.col("nth") == 1, F.col("uses"))).alias("most"), F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("uses"))), F.lit(0)).alias("next"), F.max(F.when(F.col("nth") == 1, F.col("target"))).alias("t7"))
+    c = c.join(top.filter("most >= 2 AND next * 2 <= most").select("name", "t7"), "name", "left")
+    tier = F.coalesce(*(F.when(F.col(f"t{t}").isNotNull(), F.lit(t)) for t in range(1, 8)))
+    target = F.coalesce(*(F.col(f"t{t}") for t in range(1, 8)))
+    c = c.select("edge_id", "name", target.alias("target"), tier.alias("tier")).filter("tier IS NOT NULL")
+    return c.withColumn("conf_class", F.when(F.col("tier") <= 2, "extracted").otherwise("inferred"))
+
+
+def call_uses(g: Graph) -> DataFrame:
+    """target, uses: how many calls point at a node itself."""
+    return g.edges.filter("kind = 'calls'").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("uses"))
+
+
 def resolve_calls(g: Graph, imports: DataFrame | None = None, receivers: DataFrame | None = None, *, suppress: list[str] | None = None) -> DataFrame:
     """edge_id, target, tier, conf_class: the first tier with exactly one candidate wins.
 
     Tiers: 1 unique name, 2 same file, 3 most equal scope segments, 4 owner is the receiver's type (``receivers``:
     edge_id, type), 5 imported module (``imports``: src_uri, name, target_uri), 6 same directory, 7 most callers (two at least, and twice the next). Tiers 1 and 2
-    are extracted, the rest inferred. Counts per edge come from one window; nothing is collected.
+    are extracted, the rest inferred.
     """
-    c = _candidates(g, ["function", "method", "class"], "call::", ["calls"]).filter(~suppressed(F.col("name"), suppress))
-    used = g.edges.filter("kind = 'calls'").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("uses"))
-    c = c.join(used, "target", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
-    if imports is not None:
-        c = c.join(imports.select("src_uri", "name", "target_uri").distinct().withColumn("imported", F.lit(1)), ["src_uri", "name", "target_uri"], "left")
-    else:
-        c = c.withColumn("imported", F.lit(None).cast("int"))
-    c = c.join(receivers.select("edge_id", "type").distinct(), "edge_id", "left") if receivers is not None else c.withColumn("type", F.lit(None).cast("string"))
-    segments = F.split("target_qname", "::")
-    owned = (F.size(segments) > 1) & (F.element_at(segments, F.greatest(F.size(segments) - 1, F.lit(1))) == F.col("type"))
-    w = Window.partitionBy("edge_id")
-    scope = equal_places(F.col("src_qname"), F.col("target_qname"))
-    c = c.withColumn("scope", scope).withColumn("best_scope", F.max("scope").over(w)).withColumn("best_uses", F.max("uses").over(w))
-    in_file = F.col("src_uri").eqNullSafe(F.col("target_uri")) & F.col("src_uri").isNotNull()
-    same_dir = (directory(F.col("src_uri")) == directory(F.col("target_uri")))
-    tests = {1: F.lit(True), 2: in_file, 3: (F.col("scope") == F.col("best_scope")) & (F.col("scope") > 0), 4: owned, 5: F.col("imported").isNotNull(), 6: same_dir, 7: (F.col("uses") == F.col("best_uses")) & (F.col("uses") >= 2)}
-    for t, hit in tests.items():
-        c = c.withColumn(f"hit{t}", F.coalesce(hit, F.lit(False))).withColumn(f"n{t}", F.sum(F.col(f"hit{t}").cast("int")).over(w))
-    rivals = F.sum((F.col("uses") * 2 > F.col("best_uses")).cast("int")).over(w)
-    c = c.withColumn("rivals", rivals)
-    tier = F.lit(None).cast("int")
-    for t in reversed(tests):
-        alone = (F.col(f"n{t}") == 1) if t != 7 else (F.col("n7") == 1) & (F.col("rivals") == 1)
-        tier = F.when(alone, t).otherwise(tier)
-    c = c.withColumn("tier", tier).filter("tier IS NOT NULL")
-    chosen = F.lit(False)
-    for t in tests:
-        chosen = chosen | ((F.col("tier") == t) & F.col(f"hit{t}"))
-    return c.filter(chosen).select("edge_id", "target", "tier", F.when(F.col("tier") <= 2, "extracted").otherwise("inferred").alias("conf_class"))
+    calls = placeholder_calls(g, "call::", ["calls"]).filter(~suppressed(F.col("name"), suppress))
+    return resolve_named(calls, definitions(g.nodes, CALLABLE), call_uses(g), imports, receivers).drop("name")
 
 
 def apply_resolution(g: Graph, resolved: DataFrame, prefix: str = "call::") -> Graph:
@@ -112,9 +159,9 @@ def apply_resolution(g: Graph, resolved: DataFrame, prefix: str = "call::") -> G
 
 def resolve_types(g: Graph) -> DataFrame:
     """Inheritance edges to ``type::X`` go to the only class, trait or type named X."""
-    c = _candidates(g, ["class", "trait", "type"], "type::", ["inherits", "implements"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("edge_id"))
-    return c.withColumn("n", n).filter("n = 1").select("edge_id", "target", F.lit(1).alias("tier"), F.lit("extracted").alias("conf_class"))
+    calls = placeholder_calls(g, "type::", ["inherits", "implements"])
+    only = _only(definitions(g.nodes, ["class", "trait", "type"]), ["name"], "target")
+    return calls.join(only, "name").select("edge_id", "target", F.lit(1).alias("tier"), F.lit("extracted").alias("conf_class"))
 
 
 def derive_tested_by(g: Graph) -> DataFrame:

@@ -34,12 +34,12 @@ def placeholder_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(definition.unionByName(caller).unionByName(holder), edges)
 
 
-_PLACE = """WITH cand AS (
-    SELECT l_orderkey * 100 + l_linenumber AS edge_id, p_partkey AS target, (l_orderkey % 40) = (p_partkey % 40) AS same
-    FROM lineitem JOIN part ON l_partkey % 1500 = p_partkey % 1500
-), n AS (SELECT *, count(*) OVER (PARTITION BY edge_id) AS n1, sum(same::INT) OVER (PARTITION BY edge_id) AS n2 FROM cand)
+_PLACE = """WITH l AS (SELECT row_number() OVER () AS line, * FROM lineitem), cand AS (
+    SELECT line, l_orderkey * 100 + l_linenumber AS edge_id, p_partkey AS target, (l_orderkey % 40) = (p_partkey % 40) AS same, l_orderkey = p_partkey AS near
+    FROM l JOIN part ON l_partkey % 1500 = p_partkey % 1500
+), n AS (SELECT *, count(*) OVER (PARTITION BY line) AS n1, sum(same::INT) OVER (PARTITION BY line) AS n2, sum(near::INT) OVER (PARTITION BY line) AS n3 FROM cand)
 """
-_add("call_resolve_unique", lambda s, d: resolution.resolve_calls(placeholder_graph(s, d)).select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class"), _PLACE + "SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 ELSE 2 END::BIGINT AS tier, 'extracted' AS conf_class FROM n WHERE n1 = 1 OR (n2 = 1 AND same)")
+_add("call_resolve_unique", lambda s, d: resolution.resolve_calls(placeholder_graph(s, d)).select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class"), _PLACE + "SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::BIGINT AS tier, CASE WHEN n1 = 1 OR n2 = 1 THEN 'extracted' ELSE 'inferred' END AS conf_class FROM n WHERE n1 = 1 OR (n2 = 1 AND same) OR (n2 <> 1 AND n3 = 1 AND near)")
 
 
 def _types(spark, d) -> DataFrame:
