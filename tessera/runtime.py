@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage, so that shuffle files of finished jobs go; else they stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
