@@ -28,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from tessera.llm._frames import aside
 from tessera.llm._text import parts, span_hashes
-from tessera.runtime import discard, materialise
+from tessera.runtime import discard, materialise, release_shuffles
 
 LENGTH, GRAM = 400, 64
 #: Contexts with the same first bytes that one task compares.
@@ -114,47 +114,53 @@ def suffixes(texts: DataFrame) -> DataFrame:
 
 
 class IndexFamily:
-    """Levels of suffix arrays (gram, context, n), and what their scans found."""
+    """Levels of suffix arrays (gram, context, n), and the scans that together hold every pair of batches."""
 
     def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
-        self.scans: list[DataFrame] = []
+        self.batches = 0
+        self.levels: dict[int, tuple[frozenset[int], DataFrame]] = {}
+        self.scans: list[tuple[frozenset[int], DataFrame]] = []
 
     def add(self, batch: DataFrame) -> None:
-        """Take in the suffixes (gram, context) of a batch."""
+        """Take in the suffixes (gram, context) of a batch: merge its array with levels of its size, scan the result against the others."""
+        mine = frozenset([self.batches])
+        self.batches += 1
         array = materialise(batch.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("gram", "context"), "suffix-array")
-        self.scans.append(array)
-        rank, merging = 0, array
+        rank, merged, within = 0, array, mine
         while rank in self.levels:
-            level = self.levels.pop(rank)
-            merging = materialise(self._merge(merging, level).sortWithinPartitions("gram", "context"), "suffix-level")
-            self.scans.append(merging)
+            others, level = self.levels.pop(rank)
+            merged, lower = materialise(self._scan(merged, level).sortWithinPartitions("gram", "context"), "suffix-level"), merged
+            within |= others
+            discard(level)
+            discard(lower)
             rank += 1
-        self.scans += [self._merge(array, level) for level in self.levels.values()]
-        self.levels[rank] = merging
+        scans = [(within | others, self._scan(merged, level)) for others, level in self.levels.values()] or [(within, merged)]
+        self.scans = [old for old in self.scans if not any(old[0] <= new for new, _ in scans)] + scans  # the rest is found again
+        self.levels[rank] = (within, merged)
 
     @staticmethod
-    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    def _scan(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.unionByName(b).groupBy("gram", "context").agg(F.sum("n").alias("n"))
 
     def all_levels(self) -> DataFrame:
         """gram, context, n of every suffix taken in, in one row a level."""
-        return self._all(list(self.levels.values()))
+        return _all([level for _, level in self.levels.values()])
 
     def long_matches(self) -> DataFrame:
         """gram, context of each suffix whose whole context occurs again."""
-        return self._all([s.filter("n > 1").select("gram", "context") for s in self.scans]).distinct()
+        return _all([s.filter("n > 1").select("gram", "context") for _, s in self.scans]).distinct()
 
     def shared_beginnings(self) -> DataFrame:
-        """gram of suffixes with the same first bytes and different contexts."""
-        return self._all([s.groupBy("gram").agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("gram") for s in self.scans]).distinct()
+        """gram, contexts, open: first bytes with several contexts, their least number, and whether one of these has no equal."""
+        kinds = [s.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), (F.min("n") == 1).alias("open")) for _, s in self.scans]
+        return _all([k.filter("contexts > 1") for k in kinds]).groupBy("gram").agg(F.max("contexts").alias("contexts"), F.bool_or("open").alias("open"))
 
-    @staticmethod
-    def _all(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,18 +274,21 @@ def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> Dat
     family = IndexFamily()
     for b in range(batches):
         family.add(found.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == b).select("gram", "context"))
-    matches = family.long_matches().withColumn("long", F.lit(True))
-    shared = family.shared_beginnings().withColumn("shared", F.lit(True))
     least = found.count() // _HEAVY
     arrays = family.all_levels()
     heavy_grams = materialise(arrays.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("gram"), "suffix-heavy")
     heavy = materialise(arrays.groupBy("gram", "context").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("gram", "context"), "suffix-heavy")
-    told = _told(_told(found, shared, ["gram"], heavy_grams), matches, ["gram", "context"], heavy)
-    marked = materialise(told.filter("long OR shared"), "suffix-marks")
+    matches = family.long_matches().withColumn("long", F.lit(True))
+    shared = materialise(family.shared_beginnings().filter("open").select("gram", (F.col("contexts") > hot).alias("hot")), "suffix-shared")
+    kinds = _told(arrays.select("gram", "context").distinct(), shared, ["gram"], heavy_grams).join(matches, ["gram", "context"], "left").filter("long OR hot IS NOT NULL")
+    kinds = materialise(kinds, "suffix-kinds")
+    marked = materialise(_told(found, kinds, ["gram", "context"], heavy).filter("long OR hot IS NOT NULL"), "suffix-marks")
+    for table in (found, *(level for _, level in family.levels.values()), heavy_grams, heavy, shared, kinds):
+        discard(table)
+    del family, arrays, matches, shared, kinds
+    release_shuffles(texts.sparkSession)
 
-    kinds = marked.filter("shared").groupBy("gram", "context").agg(F.min(F.struct("key", "place", "near", "far")).alias("s"), F.bool_or(F.coalesce("long", F.lit(False))).alias("long"))
-    open_grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("long")).alias("open")).filter("open AND n > 1")
-    wanted = kinds.join(open_grams, "gram").select("gram", "s.*", (F.col("n") > hot).alias("hot"))
+    wanted = marked.filter("hot IS NOT NULL").groupBy("gram", "context", "hot").agg(F.min(F.struct("key", "place", "near", "far")).alias("s")).select("gram", "s.*", "hot")
     wanted = materialise(wanted, "suffix-wanted")
     n_hot = wanted.filter("hot").limit(1).count()
     contexts = _contexts(texts, wanted.filter("NOT hot"))
@@ -288,8 +297,9 @@ def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> Dat
         spans = spans.unionByName(_hot_spans(_contexts(texts, wanted.filter("hot"))))
     whole = marked.filter("long").select("key", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + LENGTH).alias("end")).distinct()
     spans = materialise(spans.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found")), "suffix-spans")
-    for table in (found, *family.levels.values(), heavy_grams, heavy, marked, wanted):
-        discard(table)
+    discard(marked)
+    discard(wanted)
+    release_shuffles(texts.sparkSession)
     return spans
 
 

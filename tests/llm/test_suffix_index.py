@@ -80,7 +80,8 @@ def test_family_merges_equal_levels(spark):
         family.add(spark.createDataFrame([(g, g * 10 + (b if g == 1 else 0)) for g in range(b % 3 + 1)], "gram long, context long"))
     assert sorted(family.levels) == [0, 1, 2]
     assert {tuple(r) for r in family.long_matches().collect()} == {(0, 0), (2, 20)}
-    assert [r.gram for r in family.shared_beginnings().collect()] == [1]
+    assert [(r.gram, r.open) for r in family.shared_beginnings().collect()] == [(1, True)]
+    assert sorted(map(sorted, (b for b, _ in family.scans))) == [[0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 6], [4, 5, 6]]
 
 
 def test_many_contexts_agree_with_pairs():
