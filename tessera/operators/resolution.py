@@ -60,7 +60,7 @@ def definitions(nodes: DataFrame, kinds: list[str]) -> DataFrame:
     return real.select(F.col("id").alias("target"), "name", F.col("qualified_name").alias("target_qname"), F.col("source_uri").alias("target_uri"))
 
 
-def _only(defs: DataFrame, keys: list[str], found: str) -> DataFrame:
+def only(defs: DataFrame, keys: list[str], found: str) -> DataFrame:
     """The only definition of each key; keys with several are left out."""
     return defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias(found)).filter("n = 1").drop("n")
 
@@ -104,8 +104,8 @@ def resolve_named(calls: DataFrame, defs: DataFrame, uses: DataFrame, imports: D
     segments = F.split("target_qname", "::")
     owned = defs.withColumn("owner", F.when(F.size(segments) > 1, F.element_at(segments, F.greatest(F.size(segments) - 1, F.lit(1)))))
     c = calls.select("edge_id", "name", "src_qname", "src_uri")
-    c = c.join(_only(defs, ["name"], "t1"), "name", "left")
-    c = c.join(_only(defs.filter("target_uri IS NOT NULL").select("target", "name", F.col("target_uri").alias("src_uri")), ["name", "src_uri"], "t2"), ["name", "src_uri"], "left")
+    c = c.join(only(defs, ["name"], "t1"), "name", "left")
+    c = c.join(only(defs.filter("target_uri IS NOT NULL").select("target", "name", F.col("target_uri").alias("src_uri")), ["name", "src_uri"], "t2"), ["name", "src_uri"], "left")
     undecided = c.filter("t1 IS NULL AND t2 IS NULL")
     c = c.join(_nearest(undecided, defs).withColumnRenamed("scoped", "t3"), ["name", "src_qname"], "left")
     if receivers is None:
@@ -113,14 +113,14 @@ def resolve_named(calls: DataFrame, defs: DataFrame, uses: DataFrame, imports: D
     else:
         typed = c.select("edge_id", "name").join(receivers.select("edge_id", F.col("type").alias("owner")).distinct(), "edge_id")
         fits = typed.join(owned.select("name", "owner", "target"), ["name", "owner"])
-        c = c.join(_only(fits, ["edge_id"], "t4"), "edge_id", "left")
+        c = c.join(only(fits, ["edge_id"], "t4"), "edge_id", "left")
     if imports is None:
         c = c.withColumn("t5", F.lit(None).cast("long"))
     else:
         brought = imports.select("src_uri", "name", "target_uri").distinct().join(defs.select("name", "target_uri", "target"), ["name", "target_uri"])
-        c = c.join(_only(brought, ["src_uri", "name"], "t5"), ["src_uri", "name"], "left")
+        c = c.join(only(brought, ["src_uri", "name"], "t5"), ["src_uri", "name"], "left")
     near = defs.withColumn("dir", directory(F.col("target_uri"))).filter("dir IS NOT NULL")
-    c = c.withColumn("dir", directory(F.col("src_uri"))).join(_only(near, ["name", "dir"], "t6"), ["name", "dir"], "left")
+    c = c.withColumn("dir", directory(F.col("src_uri"))).join(only(near, ["name", "dir"], "t6"), ["name", "dir"], "left")
     counted = defs.join(uses.select("target", "uses"), "target").filter("uses > 0")
     ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("uses"), "target"))).filter("nth <= 2")
     top = ranked.groupBy("name").agg(F.max(F.when(F.col("nth") == 1, F.col("uses"))).alias("most"), F.coalesce(F.max(F.when(F.col("nth") == 2, F.col("uses"))), F.lit(0)).alias("next"), F.max(F.when(F.col("nth") == 1, F.col("target"))).alias("t7"))
@@ -160,8 +160,8 @@ def apply_resolution(g: Graph, resolved: DataFrame, prefix: str = "call::") -> G
 def resolve_types(g: Graph) -> DataFrame:
     """Inheritance edges to ``type::X`` go to the only class, trait or type named X."""
     calls = placeholder_calls(g, "type::", ["inherits", "implements"])
-    only = _only(definitions(g.nodes, ["class", "trait", "type"]), ["name"], "target")
-    return calls.join(only, "name").select("edge_id", "target", F.lit(1).alias("tier"), F.lit("extracted").alias("conf_class"))
+    found = only(definitions(g.nodes, ["class", "trait", "type"]), ["name"], "target")
+    return calls.join(found, "name").select("edge_id", "target", F.lit(1).alias("tier"), F.lit("extracted").alias("conf_class"))
 
 
 def derive_tested_by(g: Graph) -> DataFrame:

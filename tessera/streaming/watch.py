@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.changes import file_diff
+from tessera.runtime import materialise
 from tessera.sources.code import code_graph
 from tessera.sources.store import Store
 
@@ -14,12 +15,16 @@ CHANGES = "path string, content string, deleted boolean, at long"
 
 
 def apply_batch(store: Store, batch: DataFrame) -> int:
-    """Update the store with the latest version of each path in the batch; unchanged contents do nothing."""
-    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("at")))
-    now = batch.withColumn("nth", last).filter("nth = 1").withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256)).drop("nth")
-    state = store.file_state()
-    current = state.join(now.select("path"), "path", "left_anti").unionByName(now.filter("NOT deleted").select("path", "hash"))
-    touched = file_diff(state, current)
+    """Update the store with the latest version of each path in the batch; unchanged contents do nothing.
+
+    Of versions with one time, one that is not deleted wins, then the greater hash, so a batch that runs again gives the same store.
+    """
+    hashed = batch.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))
+    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("at"), "deleted", F.desc("hash")))
+    now = materialise(hashed.withColumn("nth", last).filter("nth = 1").drop("nth"), "batch")
+    state = store.file_state().join(now.select("path"), "path", "left_semi")
+    current = now.filter("NOT deleted").select("path", "hash")
+    touched = materialise(file_diff(state, current), "batch-touched")
     if touched.isEmpty():
         return store.version()
     changed = now.filter("NOT deleted").join(touched.select("path"), "path", "left_semi")
