@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql import types as T
 
 from tessera.llm._frames import aside
 from tessera.llm._text import parts, span_hashes
@@ -45,7 +45,7 @@ _PART = 1 << 18
 #: Keys of more than one row in so many meet a broadcast; there are no more of them than this.
 _HEAVY = 1000
 _PLACE = np.uint64((1 << 24) - 1)
-_REMOVED = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def chosen_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -263,9 +263,11 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
 
 def _told(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
     """``left`` with the columns of ``right``, which is unique by ``keys``; rows of the ``heavy`` keys stay where they are."""
-    heavy = F.broadcast(heavy)
-    hot = left.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys, "left")
-    return left.join(heavy, keys, "left_anti").join(right, keys, "left").unionByName(hot)
+    more = [c for c in right.columns if c not in keys]
+    known = heavy.join(right, keys, "left").select(*keys, F.struct(*more).alias("_told"))
+    met = left.join(F.broadcast(known), keys, "left")
+    hot = met.filter("_told IS NOT NULL").select(*left.columns, *(F.col(f"_told.{c}").alias(c) for c in more))
+    return met.filter("_told IS NULL").select(*left.columns).join(right, keys, "left").unionByName(hot)
 
 
 def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> DataFrame:
@@ -303,23 +305,18 @@ def repeated_spans(texts: DataFrame, *, batches: int = 4, hot: int = HOT) -> Dat
     return spans
 
 
-@F.arrow_udf(from_arrow_type(_REMOVED))
-def _cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
-    kept, counts, spans = [], [], []
-    for text, of_text in zip(texts, found):
-        data = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
-        merged: list[list[int]] = []
-        if of_text.is_valid:
-            start, end = (of_text.values.field(c).to_numpy() for c in ("start", "end"))
-            order = np.argsort(start, kind="stable")
-            start, end = start[order], np.maximum.accumulate(end[order])
-            new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
-            merged = list(zip(start[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist()))
-        edges = [0, *(x for span in merged for x in span), len(data)]
-        kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-        counts.append(sum(b - a for a, b in merged))
-        spans.append([{"start": a, "end": b} for a, b in merged])
-    return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(counts, pa.int64()), pa.array(spans, _REMOVED.field("spans").type)], fields=list(_REMOVED))
+def _cut_out(text: pa.Scalar, found: pa.Scalar) -> tuple[bytes, int, list[dict]]:
+    """What is left of a text, how many bytes went, and the merged spans."""
+    data = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
+    merged: list[tuple[int, int]] = []
+    if found.is_valid:
+        start, end = (found.values.field(c).to_numpy() for c in ("start", "end"))
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+        merged = list(zip(start[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist()))
+    edges = [0, *(x for span in merged for x in span), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in merged), [{"start": a, "end": b} for a, b in merged]
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", batches: int = 4, hot: int = HOT) -> DataFrame:
@@ -327,12 +324,24 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", batches: int = 4,
     names = ["kept", "n_bytes", "n_removed", "spans"]
     source = text_col + "_in" if text_col in names else text_col
     text = F.coalesce(F.col(f"`{source}`"), F.lit(""))
-    docs = aside(docs, [*names, "_key", "_cut", "found", "key"])
+    docs = aside(docs, [*names, "_key", "_found"])
     texts = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    spans = repeated_spans(texts, batches=batches, hot=hot).withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("key", F.unhex(F.md5(text)))
-    cut = keyed.join(spans, keyed["key"] == spans["_key"], "left").withColumn("_cut", _cut_out(text, F.col("found")))
-    return cut.select(*docs.columns, "_cut.kept", F.octet_length(text).cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.spans")
+    spans = repeated_spans(texts, batches=batches, hot=hot).select(F.col("key").alias("_key"), F.col("found").alias("_found"))
+    joined = docs.join(spans, F.unhex(F.md5(text)) == F.col("_key"), "left").drop("_key")
+    columns = docs.columns
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            said, found = batch.column(source), batch.column("_found")
+            for low in range(0, batch.num_rows, 256):  # 256 texts are copied at a time
+                piece = batch.slice(low, 256)
+                kept, gone, of_text = zip(*map(_cut_out, said.slice(low, 256), found.slice(low, 256)))
+                sizes = [len(k) + g for k, g in zip(kept, gone)]
+                more = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(of_text, _SPAN)]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), *more], [*columns, *names])
+
+    out = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields])
+    return joined.mapInArrow(cut, out)
 
 
 def removed_digests(docs: DataFrame) -> DataFrame:

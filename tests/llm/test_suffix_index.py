@@ -60,7 +60,7 @@ def test_removal_matches_all_strings(docs, batches, hot):
     rows = docs.collect()
     want = sorted(zip([str(r.doc_id) for r in rows], expected([r.text for r in rows])))
     out = S.remove_repeats(docs, batches=batches, hot=hot)
-    assert out.columns == ["doc_id", "text", "spans_in", "key_in", "kept", "n_bytes", "n_removed", "spans"]
+    assert out.columns == ["doc_id", "text", "spans_in", "key", "kept", "n_bytes", "n_removed", "spans"]
     got = sorted((str(r.doc_id), (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest())) for r in out.collect())
     assert got == want
 
