@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import changes, flows, motifs, primitives
 from tessera.plans import evaluation
+from tessera.plans.pass_queries import placeholder_graph
 from tessera.runtime import read_table, scratch_path
 from tessera.sources.adapters import COMMERCE_SQL, Graph, commerce_graph
 from tessera.sources.store import Store
@@ -130,6 +131,15 @@ _add(
 # --- the store ---
 
 
+def _one_each(g: Graph) -> Graph:
+    """The store tells edges apart by id; of line items that repeat one, that with the least part stays."""
+    edges = g.edges.groupBy("id", "src", "kind").agg(F.min("dst").alias("dst"), F.min("conf_class").alias("conf_class"), F.min("confidence").alias("confidence"))
+    return Graph(g.nodes, edges.select(g.edges.columns))
+
+
+_ONE_EACH = ", e AS (SELECT id, src, min(dst) AS dst, kind FROM edges GROUP BY id, src, kind)"
+
+
 def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     store = Store(s, scratch_path(s, "store"))
     g = commerce_graph(s, d)
@@ -148,7 +158,7 @@ _add(
 def _update(s: SparkSession, d: str) -> DataFrame:
     """Files of some brands are replaced by half of their nodes; edges into the lost half go."""
     store = Store(s, scratch_path(s, "store"))
-    g = commerce_graph(s, d)
+    g = _one_each(commerce_graph(s, d))
     files = g.nodes.filter("source_uri IS NOT NULL").select(F.col("source_uri").alias("path"), F.md5("source_uri").alias("hash")).distinct()
     store.save(g, files)
     touched = files.filter("path LIKE 'brand/Brand#1%'")
@@ -156,15 +166,77 @@ def _update(s: SparkSession, d: str) -> DataFrame:
     changed = Graph(kept, g.edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").select(g.edges.columns))
     store.update(changed, touched.select("path"), files)
     back = store.load()
-    return primitives.kind_counts(back.nodes).unionByName(primitives.kind_counts(back.edges.dropDuplicates(["id"])))
+    return primitives.kind_counts(back.nodes).unionByName(primitives.kind_counts(back.edges))
 
 
 _add(
     "store_update",
     _update,
     _N
+    + _ONE_EACH
     + """, lost AS (SELECT id FROM nodes WHERE source_uri LIKE 'brand/Brand#1%' AND id % 2 = 1)
-    SELECT kind, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM lost) GROUP BY kind UNION ALL SELECT kind, count(DISTINCT id) FROM edges WHERE src NOT IN (SELECT id FROM lost) AND dst NOT IN (SELECT id FROM lost) GROUP BY kind""",
+    SELECT kind, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM lost) GROUP BY kind UNION ALL SELECT kind, count(*) FROM e WHERE src NOT IN (SELECT id FROM lost) AND dst NOT IN (SELECT id FROM lost) GROUP BY kind""",
+)
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """Counts by kind at each version of a store: as saved, after one brand's parts went, after another's, after a nation's suppliers were given back without edges."""
+    store = Store(s, scratch_path(s, "store"))
+    g = _one_each(commerce_graph(s, d))
+    edges = g.edges
+    none = Graph(g.nodes.limit(0), edges.limit(0))
+    files = g.nodes.filter("source_uri IS NOT NULL").select(F.col("source_uri").alias("path"), F.md5("source_uri").alias("hash")).distinct()
+    store.save(Graph(g.nodes, edges), files)
+    for path in ("brand/Brand#11", "brand/Brand#22"):
+        store.update(none, files.filter(F.col("path") == path), files.limit(0))
+    store.update(Graph(g.nodes.filter("source_uri = 'nation/3'"), edges.limit(0)), files.filter("path = 'nation/3'"), files)
+    out = None
+    for v in range(1, store.version() + 1):
+        back = store.load(v)
+        for part, rows in (("node", back.nodes), ("edge", back.edges)):
+            part_rows = primitives.kind_counts(rows).select(F.lit(v).cast("long").alias("version"), F.lit(part).alias("part"), "kind", "n")
+            out = part_rows if out is None else out.unionByName(part_rows)
+    return out.unionByName(store.file_state().select(F.lit(v).cast("long").alias("version"), F.lit("file").alias("part"), F.lit("file").alias("kind")).groupBy("version", "part", "kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+_add(
+    "store_versions",
+    _versions,
+    _N
+    + _ONE_EACH
+    + """, gone AS (SELECT id, CASE WHEN source_uri = 'brand/Brand#11' THEN 2 WHEN source_uri = 'brand/Brand#22' THEN 3 ELSE 99 END AS until FROM nodes),
+    v AS (SELECT unnest([1, 2, 3, 4])::BIGINT AS version),
+    back AS (SELECT id FROM nodes WHERE source_uri = 'nation/3')
+    SELECT version, 'node' AS part, kind, count(*) AS n FROM v, nodes JOIN gone USING (id) WHERE until > version GROUP BY ALL
+    UNION ALL SELECT version, 'edge', kind, count(*) FROM v, e JOIN gone a ON a.id = e.src JOIN gone b ON b.id = e.dst WHERE a.until > version AND b.until > version AND NOT (version = 4 AND e.src IN (SELECT id FROM back)) GROUP BY ALL
+    UNION ALL SELECT 4, 'file', 'file', count(DISTINCT source_uri) - 2 FROM nodes WHERE source_uri IS NOT NULL""",
+)
+
+
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """What calls stand for after two files changed: definitions of one are renamed, some of the other are gone."""
+    store = Store(s, scratch_path(s, "store"), resolve=True)
+    g = placeholder_graph(s, d)
+    edges = g.edges.groupBy("id", "src", "kind", "conf_class", "confidence").agg(F.min("dst").alias("dst"))
+    files = g.nodes.filter("source_uri IS NOT NULL").select(F.col("source_uri").alias("path"), F.md5("source_uri").alias("hash")).distinct()
+    store.save(Graph(g.nodes, edges.select(g.edges.columns)), files)
+    defined = F.col("kind") == "function"
+    renamed = F.when(defined & (F.col("source_uri") == "f/3.py"), F.concat(F.lit("n"), ((F.col("id") + 1) % 1500).cast("string"))).otherwise(F.col("name"))
+    nodes = g.nodes.filter("source_uri IN ('f/3.py', 'f/7.py')").filter(~(defined & (F.col("source_uri") == "f/7.py") & (F.col("id") % 3 == 0))).withColumn("name", renamed)
+    changed = Graph(nodes, edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select(g.edges.columns))
+    store.update(changed, files.filter("path IN ('f/3.py', 'f/7.py')"), files)
+    return store.resolved().select("edge_id", "target", F.col("tier").cast("long").alias("tier"), "conf_class")
+
+
+_add(
+    "refresh_resolution",
+    _refreshed,
+    """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey % 1500) AS r FROM lineitem GROUP BY ALL),
+    p AS (SELECT p_partkey, CASE WHEN p_partkey % 40 = 3 THEN (p_partkey + 1) % 1500 ELSE p_partkey % 1500 END AS r FROM part WHERE NOT (p_partkey % 40 = 7 AND p_partkey % 3 = 0)),
+    c AS (SELECT l_orderkey * 100 + l_linenumber AS edge_id, p_partkey AS target, l_orderkey % 40 = p_partkey % 40 AS same, l_orderkey = p_partkey AS near FROM l JOIN p USING (r)),
+    n AS (SELECT *, count(*) OVER w AS n1, sum(same::INT) OVER w AS n2, sum(near::INT) OVER w AS n3 FROM c WINDOW w AS (PARTITION BY edge_id))
+    SELECT edge_id, target, CASE WHEN n1 = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::BIGINT AS tier, CASE WHEN n1 = 1 OR n2 = 1 THEN 'extracted' ELSE 'inferred' END AS conf_class
+    FROM n WHERE n1 = 1 OR (n2 = 1 AND same) OR (n2 <> 1 AND n3 = 1 AND near)""",
 )
 
 
