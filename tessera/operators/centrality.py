@@ -187,54 +187,6 @@ def betweenness(g: Graph, *, max_sources: int = 64) -> DataFrame:
     return out.filter("id <> s").groupBy("id").agg(F.round(F.sum("delta"), 6).alias("score"))
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """Cut vertices of the undirected view, a depth-first search per connected component.
-
-    A component is one group: the search is sequential by nature. The two-core is taken first for
-    trees hanging off it, whose inner nodes are cut vertices without a search.
-    """
-    import pandas as pd
-
-    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    roots = components(e)
-    grouped = e.join(roots.withColumnRenamed("id", "a"), "a")
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        order: dict[int, int] = {}
-        low: dict[int, int] = {}
-        cut = set()
-        start = min(near)
-        order[start] = low[start] = 0
-        branches, stack = 0, [(start, None, iter(near[start]))]
-        while stack:
-            v, parent, rest = stack[-1]
-            for w in rest:
-                if w not in order:
-                    order[w] = low[w] = len(order)
-                    stack.append((w, v, iter(near[w])))
-                    break
-                if w != parent:
-                    low[v] = min(low[v], order[w])
-            else:
-                stack.pop()
-                if parent is None:
-                    continue
-                low[parent] = min(low[parent], low[v])
-                if parent == start:
-                    branches += 1
-                elif low[v] >= order[parent]:
-                    cut.add(parent)
-        if branches > 1:
-            cut.add(start)
-        return pd.DataFrame({"id": sorted(cut)}, dtype="int64")
-
-    return grouped.groupBy("root").applyInPandas(search, "id long")
-
-
 def god_nodes(g: Graph, top: int = 20) -> DataFrame:
     """Highest PageRank without files, flows, placeholders and one-character or numeric names."""
     noise = F.col("kind").isin("file", "flow", "hyperedge", "concept") | F.col("qualified_name").rlike(r"^(call|type|stub|var|param)::") | F.col("name").rlike(r"^(.|[0-9]+)$")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lists import list_ranks
 from tessera.operators.structure import degrees
+from tessera.runtime import materialise
 from tessera.sources.adapters import Graph
 
 # Parts of names that mark security-sensitive code.
@@ -94,39 +98,74 @@ def graph_diff_edges(base: DataFrame, head: DataFrame) -> DataFrame:
     return h.join(b, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(b.join(h, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def active_at(df: DataFrame, ancestors: DataFrame, commit: str) -> DataFrame:
+class History(NamedTuple):
+    """Commits on chains, each of which goes from a commit to one of its parents, and the parents that lie on other chains.
+
+    ``chains`` (commit, chain, place) has one row a commit, ``links`` (chain, place, to_chain, to_place) one a parent elsewhere. What a commit
+    can reach on a chain is all up to one place, so an answer for a commit is one row a chain, however long the history is.
+    """
+
+    chains: DataFrame
+    links: DataFrame
+
+
+def history(parents: DataFrame) -> History:
+    """Chains of a history (commit, parent): the least of a commit's parents goes on its chain, unless a lesser child took it.
+
+    Places on a chain come from pointer doubling, so a straight history of n commits takes log n rounds, not n.
+    """
+    p = materialise(parents.filter("parent IS NOT NULL AND commit <> parent").select("commit", "parent").distinct(), "parents")
+    on = p.groupBy("commit").agg(F.min("parent").alias("parent")).groupBy("parent").agg(F.min("commit").alias("commit"))
+    every = parents.select(F.col("commit").alias("item")).unionByName(p.select(F.col("parent").alias("item"))).distinct()
+    ranks = list_ranks(every.join(on.select(F.col("commit").alias("item"), F.col("parent").alias("after")), "item", "left"))
+    chains = materialise(ranks.select(F.col("item").alias("commit"), F.col("end").alias("chain"), F.col("steps").alias("place")), "chains")
+    to = chains.select(F.col("commit").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+    links = p.join(chains, "commit").join(to, "parent").filter("chain <> to_chain").select("chain", "place", "to_chain", "to_place")
+    return History(chains, materialise(links, "chain-links"))
+
+
+def reached(h: History, commits: DataFrame) -> DataFrame:
+    """commit, chain, place: the last place on each chain that each of the commits reaches, itself included.
+
+    A round follows the links of the chains whose place rose; there are as many rounds as a way back has changes of chain.
+    """
+    known = materialise(commits.select("commit").distinct().join(h.chains, "commit"), "reached")
+    fresh = known
+    while True:
+        step = fresh.join(h.links.withColumnRenamed("place", "at"), "chain").filter("at <= place")
+        step = step.groupBy("commit", F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("new"))
+        step = materialise(step.join(known, ["commit", "chain"], "left").filter("place IS NULL OR new > place").select("commit", "chain", F.col("new").alias("place")), "reached-step")
+        if step.isEmpty():
+            return known
+        known = materialise(known.unionByName(step).groupBy("commit", "chain").agg(F.max("place").alias("place")), "reached")
+        fresh = step
+
+
+def ancestors_among(h: History, pairs: DataFrame) -> DataFrame:
+    """The (commit, ancestor) pairs of ``pairs`` in which the second is a strict ancestor of the first."""
+    pairs = pairs.select("commit", "ancestor").filter("commit <> ancestor").distinct()
+    placed = pairs.join(h.chains.select(F.col("commit").alias("ancestor"), "chain", F.col("place").alias("at")), "ancestor")
+    return placed.join(reached(h, pairs), ["commit", "chain"]).filter("at <= place").select("commit", "ancestor")
+
+
+def active_at(df: DataFrame, h: History, commit: str) -> DataFrame:
     """Rows whose valid_from is the commit or an ancestor and whose valid_to is not a strict ancestor of it.
 
-    ``ancestors`` (commit, ancestor) holds the strict ancestors. A row ends after its valid_to.
+    A row ends after its valid_to. Commits that the history doesn't have are nobody's ancestors.
     """
-    known = ancestors.filter(F.col("commit") == commit).select(F.col("ancestor").alias("a")).distinct()
+    ends = df.select(F.explode(F.array("valid_from", "valid_to")).alias("ancestor")).filter("ancestor IS NOT NULL").distinct()
+    known = materialise(ancestors_among(h, ends.withColumn("commit", F.lit(commit))).select(F.col("ancestor").alias("a")), "known")
     started = df.join(known.withColumnRenamed("a", "valid_from").withColumn("from_ok", F.lit(True)), "valid_from", "left")
     both = started.join(known.withColumnRenamed("a", "valid_to").withColumn("to_gone", F.lit(True)), "valid_to", "left")
     begun = F.col("valid_from").isNull() | (F.col("valid_from") == commit) | F.coalesce("from_ok", F.lit(False))
     return both.filter(begun & ~F.coalesce("to_gone", F.lit(False))).select(df.columns)
 
 
-def ancestor_closure(parents: DataFrame) -> DataFrame:
-    """commit, ancestor from (commit, parent), by doubling."""
-    from tessera.runtime import materialise
-
-    now = materialise(parents.select("commit", F.col("parent").alias("ancestor")).distinct(), "ancestors")
-    size = now.count()
-    while True:
-        step = now.alias("x").join(now.alias("y"), F.col("x.ancestor") == F.col("y.commit")).select(F.col("x.commit").alias("commit"), F.col("y.ancestor").alias("ancestor"))
-        now = materialise(now.unionByName(step).distinct(), "ancestors")
-        n = now.count()
-        if n == size:
-            break
-        size = n
-    return now
-
-
-def temporal_diff(df: DataFrame, ancestors: DataFrame, base: str, head: str) -> DataFrame:
+def temporal_diff(df: DataFrame, h: History, base: str, head: str) -> DataFrame:
     """Rows active at one commit only, as added or removed."""
-    b, h = active_at(df, ancestors, base), active_at(df, ancestors, head)
+    b, h2 = active_at(df, h, base), active_at(df, h, head)
     key = [c for c in ("qualified_name", "src", "dst", "kind") if c in df.columns]
-    return h.join(b.select(key), key, "left_anti").select(*key, F.lit("added").alias("change")).unionByName(b.join(h.select(key), key, "left_anti").select(*key, F.lit("removed").alias("change")))
+    return h2.join(b.select(key), key, "left_anti").select(*key, F.lit("added").alias("change")).unionByName(b.join(h2.select(key), key, "left_anti").select(*key, F.lit("removed").alias("change")))
 
 
 def file_diff(stored: DataFrame, current: DataFrame) -> DataFrame:

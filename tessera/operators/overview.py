@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import centrality
+from tessera.operators import biconnected, centrality
 from tessera.operators.structure import degrees
 from tessera.runtime import discard, materialise
 from tessera.sources.adapters import Graph
@@ -33,7 +33,7 @@ def bridge_nodes(g: Graph, communities: DataFrame) -> DataFrame:
 def bridge_scores(g: Graph, communities: DataFrame, *, limit: int = 20, max_sources: int = 64) -> DataFrame:
     """3 for each community touched, plus degree, plus the root of betweenness, plus 12 for a cut vertex."""
     between = centrality.betweenness(g, max_sources=max_sources).select("id", F.col("score").alias("betweenness"))
-    cut = centrality.articulation_points(g.edges).withColumn("articulation", F.lit(True))
+    cut = biconnected.articulation_points(g.edges).withColumn("articulation", F.lit(True))
     d = g.nodes.select("id").join(communities_touched(g, communities), "id", "left").join(degrees(g.edges).select("id", "degree"), "id", "left").join(between, "id", "left").join(cut, "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     d = d.select("id", zero("touched").alias("touched"), zero("degree").alias("degree"), zero("betweenness").cast("double").alias("betweenness"), F.coalesce("articulation", F.lit(False)).alias("articulation"))

@@ -260,6 +260,38 @@ _add(
 )
 
 
+# --- history ---
+
+
+def _branching(s: SparkSession, d: str) -> DataFrame:
+    """Orders as commits: seven on the main line, three on a branch from the third, which every third time is merged; parts are valid between two of them."""
+    orders = read_table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    n = orders.count()
+    rest = F.col("k") % 10
+    first = F.when(rest == 0, F.col("k") - 4).when(rest == 7, F.col("k") - 5).otherwise(F.col("k") - 1)
+    merged = F.when((rest == 0) & (F.floor(F.col("k") / 10) % 3 == 0), F.col("k") - 1)
+    parents = orders.select(F.col("k").cast("string").alias("commit"), F.explode(F.array(first, merged)).alias("parent")).filter("parent IS NOT NULL AND parent >= 0").withColumn("parent", F.col("parent").cast("string"))
+    p = F.col("p_partkey").cast("long")
+    at = lambda by: (p * by % n).cast("string")
+    rows = read_table(s, d, "part").select(F.concat(F.lit("part::"), p.cast("string")).alias("qualified_name"), at(7).alias("valid_from"), F.when(p % 3 == 0, at(13)).alias("valid_to"))
+    return changes.temporal_diff(rows, changes.history(parents), str(n // 20 * 10 + 5), str(n - 6))
+
+
+_add(
+    "temporal_branching",
+    _branching,
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders), n AS (SELECT count(*) AS n FROM o), p AS (
+        SELECT k, CASE k % 10 WHEN 0 THEN k - 4 WHEN 7 THEN k - 5 ELSE k - 1 END AS parent FROM o UNION ALL SELECT k, k - 1 FROM o WHERE k % 10 = 0 AND k // 10 % 3 = 0
+    ), a AS (
+        SELECT which, k, k AS tip FROM (SELECT 'base' AS which, n // 20 * 10 + 5 AS k FROM n UNION ALL SELECT 'head', n - 6 FROM n)
+        UNION SELECT which, parent, tip FROM a JOIN p USING (k) WHERE parent >= 0
+    ), v AS (SELECT 'part::' || p_partkey AS qualified_name, p_partkey * 7 % n AS f, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 13 % n END AS t FROM part, n),
+    live AS (SELECT qualified_name, w.which FROM v, (SELECT DISTINCT which FROM a) w
+        WHERE EXISTS (FROM a WHERE a.which = w.which AND a.k = v.f) AND NOT EXISTS (FROM a WHERE a.which = w.which AND a.k = v.t AND a.k <> a.tip))
+    SELECT qualified_name, CASE WHEN min(which) = 'head' THEN 'added' ELSE 'removed' END AS change FROM live GROUP BY qualified_name HAVING count(*) = 1""",
+)
+
+
 def queries() -> dict:
     return dict(_Q)
 

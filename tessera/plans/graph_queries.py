@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import centrality, changes, communities, flows, primitives, structure, traversal
+from tessera.operators import biconnected, centrality, changes, communities, flows, primitives, structure, traversal
 from tessera.sources.adapters import COMMERCE_SQL, Graph, commerce_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,7 +222,8 @@ def _between_sql(levels: int, where: str) -> str:
 
 _HIER = "kind IN ('imports', 'depends_on', 'member_of')"
 _add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter(_HIER))), _between_sql(10, _HIER))
-_add("articulation_points", lambda g: centrality.articulation_points(g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')")))
+_add("articulation_points", lambda g: biconnected.articulation_points(g.edges))
+_add("cut_edges", lambda g: biconnected.cut_edges(g.edges))
 
 # --- communities ---
 _COM = ", com AS (SELECT id, min(id) OVER (PARTITION BY source_uri) AS community FROM nodes WHERE source_uri IS NOT NULL), lab AS (SELECT e.*, a.community AS a, b.community AS b FROM edges e JOIN com a ON a.id = e.src JOIN com b ON b.id = e.dst), und AS (SELECT DISTINCT least(src, dst) AS s, greatest(src, dst) AS d FROM edges WHERE src <> dst), ulab AS (SELECT a.community AS a, b.community AS b FROM und JOIN com a ON a.id = s JOIN com b ON b.id = d)"
@@ -281,11 +282,11 @@ _add("graph_diff_nodes", lambda g: changes.graph_diff_nodes(g.nodes.filter("id %
 _add("graph_diff_edges", lambda g: changes.graph_diff_edges(g.edges.filter("id % 5 <> 0"), g.edges.filter("id % 7 <> 0")), ", b AS (SELECT DISTINCT src, dst, kind FROM edges WHERE id % 5 <> 0), h AS (SELECT DISTINCT src, dst, kind FROM edges WHERE id % 7 <> 0) SELECT *, 'added' AS change FROM (SELECT * FROM h EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM h)")
 
 
-def _versions(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Nodes with commits of a straight history 0 .. 9 as validity, and its ancestors."""
+def _versions(g: Graph) -> tuple[DataFrame, changes.History]:
+    """Nodes with commits of a straight history 0 .. 9 as validity, and that history."""
     v = g.nodes.withColumn("valid_from", (F.col("id") % 10).cast("string")).withColumn("valid_to", F.when(F.col("id") % 3 == 0, (F.col("id") % 10 + 2).cast("string")))
     line = g.nodes.sparkSession.createDataFrame([(str(i), str(i - 1)) for i in range(1, 10)], "commit string, parent string")
-    return v.select("qualified_name", "kind", "valid_from", "valid_to"), changes.ancestor_closure(line)
+    return v.select("qualified_name", "kind", "valid_from", "valid_to"), changes.history(line)
 
 
 _VER = ", v AS (SELECT qualified_name, kind, id % 10 AS f, CASE WHEN id % 3 = 0 THEN id % 10 + 2 END AS t FROM nodes)"

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import centrality, changes, communities, flows, primitives, search, structure, traversal
+from tessera.operators import biconnected, centrality, changes, communities, flows, primitives, search, structure, traversal
 from tessera.sources.adapters import Graph
 
 #: Rows a page by detail level; no page exceeds HARD_LIMIT.
@@ -63,7 +63,7 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "feedback": lambda g: structure.feedback(g.edges),
     "cycles": lambda g: centrality.cyclic_components(g.edges),
     "core_numbers": lambda g: centrality.core_numbers(g),
-    "articulation_points": lambda g: centrality.articulation_points(g.edges),
+    "articulation_points": lambda g: biconnected.articulation_points(g.edges),
     "betweenness": lambda g: centrality.betweenness(g),
     "components": lambda g: centrality.connected_components(g),
     "large_functions": lambda g, min_lines=80: structure.large_functions(g, min_lines),

@@ -3,7 +3,7 @@
 import pytest
 
 from tessera import schemas
-from tessera.operators import centrality, changes, communities, flows, motifs, primitives, structure, traversal
+from tessera.operators import biconnected, centrality, changes, communities, flows, motifs, primitives, structure, traversal
 from tessera.sources.adapters import Graph
 
 
@@ -23,7 +23,7 @@ def tail(spark):
 def test_cycle_with_tail(tail):
     g, ids = tail
     assert {r.id for r in centrality.cyclic_components(g.edges).collect()} == {ids[x] for x in "abc"}
-    assert [r.id for r in centrality.articulation_points(g.edges).collect()] == [ids["c"]]
+    assert [r.id for r in biconnected.articulation_points(g.edges).collect()] == [ids["c"]]
     cores = {r.id: r.core for r in centrality.core_numbers(g).collect()}
     assert cores == {ids["a"]: 2, ids["b"]: 2, ids["c"]: 2, ids["tail"]: 1}
     score = {r.id: r.score for r in centrality.betweenness(g).collect()}
