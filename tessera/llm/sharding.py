@@ -15,7 +15,7 @@ Quantiles of numbers are approximate, those of strings exact over a count of eac
 are range-partitioned by value, each partition's sum goes to the driver (one row a partition), and only
 the values at which a quantile is crossed are collected, at most ``2 ** bits`` a dimension.
 
-Defined cases: null metadata is level 0; null text has no bytes (size 8, CRC-32 0); with
+Defined cases: null metadata is level 0; null ids are rows like any other; null text has no bytes (size 8, CRC-32 0); with
 fewer rows than shards the later shards may be empty; rows that repeat an id are numbered by
 CRC-32 and size of the text; equal texts are not kept together, since the law is on counts; extra columns are
 ignored; an empty table gives no rows.
@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.llm._frames import aside
+from tessera.runtime import discard, materialise
 
 
 def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -99,8 +100,12 @@ def levels(docs: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
     return [level(c) for c in dimensions]
 
 
-def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 100_000) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, position, law, shard, slot, grown_shard."""
+def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 100_000, row_col: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, position, law, shard, slot, grown_shard.
+
+    ``row_col`` names a column that tells rows apart; it comes along in front and settles ties.
+    """
+    carried = [row_col] if row_col else []
 
     @F.pandas_udf("long")
     def curve(cells: pd.DataFrame) -> pd.Series:
@@ -108,10 +113,10 @@ def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str
 
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     cells = F.struct(*(c.cast("int").alias(f"d{i}") for i, c in enumerate(levels(docs, list(dimensions), bits))))
-    thin = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cells.alias("cells"))
+    thin = docs.select(*carried, F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cells.alias("cells"))
     thin = materialise(thin.withColumn("hilbert", curve("cells")).drop("cells"), "shards")
     n = thin.count()
-    sub = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // rows_per_bucket)))
+    sub = F.pmod(F.xxhash64("doc_id", "text_crc32", *carried), F.lit(max(1, n // rows_per_bucket)))
     thin = thin.withColumn("sub", sub)
     counts = thin.groupBy("hilbert", "sub").agg(F.count(F.lit(1)).alias("n"))
     cell_sizes = counts.groupBy("hilbert").agg(F.sum("n").alias("n"))
@@ -119,19 +124,32 @@ def hilbert_shards(docs: DataFrame, *, n_shards: int = 24, dimensions: tuple[str
     cell_start = cell_sizes.select("hilbert", (F.sum("n").over(Window.orderBy("hilbert")) - F.col("n")).alias("cell_start"))
     inner = F.sum("n").over(Window.partitionBy("hilbert").orderBy("sub")) - F.col("n")
     starts = counts.withColumn("inner_start", inner).join(cell_start, "hilbert").select("hilbert", "sub", (F.col("cell_start") + F.col("inner_start")).alias("start"))
-    local = F.row_number().over(Window.partitionBy("hilbert", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
+    local = F.row_number().over(Window.partitionBy("hilbert", "sub").orderBy("doc_id", "text_crc32", "size", *carried)) - 1
     ranked = thin.withColumn("local", local).join(starts, ["hilbert", "sub"]).withColumn("position", F.col("start") + F.col("local"))
     shard = F.expr(f"(position * {n_shards}) div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {n_shards - 1}) div {n_shards}")
     return (
         ranked.withColumn("shard", shard.cast("int"))
         .withColumn("slot", F.col("position") - first)
-        .select("doc_id", "size", "text_crc32", "hilbert", "position", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        .select(*carried, "doc_id", "size", "text_crc32", "hilbert", "position", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     )
 
 
 def write_shards(docs: DataFrame, path: str, *, rows_per_file: int = 1_000_000, **options) -> None:
-    """Write the documents as Parquet, one directory a shard, each file a run of the curve."""
-    placed = hilbert_shards(docs, **options).select("doc_id", "shard", "slot", "position")
-    out = docs.drop("shard", "slot", "position").join(placed, "doc_id")
-    out.repartition("shard", F.expr(f"position div {rows_per_file}")).sortWithinPartitions("shard", "position").drop("position").write.partitionBy("shard").parquet(path)
+    """Write every document once as Parquet, one directory a shard, each file a run of the curve.
+
+    Columns are those of ``docs`` and ``slot``; the directories give ``shard``. A column of ``docs`` with one of these names is written as
+    ``<name>_in``. Documents are told apart by a number that each gets first, so ids may be null or repeated, and ``id_col`` may be any column.
+    """
+    row = "_row"
+    moved = aside(docs, ["shard", "slot", "position", row])
+    names = dict(zip(docs.columns, moved.columns))
+    options = {**options, **{k: names.get(options[k], options[k]) for k in ("id_col", "text_col") if k in options}}
+    if "dimensions" in options:
+        options["dimensions"] = tuple(names[c] for c in options["dimensions"])
+    numbered = materialise(moved.withColumn(row, F.monotonically_increasing_id()), "shard-rows")
+    placed = hilbert_shards(numbered, row_col=row, **options).select(row, "shard", "slot", "position")
+    out = numbered.join(placed, row).drop(row)
+    out = out.repartition("shard", F.expr(f"position div {rows_per_file}")).sortWithinPartitions("shard", "position").drop("position")
+    out.write.partitionBy("shard").parquet(path)
+    discard(numbered)
