@@ -315,18 +315,28 @@ def _batches(picked: list, held: list, rng: np.random.Generator, batch: int) ->
         yield *(np.concatenate(v) for v in (word, runs, starts, sizes)), np.array(start), np.array(size), np.array(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_500, **options) -> Network:
-    """Fit on labelled rows for which ``train_on`` (an expression over the id, here named doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_on: Column | None = None, sample_rows: int = 2_500, sample_chars: int = 65_536, **options) -> Network:
+    """Fit on labelled rows for which ``train_on`` (an expression over the id, here named doc_id) holds.
+
+    Learning takes ``sample_rows`` texts a label and of a text longer than ``sample_chars`` as many characters in 64 slices at even distances, so that what
+    comes to the driver is bounded in bytes too. Scores always take whole texts.
+    """
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL")
     if train_on is not None:
         y = y.filter(train_on)
     y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     y = y.filter("y = 1").orderBy(*order).limit(sample_rows).unionByName(y.filter("y = 0").orderBy(*order).limit(sample_rows))
-    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).toArrow().sort_by("doc_id")
+    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).select("doc_id", "y", _sampled(F.col("text"), sample_chars).alias("text")).toArrow().sort_by("doc_id")
     return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy().astype(int), **options)
 
 
+def _sampled(text: Column, chars: int) -> Column:
+    width = chars // 64
+    slices = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(text, (F.floor(i * (F.length(text) - width) / 63) + 1).cast("int"), F.lit(width)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(slices, " "))
+
+
 def score_column(model: Network, text: Column | str, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
