@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.runtime import discard, materialise
+from tessera.runtime import bucketed, discard, materialise
 from tessera.sources.adapters import Graph
 
 
@@ -22,10 +22,11 @@ def transitions(edges: DataFrame, *, inferred_floor: float = 0.0) -> DataFrame:
 def pagerank(g: Graph, *, damping: float = 0.85, iterations: int = 30, seeds: DataFrame | None = None) -> DataFrame:
     """id, rank: weighted PageRank, dangling mass spread by the teleport. ``seeds`` (id, weight) personalise it.
 
-    A round is one job: it writes the ranks (so no lineage grows) and observes the dangling mass that the next
-    round spreads. Contributions are summed by target before they meet the node table.
+    Edges lie in buckets of their source, nodes and ranks in buckets of their id, so a round moves nothing but sums: ranks meet the
+    edges where these are, contributions are summed by target before the one exchange. A round is one job: it writes the ranks (so no lineage grows) and
+    observes the dangling mass that the next round spreads.
     """
-    t = materialise(transitions(g.edges), "pagerank-edges")
+    t = bucketed(transitions(g.edges), "src", "edges")
     n = g.nodes.count()
     if seeds is None:
         teleport = g.nodes.select("id", F.lit(1.0 / max(1, n)).alias("t"))
@@ -34,15 +35,19 @@ def pagerank(g: Graph, *, damping: float = 0.85, iterations: int = 30, seeds: Da
         total = s.agg(F.sum("weight")).first()[0] or 1.0
         teleport = g.nodes.select("id").join(s, "id", "left").select("id", (F.coalesce("weight", F.lit(0.0)) / F.lit(total)).alias("t"))
     outs = t.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True))
-    base = materialise(teleport.join(outs, "id", "left").select("id", "t", F.col("sends").isNull().alias("dangling")), "pagerank-nodes")
+    base = bucketed(teleport.join(outs, "id", "left").select("id", "t", F.col("sends").isNull().alias("dangling")), "id", "nodes")
     rank, mass = base.withColumn("rank", F.col("t")), base.filter("dangling").agg(F.sum("t")).first()[0] or 0.0
+    rank_table = None
     for _ in range(iterations):
-        got = t.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        new = base.join(got, "id", "left").select("id", "t", "dangling", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + mass * F.col("t"))).alias("rank"))
+        got = t.join(rank.select(F.col("id").alias("src"), "rank").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
+        new = base.join(got.hint("shuffle_hash"), "id", "left").select("id", "t", "dangling", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + mass * F.col("t"))).alias("rank"))
         seen = Observation()
-        new = materialise(new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("mass")), "pagerank")
-        discard(rank)
-        rank, mass = new, seen.get["mass"] or 0.0
+        new = bucketed(new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("mass")), "id", "ranks", in_place=True)
+        if rank_table is not None:
+            discard(rank_table)
+        rank = rank_table = new
+        mass = seen.get["mass"] or 0.0
+    discard(t)
     return rank.select("id", "rank")
 
 

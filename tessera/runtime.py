@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = "/tmp/checkpoints"
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,8 +51,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, tag: str, *, in_place: bool = False) -> DataFrame:
+    """Write ``df`` as a table of the shared warehouse in as many buckets of ``key`` as a shuffle has partitions, and read it back.
+
+    Joins and aggregations by the key then find its rows where they are. ``in_place``: the rows are partitioned by the key already. The table goes
+    with :func:`discard` or when the driver exits.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_{tag}_{uuid.uuid4().hex}"
+    _tables.append((spark, name))
+    (df if in_place else df.repartition(n, key)).write.bucketBy(n, key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._tessera_table = name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialise`."""
+    """Delete what is behind a table made by :func:`materialise` or :func:`bucketed`."""
+    table = getattr(df, "_tessera_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_tessera_path", None)
     if path:
         _delete(df.sparkSession, path)
@@ -75,6 +94,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 @atexit.register
 def _delete_all() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
     for spark, path in _written:
         try:
             _delete(spark, path)
