@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import typing
 from tessera.plans.pass_queries import placeholder_graph
 from tessera.runtime import read_table
-from tessera.sources import code, documents, manifests
+from tessera.sources import aliases, code, documents, manifests
 from tessera.sources.adapters import Graph
 
 _Q: dict = {}
@@ -239,6 +239,41 @@ _add(
 )
 
 
+# --- path aliases ---
+
+
+def _aliases(s: SparkSession, d: str) -> DataFrame:
+    """Customers import parts by short names; a nation has the configuration of its folder, one file lies above all."""
+    part, customer, nation = (read_table(s, d, t) for t in ("part", "customer", "nation"))
+    k, c, n = F.col("p_partkey"), F.col("c_custkey"), F.col("n_nationkey")
+    text = lambda x: x.cast("string")
+    tail = F.when(k % 3 == 0, F.concat(F.lit("/src/lib/p"), text(k), F.lit(".ts"))).when(k % 3 == 1, F.concat(F.lit("/src/lib/p"), text(k), F.lit("/index.js"))).otherwise(F.concat(F.lit("/src/p"), text(k), F.lit(".tsx")))
+    files = part.select(F.concat(F.lit("app/m"), text(k % 7), tail).alias("path"))
+    parts = part.count()
+    module = F.when(c % 5 == 4, F.lit("@types/node")).otherwise(F.concat(F.when(c % 2 == 0, "@lib/p").otherwise("~/p"), text(c % parts)))
+    imports = customer.select(module.alias("module"), F.concat(F.lit("app/m"), text(c % 8), F.lit("/src/deep/c"), text(c), F.lit(".ts")).alias("uri"))
+    body = F.concat(F.lit('{\n  // "paths" of '), "n_name", F.lit('\n  "extends": "https://base//x", /* all */ "compilerOptions": {"baseUrl": "src", "paths": {"@lib/*": ["../src/lib/*"], "~/*": ["./*"]}}\n}'))
+    own = nation.filter(n < 7).select(F.concat(F.lit("app/m"), text(n), F.lit("/tsconfig.json")).alias("path"), body.alias("content"))
+    top = nation.filter(n == 0).select(F.lit("tsconfig.app.json").alias("path"), F.lit('{"compilerOptions": {"paths": {"@lib/*": ["app/m0/src/lib/*"]}}}').alias("content"))
+    return aliases.alias_targets(imports, own.unionByName(top), files)
+
+
+_add(
+    "path_aliases",
+    _aliases,
+    """WITH n AS (SELECT count(*) AS n FROM part), c AS (
+        SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '@lib/p' ELSE '~/p' END || c_custkey % n AS module, 'app/m' || c_custkey % 8 || '/src/deep/c' || c_custkey || '.ts' AS uri,
+               c_custkey % 2 = 0 AS lib, c_custkey % 8 AS m, c_custkey % n AS k FROM customer, n WHERE c_custkey % 5 <> 4
+    ), t AS (
+        SELECT module, uri, CASE
+            WHEN k NOT IN (SELECT p_partkey FROM part) THEN NULL
+            WHEN lib AND m < 7 AND k % 7 = m AND k % 3 = 0 OR lib AND m = 7 AND k % 7 = 0 AND k % 3 = 0 THEN 'app/m' || k % 7 || '/src/lib/p' || k || '.ts'
+            WHEN lib AND m < 7 AND k % 7 = m AND k % 3 = 1 OR lib AND m = 7 AND k % 7 = 0 AND k % 3 = 1 THEN 'app/m' || k % 7 || '/src/lib/p' || k || '/index.js'
+            WHEN NOT lib AND m < 7 AND k % 7 = m AND k % 3 = 2 THEN 'app/m' || m || '/src/p' || k || '.tsx' END AS target FROM c
+    ) SELECT module, uri, target, CASE WHEN target IS NULL THEN 'not_found' ELSE 'resolved' END AS reason FROM t""",
+)
+
+
 def queries() -> dict:
     return dict(_Q)
 
