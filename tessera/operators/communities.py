@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators.centrality import components
-from tessera.runtime import materialise
+from tessera.operators.modularity import detect
+from tessera.runtime import discard, materialise
 from tessera.sources.adapters import Graph
 
 
@@ -93,59 +94,30 @@ def working_graph(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", (w * F.when(F.col("src") == F.col("dst"), 0.5).otherwise(1.0)).alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def label_propagation(g: Graph, *, rounds: int = 10) -> DataFrame:
-    """id, community: synchronous weighted label propagation, ties to the smaller label; distributed detection."""
-    w = working_graph(g.edges)
-    both = materialise(w.filter("src <> dst").unionByName(w.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "lp-edges")
-    label = g.nodes.select("id", F.col("id").alias("community"))
-    for i in range(rounds):
-        votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct((-F.round("w", 9)).alias("w"), "community")).alias("new"))
-        # Every other round only half of the nodes move, so that two neighbours don't swap for ever.
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        label = materialise(label.join(best, "id", "left").select("id", F.when(moves & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("community")).alias("community")), f"lp-{i}")
-    return label
-
-
-def _louvain(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float, passes: int = 50, levels: int = 10) -> np.ndarray:
-    """Greedy modularity on symmetric weights: nodes in order move to the best neighbour community, then contract."""
-    whole = np.arange(n)
-    for _ in range(levels):
-        a, b, x = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
-        order = np.argsort(a, kind="stable")
-        a, b, x = a[order], b[order], x[order]
-        begin = np.searchsorted(a, np.arange(n + 1))
-        degree, total = np.bincount(a, x, n), float(x.sum())
-        label, weight = np.arange(n), degree.copy()
-        if total <= 0:
-            break
-        for _ in range(passes):
-            moved = 0
-            for v in range(n):
-                lo, hi = begin[v], begin[v + 1]
-                if lo == hi:
-                    continue
-                near, inverse = np.unique(label[b[lo:hi]], return_inverse=True)
-                tie = np.bincount(inverse, np.where(b[lo:hi] == v, 0.0, x[lo:hi]))
-                weight[label[v]] -= degree[v]
-                gain = tie - resolution * degree[v] * weight[near] / total
-                own = np.flatnonzero(near == label[v])
-                stay = gain[own[0]] if len(own) else -resolution * degree[v] * weight[label[v]] / total
-                k = int(np.argmax(gain))
-                if gain[k] > stay + 1e-12:
-                    label[v] = near[k]
-                    moved += 1
-                weight[label[v]] += degree[v]
-            if not moved:
-                break
-        kept, dense = np.unique(label, return_inverse=True)
-        whole = dense[whole]
-        if len(kept) == n:
-            break
-        key, inverse = np.unique(dense[src] * len(kept) + dense[dst], return_inverse=True)
-        w = np.bincount(inverse, w)
-        src, dst, n = key // len(kept), key % len(kept), len(kept)
-    return whole
+def label_propagation(g: Graph) -> DataFrame:
+    """id, community: weighted label propagation, ties to the smaller label, until no node wants another label.
+
+    Of neighbours that want to move at once only one does (by hash of the id), so each move adds to the weight of edges within a
+    community, or keeps it and lowers a label: the rounds come to an end.
+    """
+    w = working_graph(g.edges).filter("src <> dst")
+    both = w.unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.round(F.sum("w"), 9).alias("w"))
+    both = materialise(both, "lp-edges")
+    label = materialise(g.nodes.select("id", F.col("id").alias("community")), "lp")
+    turn = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("id"))
+    while True:
+        votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
+        vote = F.struct(F.round("w", 6).alias("w"), (-F.col("community")).alias("c"))
+        own = votes.join(label.withColumnRenamed("community", "home"), "id").groupBy("id", "home").agg(F.max(vote).alias("best"), F.max(F.when(F.col("community") == F.col("home"), vote)).alias("stay"))
+        want = materialise(own.filter("stay IS NULL OR best > stay").select("id", (-F.col("best.c")).alias("new")), "lp-want")
+        if want.isEmpty():
+            return label
+        rivals = both.join(want.select(F.col("id").alias("src")), "src").join(want.select(F.col("id").alias("dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.min(turn("dst")).alias("rival"))
+        goes = want.join(rivals, "id", "left").filter(F.col("rival").isNull() | (turn("id") < F.col("rival"))).select("id", "new")
+        next_ = materialise(label.join(goes, "id", "left").select("id", F.coalesce("new", "community").alias("community")), "lp")
+        discard(want)
+        discard(label)
+        label = next_
 
 
 def _symmetric(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,64 +135,6 @@ def _contract(src: np.ndarray, dst: np.ndarray, w: np.ndarray, dense: np.ndarray
     return key // k, key % k, np.bincount(inverse, w)
 
 
-def _move(begin: np.ndarray, near: np.ndarray, x: np.ndarray, degree: np.ndarray, label: np.ndarray, resolution: float, inside: np.ndarray | None = None, passes: int = 50) -> np.ndarray:
-    """Greedy modularity moves. With ``inside`` a node joins only nodes of its own part, and only while it is alone."""
-    label, total = label.copy(), float(degree.sum())
-    weight = np.bincount(label, degree, len(label))
-    size = np.bincount(label, minlength=len(label))
-    for _ in range(passes):
-        moved = 0
-        for v in range(len(label)):
-            lo, hi = begin[v], begin[v + 1]
-            at, ties = near[lo:hi], x[lo:hi]
-            if inside is not None:
-                if size[label[v]] > 1:
-                    continue
-                same = inside[at] == inside[v]
-                at, ties = at[same], ties[same]
-            if not len(at):
-                continue
-            names, inverse = np.unique(label[at], return_inverse=True)
-            tie = np.bincount(inverse, ties)
-            old = label[v]
-            weight[old] -= degree[v]
-            gain = tie - resolution * degree[v] * weight[names] / total
-            own = np.flatnonzero(names == old)
-            stay = gain[own[0]] if len(own) else -resolution * degree[v] * weight[old] / total
-            k = int(np.argmax(gain))
-            if gain[k] > stay + 1e-12:
-                label[v] = names[k]
-                size[old] -= 1
-                size[names[k]] += 1
-                moved += 1
-            weight[label[v]] += degree[v]
-        if not moved or inside is not None:
-            break
-    return label
-
-
-def _leiden(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float, levels: int = 20) -> np.ndarray:
-    """Local moves, refinement within each community, contraction by the refined parts, until nothing contracts."""
-    whole, label = np.arange(n), np.arange(n)
-    for _ in range(levels):
-        begin, near, x, degree = _symmetric(src, dst, w, n)
-        if degree.sum() <= 0:
-            break
-        label = _move(begin, near, x, degree, label, resolution)
-        refined = _move(begin, near, x, degree, np.arange(n), resolution, inside=label)
-        kept, dense = np.unique(refined, return_inverse=True)
-        if len(kept) == n:
-            break
-        outer = np.unique(label[kept], return_inverse=True)[1]  # a refined part keeps its community
-        src, dst, w = _contract(src, dst, w, dense, len(kept))
-        whole, n = dense[whole], len(kept)
-        # Labels are node numbers of the contracted graph: the first part of each community.
-        first = np.full(outer.max() + 1, n)
-        np.minimum.at(first, outer, np.arange(n))
-        label = first[outer]
-    return label[whole] if len(label) == n else whole
-
-
 def code_length(exit_: np.ndarray, flow: np.ndarray, inner: float) -> float:
     """The map equation from each module's exit rate and flow, and the node entropy sum."""
     plogp = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0.0)
@@ -299,8 +213,12 @@ def _by_component(g: Graph, search) -> DataFrame:
 
 
 def louvain(g: Graph, *, resolution: float = 1.0) -> DataFrame:
-    """id, community: sequential greedy modularity, one group per connected component."""
-    return _by_component(g, lambda src, dst, w, n: _louvain(src, dst, w, n, resolution))
+    """id, community: modularity by rounds of moves and contraction, whatever the size of a component."""
+    return _with_lone_nodes(g, detect(working_graph(g.edges), resolution=resolution))
+
+
+def _with_lone_nodes(g: Graph, found: DataFrame) -> DataFrame:
+    return g.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def enforce_connected(g: Graph, communities: DataFrame) -> DataFrame:
@@ -311,8 +229,8 @@ def enforce_connected(g: Graph, communities: DataFrame) -> DataFrame:
 
 
 def leiden(g: Graph, *, resolution: float = 1.0) -> DataFrame:
-    """id, community: modularity with a refinement phase before each contraction; communities are connected."""
-    return enforce_connected(g, _by_component(g, lambda src, dst, w, n: _leiden(src, dst, w, n, resolution)))
+    """id, community: the same with communities parted into connected pieces before each contraction; all are connected."""
+    return enforce_connected(g, _with_lone_nodes(g, detect(working_graph(g.edges), resolution=resolution, connected=True)))
 
 
 def infomap(g: Graph) -> DataFrame:

@@ -72,22 +72,70 @@ def simple_paths(g: Graph, starts: DataFrame, *, max_hops: int = 3, target: int
     return out if target is None else out.filter(F.col("target") == target)
 
 
-def top_paths(g: Graph, starts: DataFrame, *, target: int | None = None, max_hops: int = 3, limit: int = 10) -> DataFrame:
-    """Cheapest simple paths by kind cost over max(confidence, .05), the cheapest parallel edge of each step."""
-    cost = schemas.weight(F.col("kind"), schemas.PATH_COST, schemas.DEFAULTS["path"]) / F.greatest("confidence", F.lit(0.05))
-    steps = g.edges.select(F.col("src").alias("here"), F.col("dst").alias("there"), cost.alias("step")).groupBy("here", "there").agg(F.min("step").alias("step"))
-    frontier = starts.select(F.col("id").alias("start"), F.array("id").alias("path"), F.col("id").alias("last"), F.lit(0.0).alias("cost"))
-    found = []
-    for hop in range(1, max_hops + 1):
-        frontier = frontier.join(steps, F.col("last") == F.col("here")).filter(~F.array_contains("path", F.col("there"))).select("start", F.concat("path", F.array("there")).alias("path"), F.col("there").alias("last"), (F.col("cost") + F.col("step")).alias("cost"))
-        frontier = materialise(frontier, f"top-{hop}") if hop < max_hops else frontier
-        found.append(frontier)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    out = out if target is None else out.filter(F.col("last") == target)
+def _ahead(steps: DataFrame, target: int | None, max_hops: int) -> DataFrame:
+    """last, left, bound: what a path that ends at a node still costs at least if it goes on, with so many hops left.
+
+    Without a target that is the node's cheapest step; with one, the cheapest way there in that many hops, searched backwards from it.
+    """
+    if target is None:
+        first = steps.groupBy(F.col("here").alias("last")).agg(F.min("step").alias("bound"))
+        return first.select("last", F.explode(F.sequence(F.lit(1), F.lit(max_hops))).alias("left"), "bound")
+    near = steps.filter(F.col("there") == target).select(F.col("here").alias("last"), F.col("step").alias("bound"))
+    out = near.withColumn("left", F.lit(1))
+    for left in range(2, max_hops + 1):
+        further = steps.join(near.withColumnRenamed("last", "there"), "there").select(F.col("here").alias("last"), (F.col("step") + F.col("bound")).alias("bound"))
+        near = materialise(near.unionByName(further).groupBy("last").agg(F.min("bound").alias("bound")), "ahead")
+        out = out.unionByName(near.withColumn("left", F.lit(left)))
+    return out.select("last", "left", "bound")
+
+
+def _ranked(paths: DataFrame, limit: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("start").orderBy("cost", F.size("path"), "path"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= limit).select("start", "rank", "path", F.round("cost", 6).alias("cost"))
+    return paths.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def top_paths(g: Graph, starts: DataFrame, *, target: int | None = None, max_hops: int = 3, limit: int = 10, report: list[int] | None = None) -> DataFrame:
+    """Cheapest simple paths by kind cost over max(confidence, .05), the cheapest parallel edge of each step; ties by length, then path.
+
+    Best first: a beam of the most promising paths finds some good ones, whose ``limit``-th cost is what every other path must stay below.
+    Then all paths are written out hop by hop, but only while their cost and the least that is still ahead of them does not
+    exceed the ``limit``-th cost known for their start, which falls as paths are found. No path among the cheapest is lost. ``report`` takes the number of rows of each hop.
+    """
+    cost = schemas.weight(F.col("kind"), schemas.PATH_COST, schemas.DEFAULTS["path"]) / F.greatest("confidence", F.lit(0.05))
+    steps = materialise(g.edges.filter("src <> dst").select(F.col("src").alias("here"), F.col("dst").alias("there"), cost.alias("step")).groupBy("here", "there").agg(F.min("step").alias("step")), "path-steps")
+    ahead = materialise(_ahead(steps, target, max_hops), "path-ahead")
+    begin = materialise(starts.select(F.col("id").alias("start"), F.array("id").alias("path"), F.col("id").alias("last"), F.lit(0.0).alias("cost")).distinct(), "path-begin")
+    there = F.lit(True) if target is None else F.col("last") == target
+
+    def promising(paths: DataFrame, hop: int) -> DataFrame:
+        open_ = paths if target is None else paths.filter(F.col("last") != target)
+        return open_.join(ahead.filter(F.col("left") == max_hops - hop).drop("left"), "last").withColumn("least", F.col("cost") + F.col("bound"))
+
+    def longer(paths: DataFrame) -> DataFrame:
+        out = paths.join(steps, F.col("last") == F.col("here")).filter(~F.array_contains("path", F.col("there")))
+        return out.select("start", F.concat("path", F.array("there")).alias("path"), F.col("there").alias("last"), (F.col("cost") + F.col("step")).alias("cost"))
+
+    def bar(paths: DataFrame) -> DataFrame:
+        return _ranked(paths, limit).filter(F.col("rank") == limit).select("start", F.col("cost").alias("most"))
+
+    found, beam = None, begin
+    for hop in range(max_hops):
+        row = F.row_number().over(Window.partitionBy("start").orderBy("least", "path"))
+        beam = materialise(longer(promising(beam, hop).withColumn("row", row).filter(F.col("row") <= 4 * limit)), "path-beam")
+        done = beam.filter(there)
+        found = done if found is None else found.unionByName(done)
+    most = materialise(bar(found), "path-bar")
+    frontier, found = begin, None
+    for hop in range(max_hops):
+        kept = promising(frontier, hop).join(most, "start", "left").filter(F.col("most").isNull() | (F.col("least") <= F.col("most") + 1e-9))
+        frontier = materialise(longer(kept), "path-frontier")
+        if report is not None:
+            report.append(frontier.count())
+        done = frontier.filter(there)
+        found = done if found is None else found.unionByName(done)
+        if hop < max_hops - 1:
+            most = materialise(most.unionByName(bar(found)).groupBy("start").agg(F.min("most").alias("most")), "path-bar")
+    return _ranked(found, limit).select("start", "rank", "path", F.round("cost", 6).alias("cost"))
 
 
 def diverse_paths(paths: DataFrame, *, limit: int = 10, overlap: float = 0.7, free: int = 3) -> DataFrame:
@@ -102,6 +150,21 @@ def diverse_paths(paths: DataFrame, *, limit: int = 10, overlap: float = 0.7, fr
     return ordered.select("start", F.explode(F.aggregate("all", empty, keep)).alias("x")).select("start", "x.rank", "x.path", "x.cost")
 
 
+def top_diverse_paths(g: Graph, starts: DataFrame, *, target: int | None = None, max_hops: int = 3, limit: int = 10, overlap: float = 0.7, free: int = 3) -> DataFrame:
+    """The first ``limit`` paths by rank that don't overlap an earlier one; more ranks are read until every start has them or has no more paths."""
+    ranks = 5 * limit
+    while True:
+        paths = materialise(top_paths(g, starts, target=target, max_hops=max_hops, limit=ranks), "diverse-ranks")
+        kept = materialise(diverse_paths(paths, limit=limit, overlap=overlap, free=free), "diverse")
+        few = kept.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < limit)
+        more = paths.groupBy("start").agg(F.max("rank").alias("r")).filter(F.col("r") == ranks)
+        if few.join(more, "start", "left_semi").isEmpty():
+            return kept
+        discard(paths)
+        discard(kept)
+        ranks *= 4
+
+
 def impact_ranked(g: Graph, starts: DataFrame, *, max_hops: int = 4) -> DataFrame:
     """Least cost over reverse edges and penalised forward structural ones within the hop bound; score = boost / (1 + cost)."""
     conf = F.greatest("confidence", F.lit(0.05))

@@ -126,7 +126,16 @@ _add(
     SELECT start, rank::INT AS rank, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY cost, len(path), path) AS rank FROM w WHERE hops > 0) WHERE rank <= 10""",
     recursive=True,
 )
-_add("top_paths_diverse", lambda g: traversal.diverse_paths(traversal.top_paths(g, _ids(g, C1 + 7, C1 + 10), max_hops=3, limit=50)).select("start", "rank", F.array_join("path", ">").alias("path"), "cost"))
+_add(
+    "top_paths_target",
+    lambda g: traversal.top_paths(g, _ids(g, C1 + 7), target=10**15 + 1, max_hops=5, limit=20).select("start", "rank", F.array_join("path", ">").alias("path"), "cost"),
+    f""", steps AS (SELECT src AS here, dst AS there, min({_COST}) AS step FROM edges GROUP BY ALL), w AS (
+        SELECT id AS start, [id] AS path, id AS last, 0.0::DOUBLE AS cost, 0 AS hops FROM nodes WHERE id = {C1 + 7}
+        UNION ALL SELECT start, list_append(path, there), there, cost + step, hops + 1 FROM w JOIN steps ON here = last WHERE hops < 5 AND NOT list_contains(path, there))
+    SELECT start, rank::INT AS rank, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY cost, len(path), path) AS rank FROM w WHERE last = {10**15 + 1}) WHERE rank <= 20""",
+    recursive=True,
+)
+_add("top_paths_diverse", lambda g: traversal.top_diverse_paths(g, _ids(g, C1 + 7, C1 + 10), max_hops=3).select("start", "rank", F.array_join("path", ">").alias("path"), "cost"))
 _REV = "CASE kind WHEN 'calls' THEN 1.0 WHEN 'defines' THEN 1.25 WHEN 'imports' THEN 1.6 WHEN 'depends_on' THEN 1.6 WHEN 'member_of' THEN 5.0 ELSE 1.5 END::DOUBLE / greatest(confidence, 0.05)"
 _FWD = "CASE kind WHEN 'calls' THEN 2.25 WHEN 'imports' THEN 2.5 WHEN 'depends_on' THEN 2.5 END::DOUBLE / greatest(confidence, 0.05)"
 
@@ -240,10 +249,10 @@ _add("surprise_pairs", lambda g: structure.surprise_pairs(g, communities.by_sour
 _add("surprise_edges", lambda g: structure.surprise_edges(g, communities.by_source(g)), _COM + _DEG + " SELECT l.id, l.src, l.dst, round(0.25::DOUBLE * CASE conf_class WHEN 'ambiguous' THEN 1.0 WHEN 'inferred' THEN 0.5 ELSE 0.0 END + 0.20::DOUBLE * (x.kind <> y.kind)::INT + 0.15::DOUBLE * (x.source_uri IS DISTINCT FROM y.source_uri)::INT + 0.20::DOUBLE + 0.20::DOUBLE * (least(dx.degree, dy.degree) <= 2 AND greatest(dx.degree, dy.degree) >= 5)::INT, 4) AS score FROM lab l JOIN nodes x ON x.id = l.src JOIN nodes y ON y.id = l.dst JOIN deg dx ON dx.id = l.src JOIN deg dy ON dy.id = l.dst WHERE a <> b")
 _add("community_working_graph", lambda g: communities.working_graph(g.edges).select("src", "dst", R("w").alias("w")), " SELECT src, dst, round(sum(CASE WHEN conf_class = 'ambiguous' THEN 0.15 ELSE CASE kind WHEN 'calls' THEN 0.55 WHEN 'defines' THEN 0.7 WHEN 'imports' THEN 0.45 WHEN 'depends_on' THEN 0.45 WHEN 'member_of' THEN 0.1 ELSE 0.55 END END::DOUBLE), 6) AS w FROM edges GROUP BY src, dst")
 _SMALL = lambda g: Graph(g.nodes.filter("kind IN ('class', 'function', 'module', 'package')"), g.edges.filter("kind IN ('imports', 'depends_on', 'member_of')"))
-_add("louvain", lambda g: communities.louvain(_SMALL(g)))
-_add("leiden", lambda g: communities.leiden(_SMALL(g)))
+_add("louvain", communities.louvain)
+_add("leiden", communities.leiden)
 _add("infomap", lambda g: communities.infomap(_SMALL(g)))
-_add("label_propagation", lambda g: communities.label_propagation(_SMALL(g)))
+_add("label_propagation", communities.label_propagation)
 _add(
     "map_equation",
     lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))),

@@ -48,7 +48,7 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "impact": lambda g, target, max_hops=3: traversal.impact_bfs(g, _at(g, target), max_hops=max_hops),
     "impact_ranked": lambda g, target, max_hops=4: traversal.impact_ranked(g, _at(g, target), max_hops=max_hops),
     "affected_files": lambda g, source: traversal.affected_files(g, source),
-    "paths": lambda g, target, to=None, max_hops=3: traversal.diverse_paths(traversal.top_paths(g, _at(g, target), target=None if to is None else _id(g, to), max_hops=max_hops, limit=50)),
+    "paths": lambda g, target, to=None, max_hops=3: traversal.top_diverse_paths(g, _at(g, target), target=None if to is None else _id(g, to), max_hops=max_hops),
     "minimal_context": lambda g, target, max_hops=1: traversal.minimal_context(g, _at(g, target), max_hops=max_hops),
     "traverse": lambda g, target, max_hops=3, token_budget=1200: traversal.traverse_budget(g, _at(g, target), max_hops=max_hops, token_budget=token_budget),
     "find_related": lambda g, target: traversal.related(g, _id(g, target)),
