@@ -188,11 +188,15 @@ _add(
     _pagerank_sql(10, "SELECT id, CASE WHEN kind = 'class' AND id % 5 = 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM nodes WHERE kind = 'class' AND id % 5 = 0) ELSE 0.0::DOUBLE END AS t FROM nodes", " SELECT id, round(rank, 7) AS rank FROM {}"),
 )
 _add("god_nodes", centrality.god_nodes, _pagerank_sql(30, _ALL, " SELECT r.id, qualified_name, kind, round(rank, 6) AS rank FROM {} r JOIN nodes n ON n.id = r.id WHERE NOT regexp_matches(name, '^(.|[0-9]+)$') ORDER BY round(rank, 6) DESC, r.id LIMIT 20"))
-_add(
-    "connected_components",
-    lambda g: centrality.connected_components(Graph(g.nodes, g.edges.filter("kind = 'defines'"))),
-    " SELECT n.id, least(n.id, coalesce(e.src, n.id)) AS component FROM nodes n LEFT JOIN edges e ON e.dst = n.id AND e.kind = 'defines'",
-)
+def _components_sql(rounds: int) -> str:
+    """Least label among the neighbours, round by round; no two nodes of the table's graph are further apart than the rounds."""
+    sql = ", near AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT id, id AS c FROM nodes)"
+    for i in range(1, rounds + 1):
+        sql += f", l{i} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(m.c, l.c)) AS c FROM l{i - 1} l LEFT JOIN (SELECT a AS id, min(c) AS c FROM near JOIN l{i - 1} x ON x.id = b GROUP BY a) m ON m.id = l.id)"
+    return sql + f" SELECT id, c AS component FROM l{rounds}"
+
+
+_add("connected_components", centrality.connected_components, _components_sql(14))
 _add(
     "k_core",
     lambda g: centrality.k_core(g.edges.filter("kind IN ('imports', 'depends_on')"), 3),

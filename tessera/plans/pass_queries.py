@@ -114,8 +114,8 @@ def _cfg(spark, d) -> DataFrame:
 _add("cfg_summary", _cfg, "SELECT 'gen/p' || p_partkey || '.py' AS path, 7::BIGINT AS blocks, 1::BIGINT AS branches, 1::BIGINT AS loops, 2::BIGINT AS returns, 0::BIGINT AS unreachable FROM part")
 
 # --- sinks ---
-_add("graphml_export", lambda s, d: store.graphml_rows(Graph(commerce_graph(s, d).nodes.filter("kind IN ('module', 'package')"), commerce_graph(s, d).edges.filter("kind = 'member_of'"))), f"""WITH {COMMERCE_SQL} SELECT 0 AS part, 0::BIGINT AS id, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' AS line UNION ALL SELECT 3, 0, '</graph></graphml>' UNION ALL SELECT 1, id, '<node id="n' || id || '"><data key="kind">' || kind || '</data><data key="qname">' || qualified_name || '</data></node>' FROM nodes WHERE kind IN ('module', 'package') UNION ALL SELECT 2, id, '<edge source="n' || src || '" target="n' || dst || '"><data key="kind">' || kind || '</data></edge>' FROM edges WHERE kind = 'member_of'""")
-_add("cypher_export", lambda s, d: store.cypher_rows(Graph(commerce_graph(s, d).nodes.filter("kind = 'module'"), commerce_graph(s, d).edges.filter("kind = 'member_of'"))), f"""WITH {COMMERCE_SQL} SELECT 1 AS part, id, 'MERGE (n:Module {{id: ' || id || '}}) SET n.qname = ''' || qualified_name || ''';' AS line FROM nodes WHERE kind = 'module' UNION ALL SELECT 2, id, 'MATCH (a {{id: ' || src || '}}), (b {{id: ' || dst || '}}) MERGE (a)-[:MEMBER_OF]->(b);' FROM edges WHERE kind = 'member_of'""".replace("{{", "{").replace("}}", "}"))
+_add("graphml_export", lambda s, d: store.graphml_rows(commerce_graph(s, d)), f"""WITH {COMMERCE_SQL} SELECT 0 AS part, 0::BIGINT AS id, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' AS line UNION ALL SELECT 3, 0, '</graph></graphml>' UNION ALL SELECT 1, id, '<node id="n' || id || '"><data key="kind">' || kind || '</data><data key="qname">' || qualified_name || '</data></node>' FROM nodes UNION ALL SELECT 2, id, '<edge source="n' || src || '" target="n' || dst || '"><data key="kind">' || kind || '</data></edge>' FROM edges""")
+_add("cypher_export", lambda s, d: store.cypher_rows(commerce_graph(s, d)), f"""WITH {COMMERCE_SQL} SELECT 1 AS part, id, 'MERGE (n:' || upper(kind[1]) || kind[2:] || ' {{id: ' || id || '}}) SET n.qname = ''' || qualified_name || ''';' AS line FROM nodes UNION ALL SELECT 2, id, 'MATCH (a {{id: ' || src || '}}), (b {{id: ' || dst || '}}) MERGE (a)-[:' || upper(kind) || ']->(b);' FROM edges""".replace("{{", "{").replace("}}", "}"))
 _add(
     "wiki_export",
     lambda s, d: store.wiki_pages(commerce_graph(s, d), by_source(commerce_graph(s, d))).select("community", F.md5("page").alias("page_md5")),

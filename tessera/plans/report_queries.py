@@ -52,7 +52,7 @@ _add(
 _add(
     "remove_edges_by_id",
     lambda g: editing.remove_edges_by_id(g, g.edges.filter("conf_class = 'ambiguous'").select("id")).edges.select("id"),
-    " SELECT id FROM edges WHERE id NOT IN (SELECT id FROM edges WHERE conf_class = 'ambiguous')",
+    " SELECT e.id FROM edges e WHERE NOT EXISTS (FROM edges x WHERE x.id = e.id AND x.conf_class = 'ambiguous')",
 )
 
 
