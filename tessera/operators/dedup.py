@@ -114,27 +114,3 @@ def deduplicate(nodes: DataFrame, *, jaccard: float = 0.7, winkler: float = 0.92
         scored = scored.join(c("a"), "a", "left").join(c("b"), "b", "left").withColumn("score", F.col("score") + F.when(F.col("ca") == F.col("cb"), boost).otherwise(0.0))
     roots = components(scored.filter(F.col("score") >= winkler).select("a", "b"))
     return n.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("keep_id"))
-
-
-def hash_embedding(text: Column, size: int = 384) -> Column:
-    """Signed feature hashing of tokens and their character trigrams, scaled to length 1."""
-
-    @F.arrow_udf("array<double>")
-    def embed(texts: pa.Array) -> pa.Array:
-        import re
-
-        out = []
-        for t in texts.to_pylist():
-            v = np.zeros(size)
-            tokens = re.findall(r"[a-z0-9]+", (t or "").lower())
-            features = [("t:" + x, 1.0) for x in tokens] + [("g:" + x[i : i + 3], 0.3) for x in tokens for i in range(max(1, len(x) - 2))] + [("b:" + x + "_" + y, 0.5) for x, y in zip(tokens, tokens[1:])]
-            for f, w in features:
-                h = _FNV_OFFSET
-                for byte in f.encode():
-                    h = ((h ^ byte) * _FNV_PRIME) & _M64
-                v[h % size] += w if (h >> 63) == 0 else -w
-            n = np.sqrt(v @ v)
-            out.append((v / n if n else v).tolist())
-        return pa.array(out, pa.list_(pa.float64()))
-
-    return embed(text)

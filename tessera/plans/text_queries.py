@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import changes, dedup, motifs, search
-from tessera.runtime import read_table
+from tessera.operators import changes, dedup, embeddings, motifs, search
+from tessera.runtime import materialise, read_table
 from tessera.sources import html as html_source
 from tessera.sources.adapters import COMMERCE_SQL, commerce_graph, event_graph
 
@@ -117,7 +117,33 @@ _add(
     lambda s, d: _pairs(s, d).select("id", R(dedup.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score")).filter("score > 0.8"),
     _WINKLER,
 )
-_add("hash_embedding", lambda s, d: part(s, d).select(F.col("p_partkey").alias("id"), dedup.hash_embedding(F.col("p_name")).alias("v")).select("id", F.size("v").alias("dimensions"), R(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm")))
+_EMBED = """WITH t AS (
+        SELECT p_partkey AS id, regexp_extract_all(lower(p_name), '([\\p{L}\\p{N}]+)', 1) AS w, regexp_extract_all(lower(NORM), '([a-z0-9]+)', 1) AS p FROM part
+    ), f AS (
+        SELECT id, 'tok:' || unnest(w) AS feature, 1.25::DOUBLE AS weight FROM t
+        UNION ALL SELECT id, 'stem:' || regexp_replace(x, '(ing|ers|ies|ed|es|er|s)$', ''), 0.7 FROM (SELECT id, unnest(w) AS x FROM t) WHERE length(x) > 4
+        UNION ALL SELECT id, 'piece:' || unnest(p), 0.4 FROM t
+        UNION ALL SELECT id, 'char:' || substr(x, i, 3), 0.25 FROM (SELECT id, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT id, unnest(w) AS x FROM t) WHERE length(x) >= 3)
+        UNION ALL SELECT id, 'bi:' || w[i] || ':' || w[i + 1], 0.8 FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM t)
+        UNION ALL SELECT id, 'skip:' || w[i] || ':' || w[i + 2], 0.5 FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+        UNION ALL SELECT id, 'acr:' || array_to_string(list_transform(w, lambda x: x[1]), ''), 0.6 FROM t WHERE len(w) >= 2
+        GROUPS
+    ), h AS (SELECT id, md5(feature) AS d, weight FROM f),
+    v AS (SELECT id, (('0x' || substr(d, 1, 8))::BIGINT % 384)::INT AS dimension, round(sum(CASE WHEN ('0x' || substr(d, 9, 1))::BIGINT % 2 = 0 THEN weight ELSE -weight END), 6) AS v FROM h GROUP BY ALL)
+    SELECT id, dimension, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM v WHERE v <> 0"""
+_NORM = "p_name"
+for _a, _b in ((r"([a-z0-9])([A-Z])", r"\1 \2"), (r"([A-Z]+)([A-Z][a-z])", r"\1 \2"), (r"([A-Za-z])([0-9])", r"\1 \2"), (r"([0-9])([A-Za-z])", r"\1 \2"), (r"[^A-Za-z0-9]+", " ")):
+    _NORM = f"regexp_replace({_NORM}, '{_a}', '{_b}', 'g')"
+_GROUPED = " ".join(f"UNION ALL SELECT id, 'group:{name}', 1.2 FROM t WHERE list_has_any(w, {words})" for name, words in embeddings.GROUPS.items())
+_add("hash_embedding", lambda s, d: embeddings.hashed(part(s, d), "p_partkey", F.col("p_name")).select("id", "dimension", R("value", 6).alias("value")), _EMBED.replace("NORM", _NORM).replace("GROUPS", _GROUPED))
+
+
+def _near_names(s, d):
+    vectors = materialise(embeddings.embed(part(s, d), "p_partkey", F.col("p_name")), "name-vectors")
+    return embeddings.nearest(embeddings.build_index(vectors), vectors.filter("id % 50 = 0"), k=10)
+
+
+_add("embedding_neighbors", _near_names)
 _add(
     "motif_match",
     lambda s, d: motifs.untested_callee().match(commerce_graph(s, d)),
