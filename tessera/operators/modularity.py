@@ -1,9 +1,9 @@
 """Communities by modularity, Louvain's way on tables: local moves of many nodes at once, then contraction.
 
-A round sums each node's ties to the communities around it, finds the community where it would add most, and lets a node move only if none of its
-neighbours that want to move too would gain more (ties: the smaller id), so no two neighbours move at once. Gains use the community totals of the round before, so
+A round sums each node's ties to the communities around it and finds the community where it would add most. Of two neighbours of which one wants to go where the
+other wants to leave, only the one that gains more moves (ties: the smaller id), so nobody counts on a tie that is about to go. Gains use the community totals of the round before, so
 modularity is measured again after every ``CHECK`` rounds: moving ends when these added less than ``LEAST``, and the best state measured is kept. Then
-communities become nodes, with their ties summed, until none merge. Every step is a join or an aggregation by node or community;
+communities become nodes, with their ties summed, until a level adds less than ``LEAST``. Every step is a join or an aggregation by node or community;
 no component or community is held in one group.
 
 Ties: of communities that add the same, the smaller one. A community is named by its smallest node. Nodes without edges are their own.
@@ -29,7 +29,7 @@ def _measure(both: DataFrame, state: DataFrame, total: float, resolution: float)
 
 
 def _wishes(both: DataFrame, state: DataFrame, total: float, resolution: float) -> DataFrame:
-    """id, wish, gain of the nodes that would add to modularity elsewhere."""
+    """id, home, wish, gain of the nodes that would add to modularity elsewhere."""
     totals = state.groupBy("community").agg(F.sum("k").alias("sum"))
     ties = both.join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("tie"))
     own = state.join(totals, "community").select("id", "k", F.col("community").alias("home"), F.col("sum").alias("home_sum"))
@@ -39,14 +39,15 @@ def _wishes(both: DataFrame, state: DataFrame, total: float, resolution: float)
     best = F.max(F.when(away, F.struct(F.round(score, 9).alias("score"), (-F.col("community")).alias("c")))).alias("best")
     per = scored.groupBy("id", "home", "k", "home_sum").agg(best, F.coalesce(F.max(F.when(~away, F.col("tie"))), F.lit(0.0)).alias("stays"))
     stay = F.round(F.col("stays") - resolution * F.col("k") * (F.col("home_sum") - F.col("k")) / total, 9)
-    return per.select("id", (-F.col("best.c")).alias("wish"), (F.col("best.score") - stay).alias("gain")).filter("gain > 1e-9")
+    return per.select("id", "home", (-F.col("best.c")).alias("wish"), (F.col("best.score") - stay).alias("gain")).filter("gain > 1e-9")
 
 
 def _moved(both: DataFrame, state: DataFrame, total: float, resolution: float) -> DataFrame:
     """``state`` after one round, with ``moved``."""
     wish = materialise(_wishes(both, state, total, resolution), "wishes")
     rank = lambda end: F.struct(F.col("gain"), (-F.col(end)).alias("id"))
-    rivals = both.join(wish.select(F.col("id").alias("src")), "src").join(wish.select(F.col("id").alias("dst"), "gain"), "dst")
+    mine, other = wish.select(F.col("id").alias("src"), F.col("home").alias("from"), F.col("wish").alias("to")), wish.select(F.col("id").alias("dst"), "home", "wish", "gain")
+    rivals = both.join(mine, "src").join(other, "dst").filter("to = home OR wish = from")
     rivals = rivals.groupBy(F.col("src").alias("id")).agg(F.max(rank("dst")).alias("rival"))
     goes = wish.join(rivals, "id", "left").filter(F.col("rival").isNull() | (F.col("rival") < rank("id"))).select("id", "wish")
     new = state.select("id", "community", "k").join(goes, "id", "left").select("id", F.coalesce("wish", "community").alias("community"), "k", F.col("wish").isNotNull().alias("moved"))
@@ -55,9 +56,10 @@ def _moved(both: DataFrame, state: DataFrame, total: float, resolution: float) -
     return new
 
 
-def _level(both: DataFrame, start: DataFrame, total: float, resolution: float) -> DataFrame:
-    """id, community, k after moving until rounds add next to nothing."""
+def _level(both: DataFrame, start: DataFrame, total: float, resolution: float) -> tuple[DataFrame, float]:
+    """id, community, k after moving until rounds add next to nothing, and what the level added."""
     state, best, kept = start, _measure(both, start, total, resolution), start
+    before = best
     while True:
         still = False
         for _ in range(CHECK):
@@ -73,7 +75,7 @@ def _level(both: DataFrame, start: DataFrame, total: float, resolution: float) -
         else:
             gained = 0.0
         if not still or gained < LEAST:
-            return kept.select("id", "community", "k")
+            return kept.select("id", "community", "k"), best - before
 
 
 def detect(w: DataFrame, *, resolution: float = 1.0, connected: bool = False) -> DataFrame:
@@ -88,7 +90,7 @@ def detect(w: DataFrame, *, resolution: float = 1.0, connected: bool = False) ->
     total = state.agg(F.sum("k")).first()[0] or 0.0
     found = state.select("id", "community")
     while total > 0:
-        state = _level(both, state, total, resolution)
+        state, gained = _level(both, state, total, resolution)
         if connected:
             ends = both.join(state.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(state.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
             roots = components(ends.filter("a = b").select(F.col("src").alias("a"), F.col("dst").alias("b")))
@@ -97,7 +99,7 @@ def detect(w: DataFrame, *, resolution: float = 1.0, connected: bool = False) ->
         named = materialise(state.join(name, "community").select("id", F.col("name").alias("community"), "k"), "named")
         found = materialise(found.select("id", F.col("community").alias("c")).join(named.select(F.col("id").alias("c"), "community"), "c").select("id", "community"), "communities")
         nodes = materialise(named.groupBy("community").agg(F.sum("k").alias("k")).select(F.col("community").alias("id"), "community", "k"), "state")
-        if nodes.count() == named.count():
+        if gained < LEAST:
             break
         label = named.select("id", "community")
         merged = both.join(label.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
