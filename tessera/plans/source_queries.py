@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import typing
 from tessera.plans.pass_queries import placeholder_graph
 from tessera.runtime import read_table
-from tessera.sources import aliases, code, documents, manifests
-from tessera.sources.adapters import Graph
+from tessera.sources import aliases, code, documents, evidence, manifests
+from tessera.sources.adapters import COMMERCE_SQL, Graph, commerce_graph
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -274,6 +274,38 @@ _add(
 )
 
 
+# --- compiler evidence ---
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    """One evidence file an order: its line items, a supplier that it implements, and a part that nobody has."""
+    line, orders = read_table(s, d, "lineitem"), read_table(s, d, "orders")
+    n = read_table(s, d, "supplier").count()
+    name = lambda table, key: F.concat(F.lit(f"{table}::"), key.cast("string"))
+    o = F.col("o_orderkey")
+    row = lambda src, dst, kind, detail: F.struct(src.alias("source"), dst.alias("target"), F.lit(kind).alias("kind"), detail.alias("detail"))
+    calls = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(row(name("order", F.col("l_orderkey")), name("part", F.col("l_partkey")), "calls", F.lit("seen")))).alias("calls"))
+    more = F.array(row(name("order", o), name("supplier", o % n), "implements", F.lit(None).cast("string")), row(name("order", o), F.lit("part::none"), "calls", F.lit("lost")))
+    body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit("checker ").alias("provider"), F.concat(F.coalesce("calls", F.array().cast("array<struct<source:string,target:string,kind:string,detail:string>>")), more).alias("edges")))
+    files = orders.join(calls, "o_orderkey", "left").select(F.concat(F.lit("e/"), o.cast("string"), F.lit(".json")).alias("path"), body.alias("content"))
+    g, report = evidence.apply_evidence(commerce_graph(s, d), evidence.read_evidence(files))
+    counts = g.edges.groupBy("kind", "conf_class", "provider", "detail").agg(F.count(F.lit(1)).alias("n"))
+    told = report.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("added", "upgraded", "unresolved")))).alias("r")).select("r.kind", F.lit("report").alias("conf_class"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("detail"), "r.n")
+    return counts.unionByName(told)
+
+
+_add(
+    "compiler_evidence",
+    _evidence,
+    f"""WITH {COMMERCE_SQL}, e AS (SELECT *, CASE WHEN kind = 'calls' AND id = min(id) OVER (PARTITION BY src, dst, kind) THEN 'checker' END AS provider FROM edges),
+    x AS (SELECT kind, CASE WHEN provider IS NULL THEN conf_class ELSE 'extracted' END AS conf_class, provider, CASE WHEN provider IS NULL THEN NULL ELSE 'seen' END AS detail FROM e
+        UNION ALL SELECT 'implements', 'extracted', 'checker', NULL FROM orders)
+    SELECT kind, conf_class, provider, detail, count(*) AS n FROM x GROUP BY ALL
+    UNION ALL SELECT 'added', 'report', NULL, NULL, count(*) FROM orders UNION ALL SELECT 'unresolved', 'report', NULL, NULL, count(*) FROM orders
+    UNION ALL SELECT 'upgraded', 'report', NULL, NULL, count(*) FROM lineitem""",
+)
+
+
 def queries() -> dict:
     return dict(_Q)
 
