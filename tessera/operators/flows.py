@@ -58,6 +58,11 @@ def materialise_flows(g: Graph, *, min_size: int = 3, max_depth: int = 6) -> tup
     return flows, members.join(flows.select("entry"), "entry", "left_semi")
 
 
+def participation(flows: DataFrame, members: DataFrame) -> DataFrame:
+    """id, criticality: the sum over the flows that a node is a member of."""
+    return members.join(flows.select("entry", "criticality"), "entry").groupBy("id").agg(F.round(F.sum("criticality"), 6).alias("criticality"))
+
+
 def flows_through(flows: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
     hit = members.join(ids.select("id"), "id", "left_semi").select("entry").distinct()
     return flows.join(hit, "entry", "left_semi").orderBy(F.desc("criticality"), "entry")

@@ -274,21 +274,23 @@ _CRIT = ", en AS (SELECT n.id, n.name, n.is_test FROM nodes n WHERE kind IN ('fu
 _add("flow_entry_points", flows.entry_points, _CRIT + " SELECT id, name, is_test FROM en")
 _FLOW = _CRIT + ", re AS (SELECT * FROM edges WHERE kind = 'calls' AND conf_class <> 'ambiguous'), fi AS (SELECT dst AS id, count(*) AS fan_in FROM re GROUP BY dst), m1 AS (SELECT DISTINCT en.id AS entry, re.dst AS id, 1 AS depth FROM en JOIN re ON re.src = en.id), m AS (SELECT id AS entry, id, 0 AS depth FROM en UNION ALL SELECT * FROM m1), mm AS (SELECT entry, m.id, depth, coalesce(fan_in, 0) AS fan_in FROM m LEFT JOIN fi ON fi.id = m.id)"
 _add("flow_trace", lambda g: flows.trace(g, flows.entry_points(g)), _FLOW + " SELECT entry, id, depth, fan_in FROM mm")
-_add(
-    "flow_criticality",
-    lambda g: flows.materialise_flows(g)[0],
-    _FLOW + " SELECT entry, node_count, depth, round(greatest(0.0, least(1.0, least(0.1::DOUBLE * node_count, 0.6) + least(fan / 8, 0.25) + CASE WHEN regexp_matches(lower(name), 'main|handle|process|run') THEN 0.15 ELSE 0.0 END - CASE WHEN is_test THEN 0.2 ELSE 0.0 END)), 6) AS criticality FROM (SELECT entry, count(*) AS node_count, max(depth) AS depth, avg(fan_in) AS fan FROM mm GROUP BY entry HAVING count(*) >= 3) JOIN nodes n ON n.id = entry",
-)
+_CRITICALITY = "SELECT entry, node_count, depth, round(greatest(0.0, least(1.0, least(0.1::DOUBLE * node_count, 0.6) + least(fan / 8, 0.25) + CASE WHEN regexp_matches(lower(name), 'main|handle|process|run') THEN 0.15 ELSE 0.0 END - CASE WHEN is_test THEN 0.2 ELSE 0.0 END)), 6) AS criticality FROM (SELECT entry, count(*) AS node_count, max(depth) AS depth, avg(fan_in) AS fan FROM mm GROUP BY entry HAVING count(*) >= 3) JOIN nodes n ON n.id = entry"
+_add("flow_criticality", lambda g: flows.materialise_flows(g)[0], _FLOW + " " + _CRITICALITY)
 _HUNKS = lambda g: g.nodes.filter("kind = 'function' AND id % 10 = 0").select(F.col("source_uri").alias("file_path"), (F.col("line_end") - 1).alias("line_start"), (F.col("line_end") + 2).alias("line_end")).distinct()
 _HSQL = ", h AS (SELECT DISTINCT source_uri AS file_path, line_end - 1 AS line_start, line_end + 2 AS line_end FROM nodes WHERE kind = 'function' AND id % 10 = 0), af AS (SELECT h.file_path, h.line_start, h.line_end, n.id, qualified_name, kind FROM h JOIN nodes n ON n.source_uri = h.file_path WHERE n.line_end IS NOT NULL AND 1 <= h.line_end AND n.line_end >= h.line_start)"
 _add("affected_symbols", lambda g: changes.affected_symbols(g.nodes, _HUNKS(g)), _HSQL + " SELECT * FROM af")
 _add("hunk_risk", lambda g: changes.hunk_risk(g, _HUNKS(g)), _HSQL + " SELECT file_path, line_start, line_end, least(sum(CASE WHEN kind IN ('function', 'method') THEN 1.0 WHEN kind = 'class' THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN id IN (SELECT dst FROM edges) THEN 0.5 ELSE 0.0 END), 10.0) AS risk FROM af GROUP BY ALL")
+def _risk_sql(flow: str = "", join: str = "") -> str:
+    return f""", ca AS (SELECT e.dst AS id, sum((s.source_uri IS DISTINCT FROM t.source_uri)::INT) AS crossing, count(DISTINCT CASE WHEN s.is_test THEN e.src END) AS tests FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst WHERE e.kind = 'calls' GROUP BY e.dst),
+    sc AS (SELECT n.id, qualified_name, round({flow}least(coalesce(crossing, 0) * 0.05::DOUBLE, 0.15) + 0.30::DOUBLE - 0.25::DOUBLE * least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '{"|".join(changes.SECURITY)}') THEN 0.20 ELSE 0.0 END + least(coalesce(in_degree, 0) / 20.0::DOUBLE, 0.10), 4) AS score FROM nodes n LEFT JOIN ca ON ca.id = n.id LEFT JOIN deg ON deg.id = n.id {join}WHERE kind IN ('function', 'method', 'class') AND NOT is_test)
+    SELECT id, qualified_name, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.40 THEN 'medium' ELSE 'low' END AS level FROM sc"""
+
+
+_add("risk_scores", changes.risk_scores, _DEG + _risk_sql())
 _add(
-    "risk_scores",
-    changes.risk_scores,
-    _DEG + f""", ca AS (SELECT e.dst AS id, sum((s.source_uri IS DISTINCT FROM t.source_uri)::INT) AS crossing, count(DISTINCT CASE WHEN s.is_test THEN e.src END) AS tests FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst WHERE e.kind = 'calls' GROUP BY e.dst),
-    sc AS (SELECT n.id, qualified_name, round(least(coalesce(crossing, 0) * 0.05::DOUBLE, 0.15) + 0.30::DOUBLE - 0.25::DOUBLE * least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '{"|".join(changes.SECURITY)}') THEN 0.20 ELSE 0.0 END + least(coalesce(in_degree, 0) / 20.0::DOUBLE, 0.10), 4) AS score FROM nodes n LEFT JOIN ca ON ca.id = n.id LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('function', 'method', 'class') AND NOT is_test)
-    SELECT id, qualified_name, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.40 THEN 'medium' ELSE 'low' END AS level FROM sc""",
+    "risk_scores_flows",
+    lambda g: changes.risk_scores(g, flows.participation(*flows.materialise_flows(g))),
+    _FLOW + f", fl AS ({_CRITICALITY}), fp AS (SELECT mm.id, round(sum(criticality), 6) AS criticality FROM mm JOIN fl ON fl.entry = mm.entry GROUP BY mm.id)" + _DEG + _risk_sql("least(coalesce(fp.criticality, 0.0), 0.25::DOUBLE) + ", "LEFT JOIN fp ON fp.id = n.id "),
 )
 _add("test_coverage", changes.test_coverage, " SELECT id, kind, id IN (SELECT e.dst FROM edges e JOIN nodes t ON t.id = e.src WHERE t.is_test AND e.kind = 'calls') AS tested FROM nodes WHERE kind IN ('function', 'method', 'class') AND NOT is_test")
 _add("graph_diff_nodes", lambda g: changes.graph_diff_nodes(g.nodes.filter("id % 5 <> 0"), g.nodes.filter("id % 7 <> 0").withColumn("name", F.when(F.col("id") % 11 == 0, F.upper("name")).otherwise(F.col("name"))), ["name", "kind", "source_uri"]), ", b AS (SELECT * FROM nodes WHERE id % 5 <> 0), h AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN upper(name) ELSE name END AS name) FROM nodes WHERE id % 7 <> 0), d AS (SELECT coalesce(b.qualified_name, h.qualified_name) AS qualified_name, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' WHEN b.name <> h.name THEN 'modified' END AS change FROM b FULL JOIN h ON b.qualified_name = h.qualified_name) SELECT * FROM d WHERE change IS NOT NULL")
