@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.adapters import Graph
 
-# Call names that are never resolved: builtins, methods of every object, pattern and number functions,
-# usual parameters, string methods. Names of other libraries that a caller wants left out are a parameter.
+# Call names that are left alone unless a caller gives a set of its own: builtins, methods of every object, pattern and number functions,
+# usual parameters, string methods.
 SUPPRESSED = [
     "abs", "all", "any", "bool", "bytes", "callable", "dict", "dir",
     "enumerate", "float", "getattr", "hasattr", "hash", "id",
@@ -65,10 +65,10 @@ def only(defs: DataFrame, keys: list[str], found: str) -> DataFrame:
     return defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias(found)).filter("n = 1").drop("n")
 
 
-def suppressed(name: Column, more: list[str] | None = None) -> Column:
-    """Whether calls of this name are left alone: an empty name, or one of the lists in any case."""
+def suppressed(name: Column, names: list[str] | None = None) -> Column:
+    """Whether calls of this name are left alone: an empty name, or one of ``names`` (SUPPRESSED if none are given) in any case."""
     low = F.lower(F.trim(name))
-    return (low == "") | low.isin(*SUPPRESSED, *(n.lower() for n in more or []))
+    return (low == "") | low.isin(*(n.lower() for n in (SUPPRESSED if names is None else names)))
 
 
 CALLABLE = ["function", "method", "class"]
@@ -141,7 +141,7 @@ def resolve_calls(g: Graph, imports: DataFrame | None = None, receivers: DataFra
 
     Tiers: 1 unique name, 2 same file, 3 most equal scope segments, 4 owner is the receiver's type (``receivers``:
     edge_id, type), 5 imported module (``imports``: src_uri, name, target_uri), 6 same directory, 7 most callers (two at least, and twice the next). Tiers 1 and 2
-    are extracted, the rest inferred.
+    are extracted, the rest inferred. ``suppress`` is the whole set of names that are left alone.
     """
     calls = placeholder_calls(g, "call::", ["calls"]).filter(~suppressed(F.col("name"), suppress))
     return resolve_named(calls, definitions(g.nodes, CALLABLE), call_uses(g), imports, receivers).drop("name")
