@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import discard, materialise
@@ -40,3 +40,26 @@ def list_ranks(links: DataFrame) -> DataFrame:
         discard(now)
         now = new
     return now.select("item", "end", "steps")
+
+
+def place_within(rows: DataFrame, group: str, *order: Column, name: str) -> DataFrame:
+    """``rows`` with their place (from 0) in the order of their group; a large group lies in many tasks."""
+    placed = materialise(numbered(rows, F.col(group).asc_nulls_first(), *order, name=name), "placed")
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min(name).alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first")).drop("_group", "_first")
+
+
+def filled_down(rows: DataFrame, group: str, order: Column, value: Column, *, name: str) -> DataFrame:
+    """``rows`` with the last value that is not null at or before them in the order of their group.
+
+    Runs of 1,024 rows are filled by themselves; what comes in from before is looked up in a table of one row a run.
+    """
+    placed = numbered(rows.withColumn(name, value), F.col(group).asc_nulls_first(), order, name="_place")
+    run = placed.withColumn("_run", F.shiftright("_place", 10))
+    within = Window.partitionBy(group, "_run").orderBy("_place")
+    run = materialise(run.withColumn("_here", F.last(name, ignorenulls=True).over(within)), "filled")
+    ends = run.groupBy(group, "_run").agg(F.max_by("_here", "_place").alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(group).alias("_group"), F.col("_run").alias("_at"), before.alias("_before"))
+    out = run.join(ends, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_run") == F.col("_at")))
+    return out.withColumn(name, F.coalesce("_here", "_before")).drop("_place", "_run", "_here", "_group", "_at", "_before")

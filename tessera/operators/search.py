@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.lists import place_within
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,17 +90,19 @@ def rrf(lists: list[tuple[DataFrame, float]], *, k: int = 61) -> DataFrame:
 
 def source_saturation(hits: DataFrame, *, factor: float = 0.72) -> DataFrame:
     """The k-th further hit of a source, in given order, keeps factor ** k of its score."""
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("place")) - 1
-    return hits.withColumn("score", F.round(F.col("score") * F.pow(F.lit(factor), nth), 6))
+    placed = place_within(hits, "source", F.col("place").asc(), name="nth")
+    return placed.withColumn("score", F.round(F.col("score") * F.pow(F.lit(factor), F.col("nth")), 6)).drop("nth")
 
 
 def multi_hit_boost(hits: DataFrame, *, share: float = 0.12) -> DataFrame:
     """The best hit of each source with two or more gains share * best score * the source's part of all scores."""
-    w = Window.partitionBy("source")
-    d = hits.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("sum", F.sum("score").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc("score"), "id")))
-    top = hits.agg(F.max("score").alias("best"), F.sum("score").alias("all")).withColumn("k", F.lit(1))
-    d = d.withColumn("k", F.lit(1)).join(F.broadcast(top), "k")
-    return d.select("id", "source", F.round(F.col("score") + F.when((F.col("n") > 1) & (F.col("nth") == 1), share * F.col("best") * F.col("sum") / F.col("all")).otherwise(0.0), 6).alias("score"))
+    best = F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("best")
+    by = hits.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("sum"), best)
+    most, every = hits.agg(F.max("score"), F.sum("score")).first()
+    gain = share * F.lit(float(most or 0.0)) * F.col("sum") / F.lit(float(every or 1.0))
+    first = by.filter("n > 1").select("of", (-F.col("best.id")).alias("first"), gain.alias("gain"))
+    d = hits.join(first, F.col("source").eqNullSafe(F.col("of")) & (F.col("id") == F.col("first")), "left")
+    return d.select("id", "source", F.round(F.col("score") + F.coalesce("gain", F.lit(0.0)), 6).alias("score"))
 
 
 def noise_penalty(path: Column) -> Column:

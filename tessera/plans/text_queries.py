@@ -65,9 +65,12 @@ _add("pagination", lambda s, d: search.page(part(s, d).select("p_partkey", "p_na
 
 
 def _ranked(s, d):
-    a = docs(s, d).filter("n_chars > 3000").select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("rank")).filter("rank < 40")
-    b = docs(s, d).filter("lang = 'en'").select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("rank")).filter("rank < 40")
-    return search.rrf([(a, 3600.0), (b, 2700.0)])
+    def first(rows, *order):
+        # The limit is taken in each task before the ranks are numbered.
+        top = rows.select(F.col("doc_id").alias("id"), "n_chars").orderBy(*order).limit(40)
+        return top.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
+
+    return search.rrf([(first(docs(s, d).filter("n_chars > 3000"), F.desc("n_chars"), "id"), 3600.0), (first(docs(s, d).filter("lang = 'en'"), "id"), 2700.0)])
 
 
 _add("rrf_fusion", _ranked, "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents WHERE n_chars > 3000 QUALIFY rank < 40), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents WHERE lang = 'en' QUALIFY rank < 40) SELECT id, round(sum(p), 6) AS score FROM (SELECT id, 3600.0::DOUBLE / (61 + rank) AS p FROM a UNION ALL SELECT id, 2700.0::DOUBLE / (61 + rank) FROM b) GROUP BY id")

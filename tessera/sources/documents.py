@@ -7,6 +7,8 @@ import fnmatch
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lists import filled_down
+
 # Suffixes of the files from which concepts are taken.
 CONCEPTS = {"md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "svg": "svg"}
 _GLOB = "*?["
@@ -64,12 +66,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 def commit_rows(log: DataFrame) -> DataFrame:
     """commit, author, at, path: changed files of log entries (line, text), as ``--name-only`` prints them.
 
-    A line ``commit <hash>|<author>|<time>`` opens an entry; lines until the next one are its paths.
+    A line ``commit <hash>|<author>|<time>`` opens an entry; lines until the next one are its paths. A log of any length lies in many tasks.
     """
-    from pyspark.sql import Window
-
     head = F.regexp_extract("text", r"^commit ([0-9a-f]+)\|", 1)
-    last = F.last(F.when(head != "", F.col("text")), ignorenulls=True).over(Window.partitionBy("source").orderBy("line"))
-    d = log.withColumn("entry", last).filter("text <> '' AND entry IS NOT NULL AND text <> entry")
+    filled = filled_down(log.select("source", "line", "text"), "source", F.col("line").asc(), F.when(head != "", F.col("text")), name="entry")
+    d = filled.filter("text <> '' AND entry IS NOT NULL AND text <> entry")
     part = lambda i: F.element_at(F.split("entry", r"\|"), i)
     return d.select(F.regexp_extract("entry", r"^commit ([0-9a-f]+)\|", 1).alias("commit"), part(2).alias("author"), part(3).cast("long").alias("at"), F.col("text").alias("path"))
