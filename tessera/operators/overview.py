@@ -173,6 +173,14 @@ def graph_json(g: Graph, communities: DataFrame, *, offset: int = 0, limit: int
     return d.select("id", F.to_json(F.struct("id", "qualified_name", "name", "kind", "community")).alias("json"))
 
 
+def graph_json_edges(g: Graph, *, offset: int = 0, limit: int = 500) -> DataFrame:
+    """id, json: the edges between the nodes of the same page, for a viewer."""
+    page = g.nodes.select("id").orderBy("id").offset(offset).limit(limit)  # a page, so that it may be broadcast
+    ends = F.broadcast(page)
+    e = g.edges.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), "dst")
+    return e.select("id", F.to_json(F.struct("id", F.col("src").alias("source"), F.col("dst").alias("target"), "kind", "confidence")).alias("json"))
+
+
 def report_lines(g: Graph, top: int = 25) -> DataFrame:
     """place, line: a Markdown report with kind counts and the most connected nodes."""
     k = lambda df: df.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -153,6 +153,11 @@ _add("predict_affected_files", lambda g: traversal.affected_files(g, "customer/7
 _add("call_neighbors", lambda g: traversal.call_neighbours(g, P1 + 7, incoming=True), f" SELECT DISTINCT n.id, qualified_name FROM edges e JOIN nodes n ON n.id = e.src WHERE e.kind = 'calls' AND confidence >= 0.5 AND dst = {P1 + 7}")
 _add("find_related", lambda g: traversal.related(g, C1 + 7), f" SELECT id, qualified_name, kind FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = {C1 + 7} UNION SELECT src FROM edges WHERE dst = {C1 + 7})")
 _add("rename_sites", lambda g: traversal.rename_sites(g, P1 + 7), f" SELECT id, 'definition' AS site, 'HIGH' AS confidence FROM nodes WHERE id = {P1 + 7} UNION ALL SELECT src, kind, min(CASE WHEN conf_class = 'extracted' THEN 'HIGH' ELSE 'MEDIUM' END) FROM edges WHERE dst = {P1 + 7} AND kind IN ('calls', 'imports') GROUP BY src, kind")
+_add(
+    "rename_counts",
+    lambda g: traversal.rename_counts(traversal.rename_sites(g, P1 + 7)),
+    f", u AS (SELECT id, 'definition' AS site, 'HIGH' AS confidence FROM nodes WHERE id = {P1 + 7} UNION ALL SELECT src, kind, min(CASE WHEN conf_class = 'extracted' THEN 'HIGH' ELSE 'MEDIUM' END) FROM edges WHERE dst = {P1 + 7} AND kind IN ('calls', 'imports') GROUP BY src, kind) SELECT confidence, count(*) AS sites, count(DISTINCT id) AS nodes FROM u GROUP BY confidence",
+)
 _HOLE = 6 * 10**15 + 1
 
 

@@ -182,6 +182,13 @@ _add(
     + """ SELECT n.id, '{"id":' || n.id || ',"qualified_name":"' || qualified_name || '","name":"' || name || '","kind":"' || kind || '"' || coalesce(',"community":' || community, '') || '}' AS json
     FROM (SELECT * FROM nodes ORDER BY id LIMIT 200 OFFSET 30) n LEFT JOIN com ON com.id = n.id""",
 )
+_add(
+    "graph_json_edges",
+    lambda g: overview.graph_json_edges(g, offset=0, limit=400),
+    """, page AS (SELECT id FROM nodes ORDER BY id LIMIT 400)
+    SELECT e.id, '{"id":' || e.id || ',"source":' || src || ',"target":' || dst || ',"kind":"' || kind || '","confidence":' || CASE WHEN conf_class = 'extracted' THEN '1.0' ELSE '0.0' END || '}' AS json
+    FROM edges e WHERE src IN (SELECT id FROM page) AND dst IN (SELECT id FROM page)""",
+)
 _add(
     "report_lines",
     lambda g: overview.report_lines(g).withColumn("place", F.col("place").cast("long")),
