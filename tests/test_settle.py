@@ -15,7 +15,7 @@ def land(spark, path, rows):
     spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(path)
 
 
-def wait(query, done, seconds=90):
+def wait(query, done, seconds=240):
     end = time.time() + seconds
     while not done() and time.time() < end:
         assert query.exception() is None, query.exception()
@@ -33,7 +33,7 @@ def test_changes_settle_and_a_restart_goes_on(spark, tmp_path, monkeypatch):
     names = lambda: {r.qualified_name for r in s.load().nodes.collect()}
 
     land(spark, landing, [("a.py", "def half(", False, 1), ("a.py", "def a2():\n    b()\n", False, 2), (None, "x", False, 1), ("c.py", "def c():\n    b()\n", False, 2)])
-    query = settle.watch_settled(spark, s, landing, check, quiet_ms=3000)
+    query = settle.watch_settled(spark, s, landing, check, quiet_ms=20_000)
     wait(query, lambda: query.lastProgress is not None and query.lastProgress["batchId"] >= 0)
     land(spark, landing, [("a.py", "def a3():\n    b()\n", False, 3), ("a.py", "def a3():\n    b()\n", False, 3)])  # before it was quiet
     wait(query, lambda: s.version() >= 2 and {"a.py::a3", "c.py::c"} <= names())
