@@ -175,7 +175,7 @@ _add(
 # --- centrality ---
 _TRANS = "(CASE kind WHEN 'calls' THEN 1.0 WHEN 'defines' THEN 0.7 WHEN 'imports' THEN 0.55 WHEN 'depends_on' THEN 0.55 WHEN 'member_of' THEN 0.05 ELSE 0.5 END * CASE conf_class WHEN 'extracted' THEN 1.0 ELSE 0.0 END)::DOUBLE"
 _T = f", w0 AS (SELECT src, dst, sum({_TRANS}) AS w FROM edges WHERE conf_class = 'extracted' GROUP BY src, dst), t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w0)"
-_add("transitions", lambda g: centrality.transitions(g.edges.filter("kind <> 'defines'")).select("src", "dst", R("p").alias("p")), _T.replace("WHERE conf_class = 'extracted'", "WHERE conf_class = 'extracted' AND kind <> 'defines'") + " SELECT src, dst, round(p, 6) AS p FROM t")
+_add("transitions", lambda g: centrality.transitions(g.edges).select("src", "dst", R("p").alias("p")), _T + " SELECT src, dst, round(p, 6) AS p FROM t")
 
 
 def _pagerank_sql(iterations: int, teleport: str, select: str) -> str:
@@ -204,8 +204,8 @@ def _components_sql(rounds: int) -> str:
 _add("connected_components", centrality.connected_components, _components_sql(14))
 _add(
     "k_core",
-    lambda g: centrality.k_core(g.edges.filter("kind IN ('imports', 'depends_on')"), 3),
-    ", e0 AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE kind IN ('imports', 'depends_on') AND src <> dst)"
+    lambda g: centrality.k_core(g.edges, 3),
+    ", e0 AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)"
     + "".join(f", k{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= 3), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM k{i}) AND b IN (SELECT id FROM k{i}))" for i in range(24))
     + " SELECT a AS id FROM e24 UNION SELECT b FROM e24",
 )
@@ -219,7 +219,7 @@ def _cores_sql(rounds: int, where: str) -> str:
     return sql
 
 
-_add("core_numbers", lambda g: centrality.core_numbers(Graph(g.nodes.filter("kind IN ('function', 'class')"), g.edges.filter("kind = 'imports'"))), _cores_sql(25, "kind = 'imports'") + " SELECT n.id, coalesce(core, 0) AS core FROM nodes n LEFT JOIN c25 ON c25.id = n.id WHERE kind IN ('function', 'class')")
+_add("core_numbers", centrality.core_numbers, _cores_sql(60, "true") + " SELECT n.id, coalesce(core, 0) AS core FROM nodes n LEFT JOIN c60 ON c60.id = n.id")
 _add(
     "scc",
     lambda g: centrality.cyclic_components(_SHARED(g)).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).select("n", "first"),
@@ -238,8 +238,7 @@ def _between_sql(levels: int, where: str) -> str:
     return sql + " SELECT id, round(sum(delta), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM d{h}" for h in range(levels + 1)) + ") WHERE id <> s GROUP BY id"
 
 
-_HIER = "kind IN ('imports', 'depends_on', 'member_of')"
-_add("betweenness_approx", lambda g: centrality.betweenness(Graph(g.nodes, g.edges.filter(_HIER))), _between_sql(10, _HIER))
+_add("betweenness_approx", centrality.betweenness, _between_sql(12, "true"))
 _add("articulation_points", lambda g: biconnected.articulation_points(g.edges))
 _add("cut_edges", lambda g: biconnected.cut_edges(g.edges))
 
@@ -264,9 +263,9 @@ _add("infomap", lambda g: communities.infomap(_SMALL(g)))
 _add("label_propagation", communities.label_propagation)
 _add(
     "map_equation",
-    lambda g: communities.map_equation(_SMALL(g), communities.by_source(_SMALL(g))),
-    """, sn AS (SELECT * FROM nodes WHERE kind IN ('class', 'function', 'module', 'package')), sc AS (SELECT id, min(id) OVER (PARTITION BY source_uri) AS c FROM sn WHERE source_uri IS NOT NULL),
-    w AS (SELECT src, dst, sum(CASE WHEN conf_class = 'ambiguous' THEN 0.15 ELSE CASE kind WHEN 'imports' THEN 0.45 WHEN 'depends_on' THEN 0.45 ELSE 0.1 END END::DOUBLE) AS w FROM edges WHERE kind IN ('imports', 'depends_on', 'member_of') GROUP BY src, dst),
+    lambda g: communities.map_equation(g, communities.by_source(g)),
+    """, sn AS (SELECT * FROM nodes), sc AS (SELECT id, min(id) OVER (PARTITION BY source_uri) AS c FROM sn WHERE source_uri IS NOT NULL),
+    w AS (SELECT src, dst, sum(CASE WHEN conf_class = 'ambiguous' THEN 0.15 ELSE CASE kind WHEN 'calls' THEN 0.55 WHEN 'defines' THEN 0.7 WHEN 'imports' THEN 0.45 WHEN 'depends_on' THEN 0.45 ELSE 0.1 END END::DOUBLE) AS w FROM edges GROUP BY src, dst),
     l AS (SELECT w.*, x.c AS a, y.c AS b FROM w JOIN sc x ON x.id = src JOIN sc y ON y.id = dst), m AS (SELECT 2 * sum(w) AS m FROM l),
     n AS (SELECT id, c, sum(w) / m AS p, sum(o) / m AS q FROM (SELECT src AS id, a AS c, w, CASE WHEN a <> b THEN w ELSE 0 END AS o FROM l UNION ALL SELECT dst, b, w, CASE WHEN a <> b THEN w ELSE 0 END FROM l), m GROUP BY id, c, m),
     k AS (SELECT c, sum(p) AS p, sum(q) AS q, sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) AS i FROM n GROUP BY c),
@@ -281,8 +280,8 @@ _FLOW = _CRIT + ", re AS (SELECT * FROM edges WHERE kind = 'calls' AND conf_clas
 _add("flow_trace", lambda g: flows.trace(g, flows.entry_points(g)), _FLOW + " SELECT entry, id, depth, fan_in FROM mm")
 _CRITICALITY = "SELECT entry, node_count, depth, round(greatest(0.0, least(1.0, least(0.1::DOUBLE * node_count, 0.6) + least(fan / 8, 0.25) + CASE WHEN regexp_matches(lower(name), 'main|handle|process|run') THEN 0.15 ELSE 0.0 END - CASE WHEN is_test THEN 0.2 ELSE 0.0 END)), 6) AS criticality FROM (SELECT entry, count(*) AS node_count, max(depth) AS depth, avg(fan_in) AS fan FROM mm GROUP BY entry HAVING count(*) >= 3) JOIN nodes n ON n.id = entry"
 _add("flow_criticality", lambda g: flows.materialise_flows(g)[0], _FLOW + " " + _CRITICALITY)
-_HUNKS = lambda g: g.nodes.filter("kind = 'function' AND id % 10 = 0").select(F.col("source_uri").alias("file_path"), (F.col("line_end") - 1).alias("line_start"), (F.col("line_end") + 2).alias("line_end")).distinct()
-_HSQL = ", h AS (SELECT DISTINCT source_uri AS file_path, line_end - 1 AS line_start, line_end + 2 AS line_end FROM nodes WHERE kind = 'function' AND id % 10 = 0), af AS (SELECT h.file_path, h.line_start, h.line_end, n.id, qualified_name, kind FROM h JOIN nodes n ON n.source_uri = h.file_path WHERE n.line_end IS NOT NULL AND 1 <= h.line_end AND n.line_end >= h.line_start)"
+_HUNKS = lambda g: g.nodes.filter("kind = 'function'").select(F.col("source_uri").alias("file_path"), (F.col("line_end") - 1).alias("line_start"), (F.col("line_end") + 2).alias("line_end")).distinct()
+_HSQL = ", h AS (SELECT DISTINCT source_uri AS file_path, line_end - 1 AS line_start, line_end + 2 AS line_end FROM nodes WHERE kind = 'function'), af AS (SELECT h.file_path, h.line_start, h.line_end, n.id, qualified_name, kind FROM h JOIN nodes n ON n.source_uri = h.file_path WHERE n.line_end IS NOT NULL AND 1 <= h.line_end AND n.line_end >= h.line_start)"
 _add("affected_symbols", lambda g: changes.affected_symbols(g.nodes, _HUNKS(g)), _HSQL + " SELECT * FROM af")
 _add("hunk_risk", lambda g: changes.hunk_risk(g, _HUNKS(g)), _HSQL + " SELECT file_path, line_start, line_end, least(sum(CASE WHEN kind IN ('function', 'method') THEN 1.0 WHEN kind = 'class' THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN id IN (SELECT dst FROM edges) THEN 0.5 ELSE 0.0 END), 10.0) AS risk FROM af GROUP BY ALL")
 def _risk_sql(flow: str = "", join: str = "") -> str:
