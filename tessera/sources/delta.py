@@ -2,8 +2,8 @@
 
 A change writes its new rows and the ids that it takes away, nothing else, and ends with a manifest of the pieces that make up the new
 version; readers of older versions go on with their own manifest. Reading joins the rows with the ids taken away later than they came. Pieces of
-a table are merged when there are ``PIECES`` of them, and a table gets a new base when its changes are more than a
-quarter of it, so the cost of a change is in proportion to it, spread over changes. There is one writer at a time.
+a table are merged when there are ``PIECES`` of them, and a table gets a new base when its changes are more than
+half of it, so the cost of a change is in proportion to it, spread over changes. There is one writer at a time.
 
 A reader that knows the keys it wants names their buckets: the base's folders of other buckets are not listed, pieces are filtered by a pushed predicate.
 """
@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import path_exists
+from tessera.runtime import child_names, path_exists
 
 BUCKETS, PIECES = 64, 8
 _MANIFEST = "table string, path string, part string, rows long, schema string"
@@ -40,9 +40,13 @@ class DeltaTables:
     # --- versions ---
 
     def version(self) -> int:
-        """The last saved version, 0 if nothing is saved; a folder that can't be read is an error."""
-        at = f"{self.root}/current"
-        return self.spark.read.schema("version long").parquet(at).agg(F.max("version")).first()[0] or 0 if path_exists(self.spark, at) else 0
+        """The last saved version, 0 if nothing is saved; a folder that can't be read is an error. A version is there once its manifest is whole."""
+        at = f"{self.root}/manifest"
+        names = child_names(self.spark, at) if path_exists(self.spark, at) else []
+        for v in sorted((int(n[2:]) for n in names if n.startswith("v=")), reverse=True):
+            if path_exists(self.spark, f"{at}/v={v}/_SUCCESS"):
+                return v
+        return 0
 
     def pieces(self, version: int | None = None) -> list[Piece]:
         v = self.version() if version is None else version
@@ -50,8 +54,7 @@ class DeltaTables:
 
     def commit(self, pieces: list[Piece]) -> int:
         v = self.version() + 1
-        self.spark.createDataFrame(pieces, _MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/v={v}")
-        self.spark.createDataFrame([(v,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+        self.spark.createDataFrame(pieces, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={v}")
         return v
 
     # --- writing ---
@@ -93,7 +96,7 @@ class DeltaTables:
         """``pieces`` with those of one table rewritten, if they are many or large."""
         mine = [p for p in pieces if p.table == table]
         base, later = sum(p.rows for p in mine if p.part == "base"), [p for p in mine if p.part != "base"]
-        if sum(p.rows for p in later) * 4 > base:
+        if sum(p.rows for p in later) * 2 > base:
             fresh = self.stage(table, self._live(mine).drop("_bucket"), version, base=True)
             return [p for p in pieces if p.table != table] + fresh
         if len(later) < PIECES:
