@@ -73,3 +73,33 @@ def test_components_of_close_labels(spark):
     got = {r.id: r.keep_id for r in dedup.deduplicate(nodes).collect()}
     assert got == {i: find(i) for i in norm}
     assert len(set(got.values())) < len(got)
+
+
+def test_labels_of_equal_signature_link_among_themselves(spark):
+    names = ["abc" * 2, "abc" * 6, "abc" * 7, "quite another label"]  # the first three hold the same runs of three
+    assert len({tuple(dedup.minhash_signature(t)) for t in names}) == 2
+    got = {r.id: r.keep_id for r in dedup.deduplicate(spark.createDataFrame(list(enumerate(names)), "id long, name string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
+def test_large_bands_with_and_without_rounds(spark, monkeypatch):
+    names = [f"Supplier#{i:09d}" for i in range(0, 3_000, 7)] + [f"Vendor of parts#{i:09d}" for i in range(0, 900, 7)]
+    nodes = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {r.id: r.keep_id for r in dedup.deduplicate(nodes).collect()}
+    monkeypatch.setattr(dedup, "_AGREE", ())
+    monkeypatch.setattr(dedup, "_PART", 50)
+    assert got == {r.id: r.keep_id for r in dedup.deduplicate(nodes).collect()}
+    sign = [dedup.minhash_signature(t) for t in names]
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(names)):
+        for a in range(b):
+            if names[a][0] == names[b][0] and sum(x == y for x, y in zip(sign[a], sign[b])) >= 45 and any(sign[a][k * 5 : k * 5 + 5] == sign[b][k * 5 : k * 5 + 5] for k in range(12)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: find(i) for i in range(len(names))}
