@@ -31,6 +31,8 @@ from tessera.runtime import discard, materialise, path_exists
 SLOT_BITS = 10
 #: Segments of one size class that are merged; sizes of a class differ by this factor at most.
 FANOUT = 4
+#: Tokens of a range that are sorted into blocks at a time; a longer document stands alone.
+CHUNK = 1_000_000
 #: Ranges that the first look at a page opens, for each hit asked for.
 LOOK = 2
 K1, B = 1.2, 0.75
@@ -58,9 +60,21 @@ def phrase(raw: str) -> list[Term]:
     return [Term(tuple(raw.lower().split()))]
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of each token in the documents of each range, from rows (range, slot, tokens)."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces: one range each, in parts of about ``CHUNK`` tokens, whatever the size of a batch."""
     for batch in batches:
+        lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ranges, before = batch.column("range").to_numpy(), np.cumsum(lengths) - lengths
+        begins = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(ranges) else np.zeros(0, int)
+        part = (before - np.repeat(before[begins], np.diff(np.append(begins, len(ranges))))) // CHUNK
+        cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(ranges) != 0)) + 1).tolist(), len(lengths)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each token in the documents of each range, from rows (range, slot, tokens); a range that lies in two pieces has two blocks of a token."""
+    for batch in _chunks(batches):
         tokens, ranges, slots = batch.column("tokens"), batch.column("range").to_numpy(), batch.column("slot").to_numpy().astype(np.int32)
         lengths = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         said = tokens.flatten().dictionary_encode()

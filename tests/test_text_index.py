@@ -3,6 +3,7 @@
 import math
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,26 @@ def test_ranges_out_of_reach_are_not_opened(spark, tmp_path, monkeypatch):
     assert opened[0].select("range").distinct().count() < 10
     plan = opened[0]._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,rare)]" in plan or "EqualTo(token,rare)" in plan
+
+
+def test_blocks_are_made_in_pieces(monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 10)
+    rows = [(r, d, (f"w{d % 3} w{d % 5} end " * (1 + d % 4)).split()) for r in (4, 7) for d in range(20)]
+    batch = pa.RecordBatch.from_pylist([{"range": r, "slot": d, "tokens": w} for r, d, w in rows], pa.schema([("range", pa.int64()), ("slot", pa.int32()), ("tokens", pa.list_(pa.string()))]))
+    made = list(X._to_blocks(iter([batch, batch.slice(0, 0)])))
+    assert len(made) > 2 and all(sum(len(d["positions"]) for d in x["docs"]) <= 10 + 12 for b in made for x in b.to_pylist())
+    got = sorted((x["range"], d["slot"], p, x["token"]) for b in made for x in b.to_pylist() for d in x["docs"] for p in d["positions"])
+    assert got == sorted((r, d, p, t) for r, d, w in rows for p, t in enumerate(w))
+    assert all(sum(len(d["positions"]) for x in b.to_pylist() for d in x["docs"]) <= 10 + 12 and len({x["range"] for x in b.to_pylist()}) == 1 for b in made)
+
+
+def test_search_over_ranges_in_pieces(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(["fox"] * (1 + i % 7) + ["dog"] * (i % 3) + [f"w{i % 11}"]), "a") for i in range(300)]
+    monkeypatch.setattr(X, "CHUNK", 25)
+    index = X.TextIndex(spark, str(tmp_path / "index"))
+    batches = list(X._chunks(iter([pa.RecordBatch.from_pylist([{"range": 0, "slot": i, "tokens": t.split()} for i, t, _ in rows])])))
+    assert len(batches) > 20
+    index.add(spark.createDataFrame(rows, SCHEMA))
+    got = [(r.id, r.score) for r in index.search(X.words("fox dog"), limit=40).collect()]
+    want = brute(rows, [is_("fox"), is_("dog")])[:40]
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got, want))
