@@ -49,3 +49,15 @@ def test_neighbours_against_all_pairs(spark):
 def test_no_vectors(spark):
     none = E.embed(spark.createDataFrame([(1, None)], "id long, text string"), "id", F.col("text"))
     assert E.nearest(E.build_index(none), none).count() == 0
+
+
+def test_a_search_meets_blocks_and_few_copies(spark, monkeypatch):
+    rows = [(i, f"name {'abc'[i % 3]} thing") for i in range(900)]  # three texts, 300 copies each
+    vectors = E.embed(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"))
+    index = E.build_index(vectors, lists=4, part_rows=64)
+    found = E.nearest(index, vectors.filter("id % 50 = 0"), k=3, again=2)
+    assert "list#" in found._jdf.queryExecution().toString() and "CoGroup" in found._jdf.queryExecution().toString()  # no row for a query and a vector
+    assert index.lists.filter("place <= 7").count() == 21 and index.lists.count() == 900
+    for r in found.collect():
+        same = [i for i in range(r.query_id % 3, 900, 3) if i != r.query_id]
+        assert abs(r.score - 1) < 1e-9 and r.id == same[r["rank"] - 1]
