@@ -81,3 +81,11 @@ def test_control_flow():
     assert chains["x"]["defined"] == 2 and 3 in chains["x"]["used"]
     assert cfg.critical_path(blocks)[0] == 0
     assert 0 in cfg.post_dominators(blocks)
+
+
+def test_one_small_table_of_files_is_parsed_by_many_tasks(spark):
+    files = spark.range(400).selectExpr("concat('p', id, '.py') AS path", r"concat('def f', id, '(a):\n    return a\n') AS content").coalesce(1)
+    rows = code.extract_rows(files).filter("row = 'node' AND kind = 'function'").selectExpr("name", "spark_partition_id() AS part")
+    seen = {r["name"]: r["part"] for r in rows.collect()}
+    assert set(seen) == {f"f{i}" for i in range(400)}
+    assert len(set(seen.values())) > 4
