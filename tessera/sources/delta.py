@@ -1,7 +1,8 @@
 """Versioned tables of rows with an id: a base cut into buckets of a key, and what changed since as small pieces.
 
 A change writes its new rows and the ids that it takes away, nothing else, and ends with a manifest of the pieces that make up the new
-version; readers of older versions go on with their own manifest. Reading joins the rows with the ids taken away later than they came. Pieces of
+version; readers of older versions go on with their own manifest. Reading joins the rows with the ids taken away later than they came; where these are many, a broadcast
+sieve of their hashes lets the other rows by, so that a read exchanges as much as was taken away and not the table. Pieces of
 a table are merged when there are ``PIECES`` of them, and a table gets a new base when its changes are more than
 half of it, so the cost of a change is in proportion to it, spread over changes. There is one writer at a time.
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tessera.runtime import child_names, path_exists
 
 BUCKETS, PIECES = 64, 8
+#: Ids taken away from which a sieve stands before their join, and its bits at most (a million rows of 64): 16 an id up to there, beyond it more rows are left to the join.
+SIEVED, SIEVE = 200_000, 1 << 26
 _MANIFEST = "table string, path string, part string, rows long, schema string"
 
 
@@ -128,7 +131,25 @@ class DeltaTables:
         dead = self._dead(pieces)
         if out is None or dead is None:
             return out
-        return out.join(dead, "id", "left").filter("_until IS NULL OR _until <= _since").drop("_until")
+        taken = sum(p.rows for p in pieces if p.part == "dead")
+        if taken < SIEVED:
+            return self._outlived(out, dead)
+        caught = self._caught(out, dead, min(SIEVE, 16 * taken))
+        passed = caught.filter("NOT _caught").drop("_caught")
+        return passed.unionByName(self._outlived(caught.filter("_caught").drop("_caught"), dead))
+
+    @staticmethod
+    def _outlived(rows: DataFrame, dead: DataFrame) -> DataFrame:
+        return rows.join(dead, "id", "left").filter("_until IS NULL OR _until <= _since").drop("_until")
+
+    @staticmethod
+    def _caught(rows: DataFrame, dead: DataFrame, bits: int) -> DataFrame:
+        """``rows`` with ``_caught``: true of all whose id is among the dead, and of the few others whose hash is."""
+        place = F.pmod(F.xxhash64("id"), F.lit(bits))
+        word, bit = F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, cast(_place % 64 AS int))")
+        sieve = dead.select(place.alias("_place"), word).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+        met = rows.select("*", place.alias("_place"), word).join(F.broadcast(sieve), "_word", "left")
+        return met.withColumn("_caught", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_place", "_bits")
 
     def read(self, table: str, version: int | None = None, *, buckets: list[int] | None = None, pieces: list[Piece] | None = None) -> DataFrame:
         """Live rows of a table, of all buckets or some."""

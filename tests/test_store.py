@@ -104,3 +104,28 @@ def test_archived_edges_and_nodes(spark, tmp_path):
     assert [(r.src_qname, r.dst_qname, r.valid_from, r.valid_to) for r in s.temporal_edges().orderBy("src_qname").collect()] == [("a", "b", None, None), ("b", "c", "c9", "c9")]
     s.save_embeddings("m", spark.createDataFrame([("a", [1.0, 2.0])], "qualified_name string, vector array<double>"))
     assert [tuple(r) for r in s.load_embeddings("m").select("qualified_name", "vector").collect()] == [("a", [1.0, 2.0])]
+
+
+def test_a_read_exchanges_what_was_taken_away_and_not_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delta, "SIEVED", 10)
+    t = delta.DeltaTables(spark, str(tmp_path / "t"), {"rows": "key"})
+    base = spark.range(3000).select("id", F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("key"))
+    t.commit(t.stage("rows", base, 1, base=True))
+    gone = spark.range(3000).filter("id % 50 = 3").select("id")
+    again = base.filter("id % 100 = 3").withColumn("key", F.lit("new"))
+    t.commit(t.pieces() + t.stage_dead("rows", gone, 2) + t.stage("rows", again, 2))
+    want = sorted([(i, f"k{i % 7}") for i in range(3000) if i % 50 != 3] + [(i, "new") for i in range(3, 3000, 100)])
+    assert sorted(map(tuple, t.read("rows").collect())) == want
+    monkeypatch.setattr(delta, "SIEVE", 40)  # most bits set: rows pass for the join, none is lost
+    assert sorted(map(tuple, t.read("rows").collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(delta, "SIEVED", 10)
+    dead = t._dead(t.pieces())
+    caught = t._caught(t._read(t.pieces()[0]), dead, 16 * 60)
+    assert 60 <= caught.filter("_caught").count() < 600
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = caught._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
