@@ -48,3 +48,15 @@ def test_edges_lie_still_while_numbers_settle(spark, monkeypatch):
 
 def test_core_numbers_without_edges(spark):
     assert [tuple(r) for r in centrality.core_numbers(graph(spark, [(1, 1)], [1, 2])).orderBy("id").collect()] == [(1, 0), (2, 0)]
+
+
+def test_the_registered_query_numbers_every_node(spark):
+    """No table of the query goes by a name that a step of it takes away."""
+    from tessera.plans import graph_queries
+    from tessera.sources.adapters import commerce_graph
+
+    d = "/root/testdata/sf0.001"
+    g = commerce_graph(spark, d)
+    want = peeled([tuple(r) for r in g.edges.select("src", "dst").collect()])
+    got = {r.id: r.core for r in graph_queries.queries()["core_numbers"](spark, d).collect()}
+    assert got == {r.id: want.get(r.id, 0) for r in g.nodes.select("id").collect()}
