@@ -123,12 +123,14 @@ def ffi_boundaries(nodes: DataFrame) -> DataFrame:
 def resolve_cross_language(g: Graph, boundaries: DataFrame, registry: DataFrame) -> DataFrame:
     """edge_id, target, score .5: calls that another language's symbol (dialect, name, target) answers over a known boundary.
 
-    A boundary works both ways; of several symbols the smallest target counts.
+    A boundary works both ways; of several symbols the smallest target counts. It is found per dialect and name before a call meets it, so no row is made for a
+    call and a symbol.
     """
     near = {"typescript": "javascript"}
     plain = lambda c: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in near.items()), F.col(c))
     b = boundaries.select(plain("caller").alias("a"), plain("callee").alias("b")).distinct()
-    ways = b.unionByName(b.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    d = unresolved_calls(g).join(F.broadcast(ways.limit(len(DIALECT_ORDER) ** 2)), F.col("dialect") == F.col("a")).drop("dialect")
-    d = d.join(registry.select(F.col("dialect").alias("b"), "name", "target"), ["b", "name"])
-    return d.groupBy("edge_id").agg(F.min("target").alias("target")).withColumn("score", F.lit(0.5))
+    ways = b.unionByName(b.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").filter(F.col("a").isin(DIALECT_ORDER)).distinct()
+    least = lambda x, *by: x.groupBy(*by).agg(F.min("target").alias("target"))
+    answers = least(least(registry.select(F.col("dialect").alias("b"), "name", "target"), "b", "name").join(F.broadcast(ways), "b"), "a", "name")
+    d = unresolved_calls(g).join(answers.withColumnRenamed("a", "dialect"), ["dialect", "name"])
+    return least(d, "edge_id").withColumn("score", F.lit(0.5))
