@@ -118,3 +118,16 @@ def test_no_edges(spark):
     alone = Graph(g.nodes, g.edges.limit(0))
     for detect in (communities.louvain, communities.leiden, communities.label_propagation):
         assert {(r.id, r.community) for r in detect(alone).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_edges_lie_still_while_nodes_move(spark, monkeypatch):
+    """Of a round's moves only what edges tell is exchanged, neither ties nor states."""
+    from tessera.operators import modularity
+
+    plans, write = [], modularity.bucketed
+    monkeypatch.setattr(modularity, "bucketed", lambda df, key, tag, **k: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), write(df, key, tag, **k))[1])
+    edges, n = planted(5, groups=2, size=5)
+    communities.louvain(graph(spark, edges, n))
+    moved = [p for tag, p in plans if tag == "moved"]
+    assert moved and all(p.count("Exchange") == 1 for p in moved)
+    assert not any("SortMergeJoin" in p for p in moved)
